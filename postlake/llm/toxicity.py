@@ -35,8 +35,9 @@ from .common import pick
 
 LETTERS, SPAN, DECAY = 32, 6, 0.7
 DIMS = LETTERS**3
-#: Words longer than this are scored by overlapping windows.
-WINDOW, STEP = 14, 5
+#: Words, with a mark before and after, that are longer than this are scored by overlapping windows.
+WINDOW, STEP = 16, 5
+FIRST, LAST = "\x02", "\x03"
 #: Every (second, third) offset of a subsequence within the span.
 OFFSETS = [(b, c) for c in range(2, SPAN) for b in range(1, c)]
 EDGES = re.compile(r"^[^0-9a-zß-\U0010ffff]+|[^0-9a-zß-\U0010ffff]+$")
@@ -55,15 +56,16 @@ def words_of(text: str | None) -> set[str]:
 
 
 def units(word: str) -> list[str]:
+    word = FIRST + word + LAST
     if len(word) <= WINDOW:
         return [word]
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW + STEP, STEP)]
 
 
 def codes(words: list[str], n: int) -> np.ndarray:
-    """(words, n) letter codes of words of n characters; 0 to 25 letters, then a few classes for all else."""
+    """(words, n) letter codes of words of n characters; 0 to 25 letters, then four classes for all else and the two marks."""
     p = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n).astype(np.int64)
-    return np.where((p >= 97) & (p <= 122), p - 97, 26 + p % (LETTERS - 26))
+    return np.where((p >= 97) & (p <= 122), p - 97, np.where(p <= 3, 28 + p, 26 + p % 4))
 
 
 def subsequences(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +148,7 @@ def explain(bags: list[tuple[set[str], int]], least: int) -> tuple[set[str], lis
     return chosen, sorted(left)
 
 
-def fit(bags: list[tuple[set[str], int]], n_landmarks: int = 256, n_negative: int = 12_000, rounds: int = 3, seed: int = 5) -> dict:
+def fit(bags: list[tuple[set[str], int]], n_landmarks: int = 384, n_negative: int = 5_000, rounds: int = 3, seed: int = 5) -> dict:
     """The folded weights of the machine and the logistic curve from margin to score."""
     unique = {frozenset(b): (b, y) for b, y in bags}
     bags = list(unique.values())
@@ -160,13 +162,14 @@ def fit(bags: list[tuple[set[str], int]], n_landmarks: int = 256, n_negative: in
     hard: list[str] = []
     weight, bias = np.zeros(DIMS), -1.0
     for r in range(rounds + 1):
-        bad = [clean_words[i] for i in rng.permutation(len(clean_words))[:n_negative]] + hard
-        bad = [u for w in dict.fromkeys(bad) for u in units(w)]
+        bad = [clean_words[i] for i in rng.permutation(len(clean_words))[:n_negative]] + 3 * hard
+        bad = [u for w in bad for u in units(w)]  # near misses come up to three times and weigh so
         pos = [u for w in sorted(good) for u in units(w)]
         if not pos:
             words = sorted(set().union(*(b for b, y in bags if y)) - clean_set)
-            pos = words[:200] or ["\0\0\0"]
-        marks = pos[: n_landmarks // 2] + bad[: n_landmarks - min(len(pos), n_landmarks // 2)]
+            pos = [u for w in words[:200] for u in units(w)] or [FIRST + LAST]
+        near = [u for w in hard for u in units(w)][: n_landmarks // 3]
+        marks = list(dict.fromkeys([*[pos[i] for i in rng.permutation(len(pos))[: n_landmarks // 3]], *near, *bad]))[:n_landmarks]
         base = phi(marks)
         k = base @ base.T
         value, vector = np.linalg.eigh(k.astype(np.float64))
@@ -180,7 +183,7 @@ def fit(bags: list[tuple[set[str], int]], n_landmarks: int = 256, n_negative: in
         if r < rounds:
             scored = clean_words
             m = margins(scored, weight, bias)
-            hard = list(dict.fromkeys([*[scored[i] for i in np.argsort(-m)[:2000] if m[i] > -0.9], *hard]))[:6000]
+            hard = list(dict.fromkeys([*[scored[i] for i in np.argsort(-m)[:1500] if m[i] > -0.9], *hard]))[:3000]
             for i in open_bags:  # the machine names the insult of a document that no word explains yet
                 own = sorted(bags[i][0] - clean_set)
                 if own:
