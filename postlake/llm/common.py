@@ -65,3 +65,20 @@ def forget(*tables: DataFrame) -> None:
             jvm = t.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bits held by one value of bitmap_construct_agg (fixed by Spark).
+BITMAP_BITS = 32768
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, its_key: Column, flag: str, slots: int = 1 << 23) -> DataFrame:
+    """rows with the boolean flag: false where key (a long) is surely not among its_key of keys.
+
+    What is broadcast is a bitmap of fixed size: at most slots / 32768 rows of 4 KB, however many keys.
+    """
+    part = lambda c: F.floor(F.pmod(c, F.lit(slots)) / BITMAP_BITS).cast("int")
+    bit = lambda c: F.pmod(F.pmod(c, F.lit(slots)), F.lit(BITMAP_BITS)).cast("int")
+    bits = keys.select(part(its_key).alias("_part"), bit(its_key).alias("_bit")).groupBy("_part").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bits"))
+    rows = rows.withColumns({"_part": part(key), "_bit": bit(key)}).join(F.broadcast(bits), "_part", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit / 8) + 1, 1)")), 16, 10).cast("int")
+    return rows.withColumn(flag, F.coalesce(F.getbit(byte, F.expr("_bit % 8")) == 1, F.lit(False))).drop("_part", "_bit", "_bits")

@@ -18,21 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed
-
-#: Bits held by one value of bitmap_construct_agg (fixed by Spark).
-BITMAP_BITS = 32768
+from .common import maybe_in, packed
 
 
 def _undecided(rows: DataFrame, key: Column, slots: int) -> DataFrame:
-    """Mark rows whose key may occur again; the broadcast table has at most slots / 32768 rows of 4 KB."""
-    slot = F.pmod(key, F.lit(slots))
-    rows = rows.withColumns({"_key": key, "_part": F.floor(slot / BITMAP_BITS).cast("int"), "_bit": F.pmod(slot, F.lit(BITMAP_BITS)).cast("int")})
-    again = rows.groupBy("_key", "_part", "_bit").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    bits = again.groupBy("_part").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bits"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit / 8) + 1, 1)")), 16, 10).cast("int")
-    marked = rows.join(F.broadcast(bits), "_part", "left").withColumn("_alive", F.coalesce(F.getbit(byte, F.expr("_bit % 8")) == 1, F.lit(False)))
-    return marked.drop("_part", "_bit", "_bits", "_key")
+    """Mark rows whose key may occur again."""
+    rows = rows.withColumn("_key", key)
+    again = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return maybe_in(rows, F.col("_key"), again, F.col("_key"), "_alive", slots).drop("_key")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, keep_rows: bool = False, prefix_chars: int = 256, slots: int = 1 << 23) -> DataFrame:

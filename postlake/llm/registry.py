@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, mixing, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, mixing, near_dedup, toxicity, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op10_html": html_text.op10_html,
 }
