@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.llm import bpe, exact_dedup, mixing, toxicity
+from postlake.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from postlake.llm.common import shared_folder, table
 
 
@@ -18,6 +18,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_dups(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
@@ -26,7 +30,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 
 #: No SQL expresses a trained classifier or a tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
