@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, mixing, near_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprint, html_text, mixing, near_dedup, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
