@@ -4,13 +4,14 @@ Every permutation of a document's shingle hashes gives two signature values,
 its minimum and its maximum, so half the hash evaluations of plain MinHash
 fill the bands. Documents that agree on a band share a bucket.
 
-Equal shingle sets are one node. Within a bucket not all pairs are compared:
-a few leaders are compared with all members, links join components, and only
-members outside their bucket's largest component lead again, until every
-bucket holds one component or each of its members outside the largest has been compared
-with all others. No pair of a bucket that could join two components is left
-out, and links inside a component cannot change it. Every link is confirmed on full
-sets.
+Equal shingle sets are one node. Components, not pairs, are asked for, so a
+bucket is settled in two steps. Its leader is compared with all members; then
+members that the leader's component left out are compared with members of other
+components: pair by pair in small buckets, in crowded ones block against
+block. Before that, crowded buckets drop pairs that cannot link: two texts share
+at most the shingles that more than one text has. No pair of a bucket that could
+join two components is left out, and a link inside a component cannot change
+it. Every link is confirmed on full sets.
 
 A pair at the threshold shares no band with a probability of about two in a million
 (``_bands``). Components come from alternating star contractions, all as joins
@@ -155,44 +156,106 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _with_label(entries: DataFrame, edges: DataFrame | None) -> DataFrame:
-    if edges is None:
-        return entries.withColumn("label", F.col("node"))
+def with_label(members: DataFrame, edges: DataFrame) -> DataFrame:
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def links(entries: DataFrame, sets_of, percent: int, leaders: int = 4) -> DataFrame | None:
+def unshared(sets: DataFrame) -> DataFrame:
+    """(node, lone): how many shingles of each node no other node of sets has."""
+
+    def run(batches):
+        for batch in batches:
+            for node, s in zip(batch["node"], batch["set"]):
+                values = np.frombuffer(s.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node.as_py(), dtype=np.int64)), pa.array(values)], names=["node", "shingle"])
+
+    each = sets.select("node", "set").mapInArrow(run, "node long, shingle long")
+    single = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    return single.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+
+
+def may_link(percent: int):
+    """No link is possible where the smaller count of shareable shingles (``rest``) is too small; exact, never a guess."""
+    most = F.least("x.rest", "y.rest")
+    return 100 * most >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - most)
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Confirmed links (a, b) of crowded buckets: members outside their bucket's largest component against all members.
+
+    Both sides come in blocks of about ``block`` rows, so no task holds a bucket; a task returns one link for each
+    such member and component it meets.
+    """
+    by_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("open")).filter("open > 0")
+    rows = members.join(main, "bucket")
+    number = lambda total: F.ceil(F.col(total) / block).cast("int")
+    mine = lambda total: F.pmod(F.xxhash64("node"), number(total)).cast("int")
+    every = lambda total: F.explode(F.sequence(F.lit(0), number(total) - 1))
+    one = rows.select("bucket", "node", "label", mine("all").alias("block"), every("open").alias("chunk"), F.lit(False).alias("asks"))
+    other = rows.filter("label <> main").select("bucket", "node", "label", every("all").alias("block"), mine("open").alias("chunk"), F.lit(True).alias("asks"))
+    dealt = one.union(other).join(sets, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, labels = np.array(table["node"]), np.array(table["label"])
+        asks = np.array(table["asks"].to_pylist())
+        values = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table["set"]]
+        held = np.flatnonzero(~asks)
+        out = []
+        if len(held):
+            flat = np.concatenate([values[i] for i in held])
+            owner = np.repeat(np.arange(len(held)), [len(values[i]) for i in held])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            sizes = np.array([len(values[i]) for i in held])
+            for i in np.flatnonzero(asks):
+                low, high = np.searchsorted(flat, values[i], "left"), np.searchsorted(flat, values[i], "right")
+                some = high > low
+                at = np.concatenate([owner[x:y] for x, y in zip(low[some], high[some])]) if some.any() else owner[:0]
+                shared = np.bincount(at, minlength=len(held))
+                near = (100 * shared >= percent * (len(values[i]) + sizes - shared)) & (labels[held] != labels[i])
+                met = np.flatnonzero(near)
+                _, first = np.unique(labels[held][met], return_index=True)
+                out += [(min(nodes[i], nodes[held[j]]), max(nodes[i], nodes[held[j]])) for j in met[first]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return dealt.groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long")
+
+
+def links(entries: DataFrame, sets: DataFrame, percent: int, crowd: int = 16, block: int = 512) -> DataFrame:
     """Contracted edges (a, b) with the components of all confirmed links among entries (bucket, node, n_shingles)."""
-    edges = None
-    turn = 0
-    while True:
-        labelled = _with_label(entries, edges)
-        by_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = by_label.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label"))["label"].alias("main")).filter("labels > 1").drop("labels")
-        members = written(labelled.join(mixed, "bucket"))
-        # up to `leaders` members by seeded slot, by grouped minima: no bucket is sorted or gathered
-        first = F.lit(True) if edges is None else F.col("label") != F.col("main")
-        lead = members.filter(first).groupBy("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders)).alias("slot")).agg(F.min(F.struct("node", "label", "n_shingles")).alias("l"))
-        lead = lead.select("bucket", F.col("l.node").alias("lead"), F.col("l.label").alias("lead_label"), F.col("l.n_shingles").alias("lead_n"))
-        near = (F.col("lead_label") != F.col("label")) & (100 * F.least("lead_n", "n_shingles") >= percent * F.greatest("lead_n", "n_shingles"))
-        pairs = members.join(lead, "bucket").filter(near).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        pairs = written(pairs)
-        if pairs.isEmpty():
-            led = lead.isEmpty()
-            if led:
-                forget(members, pairs)
-                return edges
-            found = None
-        else:
-            found = confirmed(pairs, sets_of(pairs), percent)
-        rest = written(members.select("bucket", "node", "n_shingles").join(lead.select("bucket", F.col("lead").alias("node")), ["bucket", "node"], "left_anti"))
-        if found is not None:
-            grown = written(star(found if edges is None else edges.union(found)))
-            forget(*([edges] if edges is not None else []))
-            edges = grown
-        forget(members, pairs, *([entries] if turn else []))
-        entries, turn, leaders = rest, turn + 1, leaders * 4
+
+    def some_sets(ids: DataFrame) -> DataFrame:
+        return sets.join(ids.distinct(), "node", "left_semi")
+
+    entries = entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
+    counted = unshared(some_sets(entries.filter(F.col("size") >= crowd).select("node")))
+    # counted among all members of crowded buckets, and so a bound for pairs within these alone
+    lone = F.when(F.col("size") >= crowd, F.coalesce("lone", F.lit(0))).otherwise(0)
+    members = entries.join(counted, "node", "left").withColumn("rest", F.col("n_shingles") - lone)
+    members = members.filter(100 * F.col("rest") >= percent * F.col("n_shingles"))
+    # the leader is the member with the smallest share of shingles that no other has: the likeliest original
+    lead = members.groupBy("bucket").agg(F.min(F.struct(-F.col("rest") / F.col("n_shingles"), "node", "n_shingles", "rest"))["node"].alias("lead"))
+    members = written(members.join(lead, "bucket").select("bucket", "size", "node", "n_shingles", "rest", "lead"))
+
+    led = members.filter("node = lead").alias("x").join(members.filter("node <> lead").alias("y"), F.col("x.bucket") == F.col("y.bucket")).filter(may_link(percent))
+    pairs = written(led.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    edges = written(star(confirmed(pairs, some_sets(asked), percent)))
+    forget(pairs)
+
+    labelled = with_label(members, edges)
+    few = labelled.filter(F.col("size") < crowd).filter("node <> lead")  # at most crowd - 1 members a bucket
+    x, y = few.alias("x"), few.alias("y")
+    left = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).filter(may_link(percent))
+    pairs = written(left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    more = confirmed(pairs, some_sets(asked), percent)
+    many = block_links(labelled.filter(F.col("size") >= crowd), sets, percent, block)
+    all_edges = written(star(edges.union(more).union(many)))
+    forget(pairs, members, edges)
+    return all_edges
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -209,16 +272,9 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     asked = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "id", "digest")
     sets = written(full_sets(docs, id_col, text_col, words, asked))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return sets.join(ids, "node", "left_semi")
-
-    edges = links(entries, sets_of, percent)
-    named = nodes.select("node", "digest", "id")
-    if edges is None:
-        named = named.withColumn("label", F.col("node"))
-    else:
-        named = named.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    edges = links(entries, sets, percent)
+    labels = components(edges)
+    named = nodes.select("node", "digest", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     named = named.join(least, "label").select("digest", "component_id")
     forget(sets, entries)
