@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import forget, maybe_in, pick, written
 from .shingles import mix, shingle_sets
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def _bands(percent: int) -> tuple[int, int]:
@@ -135,7 +135,7 @@ def star(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star contraction of edges (a, b): same components, flatter trees, a > b."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
     high = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     low = high.groupBy("u").agg(F.min("v").alias("m"))
     small = high.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("u", "m"))
@@ -225,12 +225,9 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -
 
 def links(entries: DataFrame, sets: DataFrame, percent: int, crowd: int = 16, block: int = 512) -> DataFrame:
     """Contracted edges (a, b) with the components of all confirmed links among entries (bucket, node, n_shingles)."""
-
-    def some_sets(ids: DataFrame) -> DataFrame:
-        return sets.join(ids.distinct(), "node", "left_semi")
-
     entries = entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
-    counted = unshared(some_sets(entries.filter(F.col("size") >= crowd).select("node")))
+    crowded = entries.filter(F.col("size") >= crowd).select("node").distinct()
+    counted = unshared(sets.join(crowded, "node", "left_semi"))
     # counted among all members of crowded buckets, and so a bound for pairs within these alone
     lone = F.when(F.col("size") >= crowd, F.coalesce("lone", F.lit(0))).otherwise(0)
     members = entries.join(counted, "node", "left").withColumn("rest", F.col("n_shingles") - lone)
@@ -241,20 +238,18 @@ def links(entries: DataFrame, sets: DataFrame, percent: int, crowd: int = 16, bl
 
     led = members.filter("node = lead").alias("x").join(members.filter("node <> lead").alias("y"), F.col("x.bucket") == F.col("y.bucket")).filter(may_link(percent))
     pairs = written(led.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    edges = written(star(confirmed(pairs, some_sets(asked), percent)))
+    edges = written(star(confirmed(pairs, sets, percent)))
     forget(pairs)
 
-    labelled = with_label(members, edges)
+    labelled = written(with_label(members, edges))
     few = labelled.filter(F.col("size") < crowd).filter("node <> lead")  # at most crowd - 1 members a bucket
     x, y = few.alias("x"), few.alias("y")
     left = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).filter(may_link(percent))
     pairs = written(left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    more = confirmed(pairs, some_sets(asked), percent)
+    more = confirmed(pairs, sets, percent)
     many = block_links(labelled.filter(F.col("size") >= crowd), sets, percent, block)
     all_edges = written(star(edges.union(more).union(many)))
-    forget(pairs, members, edges)
+    forget(pairs, members, labelled, edges)
     return all_edges
 
 

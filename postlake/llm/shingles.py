@@ -39,7 +39,7 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     starts = np.concatenate(([0], np.cumsum(lengths)))
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     if lower:
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        data = data + np.uint8(32) * ((data >= 65) & (data <= 90))
     white = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], white)).astype(np.int8)))
     first, end = edge[::2], edge[1::2]
