@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # every id has a window of its own, so a large group of copies spreads over all tasks
     first = F.row_number().over(Window.partitionBy("_full", "_id").orderBy(F.lit(1)))
     kept = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_first") == 1)
-    rest = rest.join(groups, "_full").withColumn("_first", first).select("_id", "keep_id", "group_size", kept.alias("kept"), *carried)
+    rest = rest.withColumn("_first", first).join(groups, "_full").select("_id", "keep_id", "group_size", kept.alias("kept"), *carried)
     return lone.unionByName(rest).withColumnRenamed("_id", id_col)
 
 
