@@ -124,7 +124,7 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_source": pdf["_source"], "size": pdf["size"], "target": target, "source_size": source_size, "whole": whole, "once_more": take})
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.0, seed: int = 20, buckets: int = 4096, keep_rows: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.0, seed: int = 20, buckets: int = 1024, keep_rows: bool = False) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken, and with keep_rows ``row``, the input row."""
     rows = packed(docs, id_col, text_col, source_col).withColumnsRenamed({id_col: "_id", text_col: "_text", source_col: "source"})
     rows = rows.select(
