@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprint, html_text, mixing, near_dedup, secret_scan, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprint, html_text, mixing, near_dedup, secret_scan, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_html": html_text.op10_html,
 }
 
