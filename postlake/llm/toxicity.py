@@ -24,6 +24,7 @@ without any); every row gives one row.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -127,7 +128,7 @@ def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 300) -> tup
     return w[:-1], float(w[-1])
 
 
-def explain(bags: list[tuple[set[str], int]], least: int) -> tuple[set[str], list[int]]:
+def explain(bags: list[tuple[frozenset[str], int]], least: int) -> tuple[set[str], list[int]]:
     """A small set of words that are in toxic and hardly in clean bags and cover the toxic ones; the uncovered bags."""
     clean, toxic = Counter(), Counter()
     for words, y in bags:
@@ -148,10 +149,9 @@ def explain(bags: list[tuple[set[str], int]], least: int) -> tuple[set[str], lis
     return chosen, sorted(left)
 
 
-def fit(bags: list[tuple[set[str], int]], n_landmarks: int = 384, n_negative: int = 5_000, rounds: int = 3, seed: int = 5) -> dict:
+def fit(bags: list[tuple[frozenset[str], int]], n_landmarks: int = 384, n_negative: int = 5_000, rounds: int = 3, seed: int = 5) -> dict:
     """The folded weights of the machine and the logistic curve from margin to score."""
-    unique = {frozenset(b): (b, y) for b, y in bags}
-    bags = list(unique.values())
+    bags = list({frozenset(b): y for b, y in bags}.items())
     n_toxic = sum(y for _, y in bags)
     if not n_toxic or n_toxic == len(bags):
         return {"constant": n_toxic / len(bags) if bags else 0.5}
@@ -175,7 +175,8 @@ def fit(bags: list[tuple[set[str], int]], n_landmarks: int = 384, n_negative: in
         value, vector = np.linalg.eigh(k.astype(np.float64))
         keep = value > 1e-6 * value[-1]
         root = vector[:, keep] / np.sqrt(value[keep])
-        z = np.vstack([phi(part) @ base.T for part in (pos, *[bad[i : i + 1000] for i in range(0, len(bad), 1000)]) if part]) @ root
+        parts = [half[i : i + 256] for half in (pos, bad) for i in range(0, len(half), 256)]
+        z = np.vstack([phi(part) @ base.T for part in parts]) @ root
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(bad))])
         cost = np.where(y > 0, 0.5 / len(pos), 0.5 / max(1, len(bad))) * len(y)
         w, bias = svm(z, y, cost)
@@ -208,7 +209,7 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def bounded_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_toxic: int, max_clean: int, seed: int = 5) -> list[tuple[set[str], int]]:
+def bounded_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_toxic: int, max_clean: int, seed: int = 5) -> list[tuple[frozenset[str], int]]:
     """The distinct words of at most max_toxic and max_clean labelled documents outside the held-out fold, by seeded hash."""
     train = pick(labels, id_col, "toxic").toDF("_id", "_y").filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
     order = [F.xxhash64(F.lit(seed), "_id"), "_id", "_y"]
@@ -222,10 +223,11 @@ def bounded_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([pa.array([" ".join(bag)]), pa.array([y.as_py()], pa.int32())], names=["words", "y"])
 
     rows = texts.select("_text", F.col("_y").cast("int").alias("_y")).mapInArrow(run, "words string, y int").distinct().collect()
-    return sorted(((set(r.words.split()), r.y) for r in rows), key=lambda x: (x[1], sorted(x[0])))
+    rows.sort(key=lambda r: (r.y, r.words))
+    return [(frozenset(map(sys.intern, r.words.split())), r.y) for r in rows]
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, max_toxic: int = 2000, max_clean: int = 4000, cache_words: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, max_toxic: int = 1500, max_clean: int = 3000, cache_words: int = 400_000) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, or with keep_rows the input row and its score as ``_score``."""
     model = fit(bounded_bags(docs, labels, id_col, text_col, max_toxic, max_clean))
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
