@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import pick
 
 WINDOW_DOUBLINGS = 4  # a window of 2 ** 4 characters
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,7 +54,7 @@ def byte_table(tokenizer) -> list[bytes]:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, chunk_chars: int = 512, least_chars: int = 64, cache_chars: int = 32_000_000):
+    def __init__(self, path: str, chunk_chars: int = 512, least_chars: int = 64, cache_chars: int = 6_000_000):
         import tiktoken
         from tokenizers import Tokenizer
 

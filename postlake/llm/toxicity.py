@@ -227,7 +227,7 @@ def bounded_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return [(frozenset(map(sys.intern, r.words.split())), r.y) for r in rows]
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, max_toxic: int = 1500, max_clean: int = 3000, cache_words: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, max_toxic: int = 1500, max_clean: int = 3000, cache_words: int = 120_000) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, or with keep_rows the input row and its score as ``_score``."""
     model = fit(bounded_bags(docs, labels, id_col, text_col, max_toxic, max_clean))
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
