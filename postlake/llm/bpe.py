@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, text_batches
 
 WINDOW_DOUBLINGS = 4  # a window of 2 ** 4 characters
 SLICE_CHARS = 1_000_000
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path: the tokenizer's file, at the same place on every machine.
     """
     path = path or tokenizer_path()
-    narrow = pick(docs, id_col, text_col).toDF("id", "text")
+    narrow = text_batches(pick(docs, id_col, text_col).toDF("id", "text"))
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 

@@ -34,6 +34,14 @@ def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select("row.*").toDF(*like.columns)
 
 
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of its session held to rows: texts are long, and a worker holds a batch at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name, "10000")) > rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

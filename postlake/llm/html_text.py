@@ -21,7 +21,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, text_batches
 
 # Element names by their part in a page.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -168,7 +168,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: list[str] | None = None) -> DataFrame:
     """One row per row of pages: id_col, url_col, text, n_chars (code points)."""
     weights = learn_weights(labelled or LABELLED)
-    narrow = pick(pages, id_col, url_col, html_col).toDF("id", "url", "html")
+    narrow = text_batches(pick(pages, id_col, url_col, html_col).toDF("id", "url", "html"))
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
 
     def run(batches):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, maybe_in, pick, written
+from .common import forget, maybe_in, pick, text_batches, written
 from .shingles import mix, shingle_sets
 
 SLICE_BYTES = 1_000_000
@@ -74,7 +74,7 @@ def min_max(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, seed: int = 11) -> DataFrame:
     """(id, n_shingles, digest, bands): digest names the shingle set, bands holds one hash a band; both null without shingles."""
     bands, rows = _bands(percent)
-    narrow = pick(docs, id_col, text_col).toDF("id", "text")
+    narrow = text_batches(pick(docs, id_col, text_col).toDF("id", "text"))
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 1 << 63, bands * rows // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, bands * rows // 2, dtype=np.uint64)
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, nodes: DataFrame) -> DataFrame:
     """(node, set): the full shingle set of each node (node, id, digest), read again from one of its documents."""
-    narrow = pick(docs, id_col, text_col).toDF("id", "text")
+    narrow = text_batches(pick(docs, id_col, text_col).toDF("id", "text"))
     some = maybe_in(narrow, F.xxhash64("id"), nodes, F.xxhash64("id"), "_asked").filter("_asked").select("text")
 
     def run(batches):

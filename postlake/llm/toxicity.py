@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, text_batches
 
 LETTERS, SPAN, DECAY = 32, 6, 0.7
 DIMS = LETTERS**3
@@ -230,7 +230,7 @@ def bounded_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, max_toxic: int = 1500, max_clean: int = 3000, cache_words: int = 120_000) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, or with keep_rows the input row and its score as ``_score``."""
     model = fit(bounded_bags(docs, labels, id_col, text_col, max_toxic, max_clean))
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    plain = text_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
     plain = plain if keep_rows else plain.select(F.col(f"c{at_id}").alias("id"), F.col(f"c{at_text}").alias("text"))
     at_text = at_text if keep_rows else 1
