@@ -209,8 +209,8 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def bounded_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_toxic: int, max_clean: int, seed: int = 5) -> list[tuple[frozenset[str], int]]:
-    """The distinct words of at most max_toxic and max_clean labelled documents outside the held-out fold, by seeded hash."""
+def bounded_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_toxic: int, max_clean: int, seed: int = 5) -> DataFrame:
+    """(words, y): the distinct words, joined by spaces, of at most max_toxic and max_clean labelled documents outside the held-out fold, by seeded hash."""
     train = pick(labels, id_col, "toxic").toDF("_id", "_y").filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).distinct()
     order = [F.xxhash64(F.lit(seed), "_id"), "_id", "_y"]
     some = train.filter("_y = 1").orderBy(*order).limit(max_toxic).unionByName(train.filter("_y = 0").orderBy(*order).limit(max_clean))
@@ -222,14 +222,28 @@ def bounded_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 bag = sorted(words_of(text.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array([" ".join(bag)]), pa.array([y.as_py()], pa.int32())], names=["words", "y"])
 
-    rows = texts.select("_text", F.col("_y").cast("int").alias("_y")).mapInArrow(run, "words string, y int").distinct().collect()
-    rows.sort(key=lambda r: (r.y, r.words))
-    return [(frozenset(map(sys.intern, r.words.split())), r.y) for r in rows]
+    return texts.select("_text", F.col("_y").cast("int").alias("_y")).mapInArrow(run, "words string, y int").distinct()
+
+
+def fitted(bags: DataFrame) -> dict:
+    """The machine of :func:`fit`, made by one task from the bounded sample; only its weights reach the driver."""
+
+    def run(batches):
+        rows = sorted((y, words) for batch in batches for words, y in zip(batch["words"].to_pylist(), batch["y"].to_pylist()))
+        model = fit([(frozenset(map(sys.intern, words.split())), y) for y, words in rows])
+        weight = model.pop("weight", np.zeros(0)).astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([weight], pa.binary()), pa.array([list(model)], pa.list_(pa.string())), pa.array([[float(v) for v in model.values()]], pa.list_(pa.float64()))], names=["weight", "names", "numbers"])
+
+    row = bags.repartition(1).mapInArrow(run, "weight binary, names array<string>, numbers array<double>").head()
+    if row is None:
+        return fit([])
+    model = dict(zip(row.names, row.numbers))
+    return model | ({"weight": np.frombuffer(bytes(row.weight), dtype=np.float32)} if row.weight else {})
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, max_toxic: int = 1500, max_clean: int = 3000, cache_words: int = 120_000) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, or with keep_rows the input row and its score as ``_score``."""
-    model = fit(bounded_bags(docs, labels, id_col, text_col, max_toxic, max_clean))
+    model = fitted(bounded_bags(docs, labels, id_col, text_col, max_toxic, max_clean))
     plain = text_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
     plain = plain if keep_rows else plain.select(F.col(f"c{at_id}").alias("id"), F.col(f"c{at_text}").alias("text"))
