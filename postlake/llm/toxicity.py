@@ -115,11 +115,12 @@ def phi(words: list[str]) -> np.ndarray:
 
 def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 300) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by accelerated gradient steps on all rows."""
-    x = np.hstack([z, np.ones((len(z), 1), dtype=z.dtype)])
+    x = np.hstack([z.astype(np.float32), np.ones((len(z), 1), dtype=np.float32)])
+    cost, y = cost.astype(np.float32), y.astype(np.float32)
     lam = 1e-4
-    rate = 1.0 / (2 * float((cost[:, None] * x * x).sum(1).max()) * cost.sum() / cost.max() * 0.5 + lam)
-    rate = max(rate, 1.0 / (2 * np.linalg.norm((x * cost[:, None]).T @ x, 2) + lam))
-    w = v = np.zeros(x.shape[1])
+    gram = sum(x[i : i + 2000].T @ (x[i : i + 2000] * cost[i : i + 2000, None]) for i in range(0, len(x), 2000))
+    rate = 1.0 / (2 * np.linalg.norm(gram, 2) + lam)
+    w = v = np.zeros(x.shape[1], dtype=np.float32)
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - rate * (lam * v - 2 * x.T @ (cost * slack * y))
@@ -174,13 +175,13 @@ def fit(bags: list[tuple[frozenset[str], int]], n_landmarks: int = 384, n_negati
         k = base @ base.T
         value, vector = np.linalg.eigh(k.astype(np.float64))
         keep = value > 1e-6 * value[-1]
-        root = vector[:, keep] / np.sqrt(value[keep])
+        root = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
         parts = [half[i : i + 256] for half in (pos, bad) for i in range(0, len(half), 256)]
-        z = np.vstack([phi(part) @ base.T for part in parts]) @ root
+        z = np.vstack([phi(part) @ base.T for part in parts]) @ root  # a few hundred words at a time
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(bad))])
         cost = np.where(y > 0, 0.5 / len(pos), 0.5 / max(1, len(bad))) * len(y)
         w, bias = svm(z, y, cost)
-        weight = base.T.astype(np.float64) @ (root @ w)
+        weight = base.T @ (root @ w).astype(np.float32)
         if r < rounds:
             scored = clean_words
             m = margins(scored, weight, bias)
