@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,25 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("event_id", F.col("user_id").alias("source_id"), status.alias("status"), F.col("ts").alias("finished_at"), F.col("value").alias("jobs_seen"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+#: Wordings that the listings take in turn, by p_partkey modulo their number.
+TITLES = ("Machine Learning Intern", "Internal Auditor", "Backend Developer Co-op", "Werkstudent Data Science", "Nurse Extern", "2027 Estágio em Finanças", "Firmware Engineer", "Stage Manager 2026", "AI Recruiting Intern", "Fraud Analytics Internship", "PhD Research Scientist Intern")
+TYPES = ("FULL_TIME", '["Part time","Temp"]', "Intern; Regular", "Co-Op (Fixed Term)", "R244285", None, "[broken")
+LOCATIONS = ("Chicago, IL", "Toronto, Ontario, Canada", "Remote", "East Syracuse, NY, 13057 USA", "Vancouver, BC V6B 1A1", "Albuquerque, New Mexico", "21 Locations", "São Paulo, Brazil", "CA")
+BODIES = ("We train Python and SQL. Master's students welcome.", "Fall 2027 intern program; graduation in Spring 2030 required.", "Rotations include data engineering and machine learning.", None, "Must be a U.S. citizen.")
+CAREER_URLS = ("https://boards.greenhouse.io/a", "https://jobs.lever.co/a", "https://a.example/search-results", "https://careers.example/jobs", "https://A.WD5.MYWORKDAYJOBS.com/x", None)
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per part: a raw listing with title, employment_type, location, body, url, skills and published_at."""
+    def dealt(wordings: tuple[str | None, ...]) -> Column:
+        return F.get(F.array(*[F.lit(w).cast("string") for w in wordings]), (F.col("p_partkey") % len(wordings)).cast("int"))
+
+    skills = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("PyTorch"), F.lit("SQL"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), dealt(TITLES).alias("title"), dealt(TYPES).alias("employment_type"), dealt(LOCATIONS).alias("location"), dealt(BODIES).alias("body"),
+        dealt(CAREER_URLS).alias("url"), skills.alias("skills"), F.when(F.col("p_partkey") % 3 == 0, "2026-08-07").alias("published_at"))
+
+
 RUNS_SQL = """
 runs AS (
   SELECT event_id, user_id AS source_id, ts AS finished_at, value AS jobs_seen, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
