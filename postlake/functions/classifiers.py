@@ -42,6 +42,11 @@ def unaccented(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), *_UNACCENTED), r"\p{M}+", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_label(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """The label of the first pattern that occurs; null if none does."""
     return F.coalesce(*[F.when(c.rlike(p), F.lit(label)) for label, p in rules])
@@ -51,6 +56,15 @@ def labels(prefix: str, rules: Iterable[tuple[str, str]], occurs: Callable[[str]
     return F.array_compact(F.array(*[F.when(occurs(f"(?i){p}"), F.lit(f"{prefix}:{key}")) for key, p in rules]))
 
 
+def _labels_as(prefix: str, rules: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    return lambda t: labels(prefix, rules, t.rlike)
+
+
+def in_any(texts: Column, prefix: str, rules: list[tuple[str, str]]) -> Column:
+    """The labels whose pattern occurs in at least one text of the array."""
+    return let(texts, lambda ts: labels(prefix, rules, lambda p: F.exists(ts, lambda t: t.rlike(p))))
+
+
 def _words(rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(label, EDGE_BEFORE + p + EDGE_AFTER) for label, p in rules]
 
@@ -63,11 +77,13 @@ INTERNSHIPS = [
 
 def programs(title: Column) -> Column:
     """struct(internship, coop): the evidence ``title:<label>`` of each program, null where the title is none."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(unaccented(title), "[‐‑‒–—]", "-"), r"\s+", " "))
-    label = first_label(t, INTERNSHIPS)
-    clinical = (label == "externship") & t.rlike(fixed.CLINICAL)
-    internship = F.when(~t.rlike(fixed.RECRUITS_INTERNS) & ~F.coalesce(clinical, F.lit(False)), F.concat(F.lit("title:"), label))
-    return F.struct(internship.alias("internship"), F.concat(F.lit("title:"), first_label(t, _words(fixed.COOP_WORDS))).alias("coop"))
+
+    def both(t: Column) -> Column:
+        plain = lambda label: F.when(~t.rlike(fixed.RECRUITS_INTERNS) & ~((label == "externship") & t.rlike(fixed.CLINICAL)), F.concat(F.lit("title:"), label))
+        coop = F.concat(F.lit("title:"), first_label(t, _words(fixed.COOP_WORDS)))
+        return F.struct(let(first_label(t, INTERNSHIPS), plain).alias("internship"), coop.alias("coop"))
+
+    return let(F.trim(F.regexp_replace(F.regexp_replace(unaccented(title), "[‐‑‒–—]", "-"), r"\s+", " ")), both)
 
 
 def _type_values(value: Column) -> Column:
@@ -83,12 +99,13 @@ def employment_type(value: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in fixed.TYPES.items() for x in pair])
 
     def one(part: Column) -> Column:
-        token = F.regexp_replace(F.lower(part), "[^a-z0-9]", "")
-        return F.coalesce(F.try_element_at(known, token), first_label(token, fixed.TYPE_PATTERNS))
+        return let(F.regexp_replace(F.lower(part), "[^a-z0-9]", ""), lambda token: F.coalesce(F.try_element_at(known, token), first_label(token, fixed.TYPE_PATTERNS)))
 
-    values = _type_values(value)
-    found = F.array_distinct(F.array_compact(F.transform(values, one)))
-    return F.when(F.exists(values, lambda p: p.rlike(fixed.COOP_TYPE)), "Co-op").when(F.size(found) > 0, F.array_join(found, " / "))
+    def joined(values: Column) -> Column:
+        text = F.array_join(F.array_distinct(F.array_compact(F.transform(values, one))), " / ")
+        return F.when(F.exists(values, lambda p: p.rlike(fixed.COOP_TYPE)), "Co-op").otherwise(F.nullif(text, F.lit("")))
+
+    return let(_type_values(value), joined)
 
 
 def bullet_fields(bullets: Column) -> Column:
@@ -129,7 +146,7 @@ def recruiting_years(title: Column, body: Column, in_us: Column, published: Colu
     at = F.try_to_timestamp(published)
     late = F.month(at) >= 7
     guess = F.struct((F.year(at) + F.when(late, 1).otherwise(0)).alias("year"), F.when(late, "inferred:us-program-posted-h2").otherwise("inferred:us-program-posted-h1").alias("evidence"))
-    return F.when(F.size(stated) > 0, F.array_sort(stated)).when((F.size(keys) > 0) & in_us & at.isNotNull(), F.array(guess)).otherwise(F.slice(stated, 1, 0))
+    return let(stated, lambda found: F.when(F.size(found) > 0, F.array_sort(found)).when((F.size(keys) > 0) & in_us & at.isNotNull(), F.array(guess)).otherwise(found))
 
 
 def ai_data_topic(fields: dict[str, Column], skills: Column, body: list[Column]) -> Column:
@@ -139,16 +156,19 @@ def ai_data_topic(fields: dict[str, Column], skills: Column, body: list[Column])
     The body alone counts with two domains, three supporting signals, or one and two.
     """
     short = fixed.SUPPORTING[:3]
-    structural = F.concat(*[labels(name, [*fixed.DOMAIN, *short], spaced(c).rlike) for name, c in fields.items()])
-    each = F.transform(F.coalesce(skills, F.array().cast("array<string>")), spaced)
-    of_skills = labels("skill", [*fixed.DOMAIN, *fixed.TOOLS, *short], lambda p: F.exists(each, lambda s: s.rlike(p)))
+    structural = F.concat(*[let(spaced(c), _labels_as(name, [*fixed.DOMAIN, *short])) for name, c in fields.items()])
+    of_skills = in_any(F.transform(F.coalesce(skills, F.array().cast("array<string>")), lambda x: spaced(x)), "skill", [*fixed.DOMAIN, *fixed.TOOLS, *short])
     texts = F.array(*[spaced(c) for c in body])
-    in_body = lambda p: F.exists(texts, lambda t: t.rlike(p))
-    domain, supporting = labels("body", fixed.DOMAIN, in_body), labels("body", fixed.SUPPORTING, in_body)
-    d, s = F.size(domain), F.size(supporting)
-    matched = (F.size(structural) > 0) | (F.size(of_skills) > 0) | (d >= 2) | (s >= 3) | ((d >= 1) & (s >= 2))
-    score = 4 * F.size(structural) + 4 * F.size(of_skills) + 2 * d + s
-    return F.struct(matched.alias("matched"), score.alias("score"), F.array_sort(F.array_distinct(F.concat(structural, of_skills, domain, supporting))).alias("evidence"))
+    found = F.struct(structural.alias("fields"), of_skills.alias("skills"), in_any(texts, "body", fixed.DOMAIN).alias("domain"), in_any(texts, "body", fixed.SUPPORTING).alias("supporting"))
+
+    def topic(x: Column) -> Column:
+        d, s = F.size(x["domain"]), F.size(x["supporting"])
+        matched = (F.size(x["fields"]) > 0) | (F.size(x["skills"]) > 0) | (d >= 2) | (s >= 3) | ((d >= 1) & (s >= 2))
+        score = 4 * F.size(x["fields"]) + 4 * F.size(x["skills"]) + 2 * d + s
+        evidence = F.array_sort(F.array_distinct(F.concat(x["fields"], x["skills"], x["domain"], x["supporting"])))
+        return F.struct(matched.alias("matched"), score.alias("score"), evidence.alias("evidence"))
+
+    return let(found, topic)
 
 
 def _in_track(area: str) -> str:
@@ -164,21 +184,22 @@ def areas(fields: dict[str, Column], skills: Column, body: list[Column]) -> Colu
     an explicit list of tracks. Software engineering is told by title, jobFamily and jobFunction alone.
     """
     clean = lambda c: F.regexp_replace(spaced(c), "(?i)&amp;", "&")
-    each, texts = F.transform(F.coalesce(skills, F.array().cast("array<string>")), clean), F.array(*[clean(c) for c in body])
+    each, texts = F.transform(F.coalesce(skills, F.array().cast("array<string>")), lambda x: clean(x)), F.array(*[clean(c) for c in body])
     found = []
     for area, signals in fixed.AREAS.items():
         software = area == "software-engineering"
         own = [c for c in fields if not software or c in ("title", "jobFamily", "jobFunction")]
-        four = F.concat(*[labels(name, signals, clean(fields[name]).rlike) for name in own])
+        four = F.concat(*[let(clean(fields[name]), _labels_as(name, signals)) for name in own])
         two = F.array().cast("array<string>")
         if not software:
-            four = F.concat(four, labels("skill", signals, lambda p: F.exists(each, lambda s: s.rlike(p))))
+            four = F.concat(four, in_any(each, "skill", signals))
             tracks = [*signals, *(fixed.DATA_TRACK if area == "data-analytics" else [])]
             guard = _in_track(area)
-            two = labels("body-track", [(key, f"(?={p}){guard}") for key, p in tracks], lambda p: F.exists(texts, lambda t: t.rlike(p)))
-        entry = F.struct(F.lit(area).alias("area"), (4 * F.size(four) + 2 * F.size(two)).alias("score"), F.array_sort(F.concat(four, two)).alias("evidence"))
-        found.append(F.when(F.size(entry["evidence"]) > 0, entry))
-    return F.array_compact(F.array(*found))
+            two = in_any(texts, "body-track", [(key, f"(?={p}){guard}") for key, p in tracks])
+        found.append(F.struct(F.lit(area).alias("area"), four.alias("four"), two.alias("two")))
+    own = F.filter(F.array(*found), lambda a: F.size(a["four"]) + F.size(a["two"]) > 0)
+    score = lambda a: 4 * F.size(a["four"]) + 2 * F.size(a["two"])
+    return F.transform(own, lambda a: F.struct(a["area"].alias("area"), score(a).alias("score"), F.array_sort(F.concat(a["four"], a["two"])).alias("evidence")))
 
 
 def _place(c: Column) -> Column:
@@ -194,12 +215,11 @@ def _generic(place: Column) -> Column:
 
 
 def _of_location(location: Column) -> Column:
-    place = _place(location)
     code = F.regexp_extract(F.trim(F.coalesce(location, F.lit(""))), fixed.PLACE_CODE, 1)
-    return (
+    return let(_place(location), lambda place: (
         F.when(_generic(place), None).when(_phrase(place, fixed.US_NAMES), "us").when(_phrase(place, fixed.ELSEWHERE), "non_us").when(_phrase(place, fixed.STATES), "us")
         .when(code.isin(*fixed.STATE_CODES), "us").when(code.isin(*fixed.PROVINCE_CODES), "non_us")
-    )
+    ))
 
 
 def region(location: Column, city: Column, state: Column, country: Column, secondary: Column, source_in_us: Column | None = None) -> Column:
@@ -209,10 +229,10 @@ def region(location: Column, city: Column, state: Column, country: Column, secon
     of_country = F.when(land.isin(*fixed.NO_COUNTRY), None).when(land.isin(*fixed.US_NAMES), "us").otherwise("non_us")
     of_state = F.when((F.coalesce(country, F.lit("")) == "") & (F.coalesce(city, F.lit("")) != "") & F.upper(F.trim(state)).isin(*fixed.STATE_CODES), "us")
     found = F.array_compact(F.concat(F.array(of_country, of_state, _of_location(location)), F.transform(others, _of_location)))
-    us, other = F.array_contains(found, "us"), F.array_contains(found, "non_us")
+    us, other = lambda f: F.array_contains(f, "us"), lambda f: F.array_contains(f, "non_us")
     nowhere = _generic(_place(location)) & ~F.exists(others, lambda x: ~_generic(_place(x))) & blank(city) & blank(state) & land.isin(*fixed.NO_COUNTRY)
     hint = nowhere & F.coalesce(source_in_us, F.lit(False)) if source_in_us is not None else F.lit(False)
-    return F.when(us & other, "mixed").when(us, "us").when(other, "non_us").when(hint, "us").otherwise("unknown")
+    return let(found, lambda f: F.when(us(f) & other(f), "mixed").when(us(f), "us").when(other(f), "non_us").when(hint, "us").otherwise("unknown"))
 
 
 def url_adapter(url: Column) -> Column:
@@ -237,11 +257,16 @@ def resume_match(p: Callable[[str], Column], target_year: int = 2027, least: int
     experience_requirements, security_clearance, published_at, region; arrays skills, program_keys, recruiting_years (int).
     The first exclusion that fits ends it. Points of skills count up to 30 together, all points up to 100.
     """
-    title = _matchable(p("title"))
-    role_text = _matchable(*[p(x) for x in ("title", "job_family", "job_function", "summary", "description", "responsibilities", "qualifications")])
-    terms = _matchable(*[p(x) for x in ("qualifications", "education_requirements", "experience_requirements", "security_clearance")])
-    skill_text = _matchable(*[p(x) for x in ("summary", "description", "responsibilities", "qualifications")], F.array_join(p("skills"), " "), p("job_family"), p("job_function"))
-    education_text = _matchable(*[p(x) for x in ("education_requirements", "qualifications", "description")])
+    role = [p(x) for x in ("title", "job_family", "job_function", "summary", "description", "responsibilities", "qualifications")]
+    terms = [p(x) for x in ("qualifications", "education_requirements", "experience_requirements", "security_clearance")]
+    skills = [*[p(x) for x in ("summary", "description", "responsibilities", "qualifications")], F.array_join(p("skills"), " "), p("job_family"), p("job_function")]
+    education = [p(x) for x in ("education_requirements", "qualifications", "description")]
+    texts = {"title": [p("title")], "role": role, "terms": terms, "skills": skills, "education": education}
+    return let(F.struct(*[_matchable(*parts).alias(name) for name, parts in texts.items()]), lambda t: _match(p, t, target_year, least))
+
+
+def _match(p: Callable[[str], Column], t: Column, target_year: int, least: int) -> Column:
+    title, role_text, terms, skill_text, education_text = (t[name] for name in ("title", "role", "terms", "skills", "education"))
     no = lambda c: F.coalesce(c, F.lit(False))
     school = (title.rlike(fixed.HIGH_SCHOOL) & title.rlike(fixed.HIGH_SCHOOL_TITLE)) | (terms.rlike(fixed.HIGH_SCHOOL) & (~terms.rlike(fixed.HIGHER_EDUCATION) | terms.rlike(fixed.HIGH_SCHOOL_ONLY)))
     doctoral = terms.rlike(fixed.DOCTORAL_ONLY) | (title.rlike(fixed.DOCTORAL) & ~terms.rlike(fixed.BELOW_DOCTORAL))
@@ -260,11 +285,10 @@ def resume_match(p: Callable[[str], Column], target_year: int = 2027, least: int
     more = lambda condition, code: F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(5).alias("points")))
     parts = [role, *skills, _first_points(role_text, fixed.DOMAINS), _first_points(education_text, fixed.EDUCATION)]
     parts += [more(no(F.array_contains(p("recruiting_years"), target_year)), f"year:{target_year}"), more(F.coalesce(p("published_at"), F.lit("")) != "", "freshness:published")]
-    excluded = F.coalesce(excluded, F.when(role.isNull(), "role:not-supported"))
-    evidence = F.array_compact(F.array(*parts))
-    evidence = F.when(excluded.isNull(), evidence).otherwise(F.slice(evidence, 1, 0))
-    score = F.least(F.lit(100), F.aggregate(evidence, F.lit(0), lambda a, x: a + x["points"]))
-    return F.struct(
-        (excluded.isNull() & (score >= least)).alias("eligible"), score.alias("score"), evidence.alias("evidence"),
-        F.coalesce(excluded, F.when(score < least, "score:below-threshold")).alias("exclusion"),
-    )
+    found = let(F.struct(excluded.alias("excluded"), F.array(*parts).alias("parts")), lambda x: F.struct(
+        F.coalesce(x["excluded"], F.when(F.get(x["parts"], F.lit(0)).isNull(), "role:not-supported")).alias("excluded"), F.array_compact(x["parts"]).alias("evidence")))
+    kept = let(found, lambda x: F.struct(x["excluded"].alias("excluded"), F.filter(x["evidence"], lambda _: x["excluded"].isNull()).alias("evidence")))
+    summed = let(kept, lambda x: F.struct(x["excluded"].alias("excluded"), x["evidence"].alias("evidence"), F.least(F.lit(100), F.aggregate(x["evidence"], F.lit(0), lambda a, e: a + e["points"])).alias("score")))
+    return let(summed, lambda x: F.struct(
+        (x["excluded"].isNull() & (x["score"] >= least)).alias("eligible"), x["score"].alias("score"), x["evidence"].alias("evidence"),
+        F.coalesce(x["excluded"], F.when(x["score"] < least, "score:below-threshold")).alias("exclusion")))

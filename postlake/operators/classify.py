@@ -12,16 +12,25 @@ def _none(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def classified(listings: DataFrame) -> DataFrame:
-    """listings with columns program, kind, region, years, topic and areas; of ``id, title, employment_type, location, body, skills, published_at``."""
+#: Columns that others are made from.
+NEEDS = {"kind": ("program", "type"), "years": ("program", "type", "kind")}
+ALL = ("program", "type", "region", "topic", "areas", "kind", "years")
+
+
+def classified(listings: DataFrame, labels: tuple[str, ...] = ALL) -> DataFrame:
+    """listings with the named label columns; of ``id, title, employment_type, location, body, skills, published_at``."""
     fields = {name: F.col("title") if name == "title" else _none() for name in ("title", "department", "team", "businessUnit", "jobFamily", "jobFunction")}
-    first = listings.withColumns({
-        "program": C.programs(F.col("title")), "type": C.employment_type(F.col("employment_type")), "region": C.region(F.col("location"), _none(), _none(), _none(), _none("array<string>")),
-        "topic": C.ai_data_topic(fields, F.col("skills"), [F.col("body")]), "areas": C.areas(fields, F.col("skills"), [F.col("body")]),
-    })
-    second = first.withColumn("kind", C.effective_program(F.col("type"), F.col("program.internship"), F.col("program.coop")))
-    years = C.recruiting_years(F.col("title"), F.col("body"), C.in_united_states(_none(), F.col("location")), F.col("published_at"), F.col("kind.keys"))
-    return second.withColumn("years", years)
+    made = {
+        "program": lambda: C.programs(F.col("title")), "type": lambda: C.employment_type(F.col("employment_type")),
+        "region": lambda: C.region(F.col("location"), _none(), _none(), _none(), _none("array<string>")),
+        "topic": lambda: C.ai_data_topic(fields, F.col("skills"), [F.col("body")]), "areas": lambda: C.areas(fields, F.col("skills"), [F.col("body")]),
+        "kind": lambda: C.effective_program(F.col("type"), F.col("program.internship"), F.col("program.coop")),
+        "years": lambda: C.recruiting_years(F.col("title"), F.col("body"), C.in_united_states(_none(), F.col("location")), F.col("published_at"), F.col("kind.keys")),
+    }
+    wanted = {*labels, *(n for x in labels for n in NEEDS.get(x, ()))}
+    for step in (ALL[:5], ALL[5:6], ALL[6:]):
+        listings = listings.withColumns({name: made[name]() for name in step if name in wanted})
+    return listings
 
 
 def scored(labelled: DataFrame, target_year: int = 2027) -> DataFrame:

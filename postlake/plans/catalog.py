@@ -262,18 +262,18 @@ KNOWN = f"""known AS (SELECT p_partkey AS id, {INTERNSHIP} AS internship, {COOP}
 
 @query(f"WITH {KNOWN} SELECT id, internship, coop FROM known")
 def job_programs(spark, sf_dir):
-    return classify.classified(listings(spark, sf_dir)).select("id", "program.internship", "program.coop")
+    return classify.classified(listings(spark, sf_dir), ("program",)).select("id", "program.internship", "program.coop")
 
 
 @query(f"""WITH {KNOWN} SELECT id, kind AS type, CASE WHEN kind = 'Co-op' OR coop IS NOT NULL THEN 'Co-op' ELSE coalesce(kind, CASE WHEN internship IS NOT NULL THEN 'Internship' END) END AS effective,
   CASE WHEN kind = 'Co-op' OR coop IS NOT NULL THEN 'coop' WHEN internship IS NOT NULL OR kind LIKE 'Internship%' THEN 'internship' ELSE '' END AS keys FROM known""")
 def job_employment_types(spark, sf_dir):
-    return classify.classified(listings(spark, sf_dir)).select("id", "type", F.col("kind.employment_type").alias("effective"), F.array_join("kind.keys", ",").alias("keys"))
+    return classify.classified(listings(spark, sf_dir), ("kind",)).select("id", "type", F.col("kind.employment_type").alias("effective"), F.array_join("kind.keys", ",").alias("keys"))
 
 
 @query(f"WITH {KNOWN} SELECT region, count(*) AS jobs FROM known GROUP BY 1")
 def job_regions(spark, sf_dir):
-    return classify.classified(listings(spark, sf_dir)).groupBy("region").agg(F.count(F.lit(1)).alias("jobs"))
+    return classify.classified(listings(spark, sf_dir), ("region",)).groupBy("region").agg(F.count(F.lit(1)).alias("jobs"))
 
 
 @query(f"""WITH {KNOWN}, stated AS (SELECT *, coalesce({turn(None, None, None, None, None, "2027", None, "2026", None, None, None)}, '') AS t, coalesce({turn(None, "2027", None, None, None)}, '') AS b FROM known)
@@ -281,7 +281,7 @@ def job_regions(spark, sf_dir):
     WHEN id % 3 = 0 AND in_us AND (internship IS NOT NULL OR coop IS NOT NULL OR kind = 'Co-op' OR kind LIKE 'Internship%') THEN '2027:inferred:us-program-posted-h2' ELSE '' END AS years FROM stated""")
 def job_recruiting_years(spark, sf_dir):
     years = F.array_join(F.transform("years", lambda y: F.concat_ws(":", y["year"].cast("string"), y["evidence"])), ",")
-    return classify.classified(listings(spark, sf_dir)).select("id", years.alias("years"))
+    return classify.classified(listings(spark, sf_dir), ("years",)).select("id", years.alias("years"))
 
 
 @query(f"""WITH t AS (SELECT p_partkey AS id, {turn("title:machine learning", None, None, "title:data science", None, None, None, None, "title:ai", None, "title:research scientist")} AS a,
@@ -289,7 +289,7 @@ def job_recruiting_years(spark, sf_dir):
   SELECT id, a IS NOT NULL OR b IS NOT NULL OR tracks AS matched, (4 * (a IS NOT NULL)::INT + 4 * (b IS NOT NULL)::INT + 4 * tracks::INT)::INTEGER AS score,
     concat_ws(',', CASE WHEN tracks THEN 'body:data engineering,body:machine learning' END, b, a) AS evidence FROM t""")
 def job_ai_data_topic(spark, sf_dir):
-    return classify.classified(listings(spark, sf_dir)).select("id", "topic.matched", "topic.score", F.array_join("topic.evidence", ",").alias("evidence"))
+    return classify.classified(listings(spark, sf_dir), ("topic",)).select("id", "topic.matched", "topic.score", F.array_join("topic.evidence", ",").alias("evidence"))
 
 
 @query(f"""WITH t AS (SELECT p_partkey AS id, unnest(['ai-ml', 'data-analytics', 'software-engineering']) AS area, p_partkey % 5 = 2 AS tracks, p_partkey % 4 = 0 AS torch,
@@ -298,7 +298,7 @@ def job_ai_data_topic(spark, sf_dir):
     CASE WHEN torch AND area = 'ai-ml' THEN 'skill:pytorch' END, a) AS evidence, (4 * (a IS NOT NULL)::INT + 4 * (torch AND area = 'ai-ml')::INT + CASE WHEN tracks AND area = 'ai-ml' THEN 2 WHEN tracks AND area = 'data-analytics' THEN 4 ELSE 0 END)::INTEGER AS score FROM t)
   SELECT id, area, score, evidence FROM e WHERE score > 0""")
 def job_areas(spark, sf_dir):
-    each = classify.classified(listings(spark, sf_dir)).select("id", F.explode("areas").alias("a"))
+    each = classify.classified(listings(spark, sf_dir), ("areas",)).select("id", F.explode("areas").alias("a"))
     return each.select("id", "a.area", "a.score", F.array_join("a.evidence", ",").alias("evidence"))
 
 
@@ -310,12 +310,12 @@ def url_adapters(spark, sf_dir):
 @query(f"""WITH {KNOWN} SELECT id, CASE WHEN region <> 'us' THEN 'region:not-us' WHEN internship IS NULL AND coop IS NULL AND coalesce(kind, '') <> 'Co-op' AND coalesce(kind, '') NOT LIKE 'Internship%' THEN 'program:not-internship'
     WHEN p_partkey % 11 = 8 THEN 'role:recruiting' WHEN p_partkey % 11 = 10 AND p_partkey % 5 <> 0 THEN 'education:phd-only' WHEN p_partkey % 5 = 4 THEN 'authorization:citizen-only' ELSE 'scored' END AS exclusion FROM known""")
 def resume_exclusions(spark, sf_dir):
-    found = classify.scored(classify.classified(listings(spark, sf_dir)))
+    found = classify.scored(classify.classified(listings(spark, sf_dir), ("region", "years")))
     named = F.when(F.col("match.exclusion").isin("role:not-supported", "score:below-threshold"), "scored").otherwise(F.coalesce("match.exclusion", F.lit("scored")))
     return found.select("id", named.alias("exclusion"))
 
 
 @query()
 def resume_matches(spark, sf_dir):
-    found = classify.scored(classify.classified(listings(spark, sf_dir))).filter("match.eligible")
+    found = classify.scored(classify.classified(listings(spark, sf_dir), ("region", "years"))).filter("match.eligible")
     return found.select("id", "match.score", F.array_join("match.evidence.code", ",").alias("evidence"))
