@@ -8,7 +8,8 @@ region are returned in page order, without those whose own words score negative
 (a notice or an advert amid the article).
 
 Defined cases: null or empty html gives an empty text; markup that never closes
-ends with the page; every row gives one row.
+ends with the page, but a head ends at <body>, at the first words or at the
+first element that may not stand in it; every row gives one row.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .common import pick, text_batches
 
 # Element names by their part in a page.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = set("script style noscript template iframe object svg math canvas select textarea button audio video head title".split())
+SKIPPED = set("script style noscript template iframe object svg math canvas select textarea button audio video title noframes noembed".split())
+HEAD_PARTS = set("base basefont bgsound link meta noframes noscript script style template title".split())
 FRAMES = set("nav header footer aside form dialog menu".split())
 MAIN = set("article main".split())
 TRACKED = FRAMES | MAIN | set("div section ul ol table p td li details figure span blockquote".split())
@@ -33,7 +35,9 @@ TRACKED = FRAMES | MAIN | set("div section ul ol table p td li details figure sp
 NOISE_NAMES = set("ad ads advert adverts advertisement adbox banner promo promotion sponsor sponsored cookie cookies consent notice alert popup modal overlay sidebar widget menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer comment comments reply replies respond discussion disqus share sharing social related recommended newsletter subscribe signup login search form pager pagination tags copyright skip hidden".split())
 MAIN_NAMES = set("article content entry post main story body text".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+# Elements whose content is text up to their close, whatever stands in it, are one token with it.
+RAW = r"(?i:<(?P<raw>script|style|title|textarea|iframe|noscript|noframes|noembed)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"
+TOKEN = re.compile(RAW + r"|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 HIDDEN = re.compile(r"""\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -54,12 +58,15 @@ def kind_of(tag: str, markup: str) -> str | None:
 
 def tokens(page: str):
     """(kind, value): ('tag', name), ('block', '') at block borders, or (feature of the words' place, text)."""
-    out, stack, closes = [], [], None
+    out, stack, closes, head = [], [], None, False
     link = 0
     for m in TOKEN.finditer(page):
         t = m.group()
         if t[0] != "<" or len(t) == 1:
             if closes is None:
+                if head and not t.strip():
+                    continue
+                head = False
                 kind = next((k for _, k in reversed(stack) if k == "noise"), None) or next((k for _, k in reversed(stack) if k), "plain")
                 out.append((f"word:{kind}" + (":link" if link else ""), t))
             continue
@@ -71,12 +78,25 @@ def tokens(page: str):
             if shut and name == closes:
                 closes = None
             continue
+        if name == "head":
+            head = not shut
+            if not shut:
+                out.append(("tag", name))
+            continue
+        if head:  # its close may be left out: it ends at the first element that may not stand in it
+            if name in HEAD_PARTS or (shut and name not in ("body", "html", "br")):
+                if name == "template" and not shut and not t.endswith("/>"):
+                    closes = name
+                continue
+            head = False
+        if m["raw"]:
+            if name in SKIPPED:
+                out.append(("tag", name))
+            continue
         if name in SKIPPED and not shut:
             if not t.endswith("/>"):
                 closes = name
             out.append(("tag", name))
-            if name in ("head",):
-                closes = "head"
             continue
         if name == "a":
             link = 0 if shut else 1

@@ -182,6 +182,18 @@ def test_html(spark):
     assert html_text.main_text(None, weights) == html_text.main_text("", weights) == html_text.main_text("<p>", weights) == ""
 
 
+STORY = "<article><p>The boat left the harbour at six and nobody saw it again that day.</p></article>"
+TOLD = "The boat left the harbour at six and nobody saw it again that day."
+
+
+@pytest.mark.parametrize("before", [
+    "<body><script>for(i=0;i<n;i++){f(i)}</script>", "<body><SCRIPT async>if(a<b){s='\"</p>'}</Script >", "<body><style>a<b{c:'d}</style>", "<body><textarea>x<y 'z</textarea>",
+    "<html><head><title>a<b</title><body>", "<html><head><title>T</title><meta charset=utf-8><link href=x>", "<html><head>\n<title>T</title></head><body>", "<head><template><p>no</p></template><script>'<head>'</script>",
+])
+def test_html_after_raw_text_and_open_heads(before):
+    assert html_text.main_text(before + STORY, html_text.learn_weights()) == TOLD
+
+
 def test_toxicity_on_held_out_rows(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
