@@ -3,9 +3,10 @@
 A page is one sequence of tokens. Words score positive and tags negative, each
 by a weight learned from labelled pages: the log odds of standing inside the
 main text, for a word by the kind of element around it, for a tag by its name.
-One linear scan finds the contiguous region with the largest sum. Blocks of the
-region are returned in page order, without those whose own words score negative
-(a notice or an advert amid the article).
+One linear scan finds the contiguous region with the largest sum. Noise inside
+an article (a notice or an advert) counts nothing there. Blocks of the region are
+returned in page order, without noise and without blocks of an unmarked place
+that hold only links; links among other words stay.
 
 Defined cases: null or empty html gives an empty text; markup that never closes
 ends with the page, but a head ends at <body>, at the first words or at the
@@ -33,6 +34,7 @@ MAIN = set("article main".split())
 TRACKED = FRAMES | MAIN | set("div section ul ol table p td li details figure span blockquote".split())
 # Words of class and id names by what they announce.
 NOISE_NAMES = set("ad ads advert adverts advertisement adbox banner promo promotion sponsor sponsored cookie cookies consent notice alert popup modal overlay sidebar widget menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer comment comments reply replies respond discussion disqus share sharing social related recommended newsletter subscribe signup login search form pager pagination tags copyright skip hidden".split())
+ARTICLE_NAMES = set("article entry post story".split())
 MAIN_NAMES = set("article content entry post main story body text".split())
 
 # Elements whose content is text up to their close, whatever stands in it, are one token with it.
@@ -44,11 +46,15 @@ HIDDEN = re.compile(r"""\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*["']?true|display
 NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+")
 
 
-def kind_of(tag: str, markup: str) -> str | None:
-    """What an element announces: noise, main or nothing."""
-    if tag in FRAMES or HIDDEN.search(markup):
+def names_of(markup: str) -> set[str]:
+    return {w.lower() for _, v in NAMED.findall(markup) for w in NAME_WORD.findall(v)} if "=" in markup else set()
+
+
+def kind_of(tag: str, markup: str, in_article: bool = False) -> str | None:
+    """What an element announces: noise, main or nothing. The header of an article is part of it."""
+    if (tag in FRAMES and not (tag == "header" and in_article)) or HIDDEN.search(markup):
         return "noise"
-    names = {w.lower() for _, v in NAMED.findall(markup) for w in NAME_WORD.findall(v)} if "=" in markup else set()
+    names = names_of(markup) - ({"header"} if in_article else set())
     if tag in MAIN:
         return "noise" if names & (NOISE_NAMES - {"header", "tags", "body", "text"}) else "main"
     if names & NOISE_NAMES:
@@ -56,8 +62,18 @@ def kind_of(tag: str, markup: str) -> str | None:
     return "main" if names & MAIN_NAMES else None
 
 
+def place(around: str, kind: str | None) -> str:
+    """The place of words in an element of a kind: main, plain, noise, or cut for noise inside a main container."""
+    if around in ("noise", "cut") or kind is None:
+        return around
+    return "cut" if kind == "noise" and around == "main" else kind
+
+
 def tokens(page: str):
-    """(kind, value): ('tag', name), ('block', '') at block borders, or (feature of the words' place, text)."""
+    """(kind, value): ('tag', name), ('block', '') at block borders, or (feature of the words' place, text).
+
+    Noise inside a main container comes as ('cut', text), and its tags not at all: it says nothing about the region.
+    """
     out, stack, closes, head = [], [], None, False
     link = 0
     for m in TOKEN.finditer(page):
@@ -67,8 +83,8 @@ def tokens(page: str):
                 if head and not t.strip():
                     continue
                 head = False
-                kind = next((k for _, k in reversed(stack) if k == "noise"), None) or next((k for _, k in reversed(stack) if k), "plain")
-                out.append((f"word:{kind}" + (":link" if link else ""), t))
+                kind = stack[-1][1] if stack else "plain"
+                out.append(("cut", t) if kind == "cut" else (f"word:{kind}" + (":link" if link else ""), t))
             continue
         if t[1] in "!?":
             continue
@@ -89,14 +105,12 @@ def tokens(page: str):
                     closes = name
                 continue
             head = False
-        if m["raw"]:
-            if name in SKIPPED:
-                out.append(("tag", name))
-            continue
-        if name in SKIPPED and not shut:
-            if not t.endswith("/>"):
+        cut = bool(stack) and stack[-1][1] == "cut"
+        if name in SKIPPED and (m["raw"] or not shut):
+            if not m["raw"] and not t.endswith("/>"):
                 closes = name
-            out.append(("tag", name))
+            if not cut:
+                out.append(("tag", name))
             continue
         if name == "a":
             link = 0 if shut else 1
@@ -104,7 +118,8 @@ def tokens(page: str):
             out.append(("block", ""))
         elif name == "br":
             out.append(("space", " "))
-        out.append(("tag", name))
+        if not cut:
+            out.append(("tag", name))
         if name in TRACKED:
             if shut:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
@@ -113,7 +128,9 @@ def tokens(page: str):
             elif not t.endswith("/>"):
                 if name in ("p", "li", "td") and stack and stack[-1][0] == name:
                     stack.pop()
-                stack.append((name, kind_of(name, t)))
+                _, around, in_article = stack[-1] if stack else ("", "plain", False)
+                kind = kind_of(name, t, in_article)
+                stack.append((name, place(around, kind), in_article or (kind == "main" and (name in MAIN or bool(names_of(t) & ARTICLE_NAMES)))))
     return out
 
 
@@ -159,28 +176,60 @@ def region(scores: list[float]) -> tuple[int, int]:
     return best_at
 
 
+def in_sentences(found: list[tuple]) -> list[bool]:
+    """For each token whether it is link words of a block that has as many words outside links."""
+    out, start = [False] * len(found), 0
+    for stop in [*(i for i, (kind, _) in enumerate(found) if kind == "block"), len(found)]:
+        linked, n_linked, n_own = [], 0, 0
+        for i in range(start, stop):
+            kind, text = found[i]
+            if kind in ("word:main:link", "word:plain:link"):
+                linked.append(i)
+                n_linked += len(text.split())
+            elif kind in ("word:main", "word:plain"):
+                n_own += sum(any(map(str.isalnum, w)) for w in text.split())
+        if n_own >= n_linked:
+            for i in linked:
+                out[i] = True
+        start = stop + 1
+    return out
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     found = tokens(page)
     plain = weights.get("word:plain", 0.5)
     scores = []
-    for kind, text in found:
+    for (kind, text), spoken in zip(found, in_sentences(found)):
         if kind == "tag":
             scores.append(weights.get(f"tag:{text}", -0.1))
         elif kind.startswith("word:"):
-            scores.append(weights.get(kind, plain) * len(text.split()))
+            each = weights.get(kind, plain)
+            scores.append((max(each, 0.0) if spoken else each) * len(text.split()))
         else:
             scores.append(0.0)
     start, stop = region(scores)
-    blocks, now = [], []
-    for (kind, text), s in zip(found[start:stop], scores[start:stop]):
+    if start < stop:  # whole lines: a link may open or end one
+        while start and found[start - 1][0] not in ("block", "space"):
+            start -= 1
+        while stop < len(found) and found[stop][0] not in ("block", "space"):
+            stop += 1
+    blocks, now, links, spoken = [], [], 0, False
+    for kind, text in [*found[start:stop], ("block", "")]:
         if kind == "block":
-            blocks.append(now)
-            now = []
-        elif kind == "space" or (kind.startswith("word:") and (weights.get(kind, plain) > 0 or kind == "word:main:link")):
-            now.append(text)
-    blocks.append(now)
+            # links alone are no text of an unmarked place, and neither are the signs between them
+            blocks.append([t for t, plain_link in now if spoken or not plain_link] if spoken or not links else [])
+            now, links, spoken = [], 0, False
+        elif kind == "space":
+            now.append((text, False))
+        elif kind == "word:plain:link":
+            now.append((text, weights.get(kind, plain) <= 0))
+            links += now[-1][1] and bool(text.strip())
+            spoken = spoken or not now[-1][1]
+        elif kind.startswith("word:") and (weights.get(kind, plain) > 0 or kind == "word:main:link"):
+            now.append((text, False))
+            spoken = spoken or any(map(str.isalnum, text))
     done = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(b for b in done if b)
 

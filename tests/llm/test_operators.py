@@ -194,6 +194,26 @@ def test_html_after_raw_text_and_open_heads(before):
     assert html_text.main_text(before + STORY, html_text.learn_weights()) == TOLD
 
 
+def test_html_of_all_labelled_pages():
+    weights = html_text.learn_weights()
+    assert len(html_text.LABELLED) == 6
+    for page in html_text.LABELLED:
+        inside = re.sub('<div class="ad">.*?</div>', "<p>", " <p> ".join(re.findall(r"\[\[(.*?)\]\]", page, re.S)))
+        want = [" ".join(re.sub("<[^>]*>", "", b).split()) for b in re.split(r"</?(?:p|h[1-6]|ul|li|blockquote|div|pre)[^>]*>", inside)]
+        assert html_text.main_text(re.sub(r"\[\[|\]\]", "", page), weights).split("\n") == [b for b in want if b]
+
+
+def test_html_keeps_article_words():
+    text = lambda page: html_text.main_text(page, html_text.learn_weights())
+    bare = "<div><a href=/>Start</a> | <a href=/c>Contact</a></div><div><p><a href=/l>Lake Vero</a> froze in <a href=/m>early March</a> and thawed late.</p><p>Nobody crossed it, says <a href=/p>Ann Poe</a></p></div><div><a href=/i>Imprint</a></div>"
+    assert text(bare) == "Lake Vero froze in early March and thawed late.\nNobody crossed it, says Ann Poe"
+    intro, rest = "intro word " * 30, "rest word " * 100
+    for open_, close in (("<aside>", "</aside>"), ("<form>", "</form>"), ('<div class="ad"><ul>', "</ul></div>")):
+        page = f"<body><nav><a href=/>Top</a></nav><article><h1>The headline</h1><p>{intro}</p>{open_}{'<li>buy this now today</li>' * 38}{close}<p>{rest}</p></article><footer>Contact us</footer>"
+        assert text(page) == f"The headline\n{intro.strip()}\n{rest.strip()}"
+    assert text("<header>Site name</header><article><header class='entry-header'><h1>The headline</h1><nav>up</nav></header><p>Some words follow here.</p></article>") == "The headline\nSome words follow here."
+
+
 def test_toxicity_on_held_out_rows(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
