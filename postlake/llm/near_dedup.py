@@ -19,7 +19,8 @@ and grouped minima over written tables; nothing is collected.
 
 Defined cases: null or wordless texts have no shingles and link with nothing;
 a null id takes part and never names a component of known ids; rows that
-repeat an id and a text are linked; an empty table gives an empty result.
+repeat an id and a text are linked; of each component exactly one row is kept,
+whatever ids it repeats; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, maybe_in, pick, text_batches, written
@@ -71,10 +72,15 @@ def min_max(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate((low, high))
 
 
+def row_key(key: Column, text: Column) -> Column:
+    """A digest of a row's id and text: rows that share it are copies of each other."""
+    return F.md5(F.concat(F.xxhash64(key.isNull(), key).cast("string"), F.lit(" "), F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, seed: int = 11) -> DataFrame:
-    """(id, n_shingles, digest, bands): digest names the shingle set, bands holds one hash a band; both null without shingles."""
+    """(id, row, n_shingles, digest, bands): row is the row key, digest names the shingle set, bands holds one hash a band; both null without shingles."""
     bands, rows = _bands(percent)
-    narrow = text_batches(pick(docs, id_col, text_col).toDF("id", "text"))
+    narrow = text_batches(pick(docs, id_col, text_col).toDF("id", "text")).select("id", row_key(F.col("id"), F.col("text")).alias("row"), "text")
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 1 << 63, bands * rows // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, bands * rows // 2, dtype=np.uint64)
@@ -82,7 +88,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     def run(batches):
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for part in _slices(batch.column(1)):
+            for part in _slices(batch.column(2)):
                 for s in shingle_sets(part, words):
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
@@ -94,10 +100,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                     for k in range(rows):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, k])
                     keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "row", "n_shingles", "digest", "bands"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, n_shingles long, digest string, bands array<long>")
+    return narrow.mapInArrow(run, f"id {kind}, row string, n_shingles long, digest string, bands array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, nodes: DataFrame) -> DataFrame:
@@ -253,14 +259,12 @@ def links(entries: DataFrame, sets: DataFrame, percent: int, crowd: int = 16, bl
     return all_edges
 
 
-def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable over links), kept.
-
-    Linked: 100 * shared shingles >= percent * shingles of either.
-    """
+def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """One row per row of docs: id, row (its key), n_shingles, component_id, keeps (the key is the one its component keeps; null without shingles)."""
     rows = written(signatures(docs, id_col, text_col, words, percent))
-    nodes = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("best")
+    nodes = rows.filter("digest is not null").groupBy("digest").agg(best, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumns({"id": F.col("best.id"), "node": F.monotonically_increasing_id()}))
     entries = nodes.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     entries = written(entries.join(shared, "bucket"))
@@ -269,24 +273,41 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     edges = links(entries, sets, percent)
     labels = components(edges)
-    named = nodes.select("node", "digest", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "label").select("digest", "component_id")
+    named = nodes.select("node", "digest", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("best").alias("least"))
+    named = named.join(least, "label").select("digest", "least")
     forget(sets, entries)
-    linked = rows.filter("digest is not null").join(named, "digest").select("id", "n_shingles", "component_id")
-    alone = rows.filter("digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = linked.union(alone)
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = rows.filter("digest is not null").join(named, "digest").select("id", "row", "n_shingles", F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("keeps"))
+    alone = rows.filter("digest is null").select("id", "row", "n_shingles", F.col("id").alias("component_id"), F.lit(None).cast("boolean").alias("keeps"))
+    return linked.union(alone)
+
+
+def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable over links), kept (one row a component).
+
+    Linked: 100 * shared shingles >= percent * shingles of either.
+    """
+    rows = judged(docs, id_col, text_col, words, percent)
+    # a window for each component's kept key alone: all other rows are spread by themselves
+    apart = F.when(F.col("keeps"), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    number = F.row_number().over(Window.partitionBy("row", "_apart").orderBy(F.lit(1)))
+    out = rows.withColumn("_apart", apart).withColumn("_number", number)
+    kept = F.coalesce(F.col("keeps"), F.lit(True)) & (F.col("_number") == 1)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
 
 def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, without the documents that are not kept; only rows that may be among those are shuffled."""
-    gone = written(pick(near_dups(docs, id_col, text_col, words, percent).filter("not kept"), id_col).toDF("_gone").distinct())
+    """docs, all columns, with one row of each component; only rows that may be among the others are shuffled."""
+    found = judged(docs, id_col, text_col, words, percent).filter("keeps is not null")
+    gone = written(found.groupBy(F.col("row").alias("_gone")).agg(F.first("keeps").alias("_keeps"), F.count(F.lit(1)).alias("_n")).filter("not _keeps or _n > 1").drop("_n"))
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    key = F.col(f"c{docs.columns.index(id_col)}")
-    marked = maybe_in(plain, F.xxhash64(key), gone, F.xxhash64("_gone"), "_asked")
-    stays = marked.filter("not _asked").drop("_asked")
-    asked = marked.filter("_asked").drop("_asked").join(gone, key.eqNullSafe(F.col("_gone")), "left_anti")
+    at = lambda name: F.col(f"c{docs.columns.index(name)}")
+    marked = maybe_in(plain.withColumn("_row", row_key(at(id_col), at(text_col))), F.xxhash64("_row"), gone, F.xxhash64("_gone"), "_asked")
+    stays = marked.filter("not _asked").drop("_asked", "_row")
+    asked = marked.filter("_asked").drop("_asked")
+    again = written(gone.filter("_keeps").select("_gone"))  # of rows that repeat an id and a text, one
+    copies = asked.join(again, F.col("_row") == F.col("_gone")).drop("_gone").dropDuplicates(["_row"])
+    asked = asked.join(gone, F.col("_row") == F.col("_gone"), "left_anti").unionByName(copies).drop("_row")
     return stays.unionByName(asked).toDF(*docs.columns)
 
 

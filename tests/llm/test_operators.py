@@ -131,6 +131,18 @@ def test_near_dups_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in out.items() if r.kept)
 
 
+def test_near_dups_keep_one_row_a_component(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, words("a")), (None, words("a") + " more"), (None, words("b")), (None, words("c")), (None, words("c") + " more"), (7, words("d")), (7, words("e") + " more"), (6, words("e")), (8, words("f")), (8, words("f")), (8, words("f") + " more"), (None, None), (9, "")]
+    out = near_dedup.drop_near_dups(docs(spark, rows)).collect()
+    first = sorted((r[1] or "").split(" ")[0] for r in out)
+    assert first == ["", "", "a0", "b0", "c0", "d0", "e0", "f0"] and len(out[0]) == len(SCHEMA.split(","))
+    assert {(r[0], r[1].split(" ")[0]) for r in out if r[1]} == {(1, "a0"), (None, "b0"), (None, "c0"), (7, "d0"), (6, "e0"), (8, "f0")}
+    judged = near_dedup.near_dups(docs(spark, rows)).collect()
+    assert len(judged) == len(rows) and sum(r.kept for r in judged) == len(out)
+    assert {r.component_id for r in judged if r.doc_id == 7} == {6, 7}
+
+
 def test_near_dups_of_a_table(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in table.collect()]
