@@ -34,22 +34,49 @@ def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select("row.*").toDF(*like.columns)
 
 
-def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with Arrow batches of its session held to rows: texts are long, and a worker holds a batch at a time."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(name, "10000")) > rows:
-        conf.set(name, str(rows))
+def text_batches(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """df, for a map over Arrow batches: a worker holds a batch at a time, so its bytes are bounded, not its rows.
+
+    The limit belongs to the session (Spark reads it when the query runs); a smaller one that is set already stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(1 << 30)).rstrip("b")) > most:
+        conf.set(name, str(most))
     return df
 
 
+def light(batches):
+    """batches, as a task of a mapInArrow should read them: what Arrow frees goes back to the system, not to a pool."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from task to task and count in their executor's memory."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another libc
+        pass
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share; a temporary one only in local mode where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postlake-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -65,24 +92,33 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete tables of :func:`written` that nothing will read again."""
+    """Delete tables of :func:`written` that nothing will read again. What a returned DataFrame still reads stays in the shared folder."""
     for t in tables:
         path = getattr(t, "written_path", None)
         if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            delete(t.sparkSession, path)
 
 
 #: Bits held by one value of bitmap_construct_agg (fixed by Spark).
 BITMAP_BITS = 32768
 
 
+def slots_for(rows: int) -> int:
+    """Slots of a bitmap for the keys that occur again among so many rows: 16 a key, 64 MB of bits at most."""
+    return 1 << min(29, max(20, (8 * rows).bit_length()))
+
+
 def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, its_key: Column, flag: str, slots: int = 1 << 23) -> DataFrame:
     """rows with the boolean flag: false where key (a long) is surely not among its_key of keys.
 
-    What is broadcast is a bitmap of fixed size: at most slots / 32768 rows of 4 KB, however many keys.
+    What is broadcast is a bitmap: at most slots / 32768 rows of 4 KB, however many keys. Where keys outnumber the
+    slots more rows are flagged, and nothing else changes.
     """
     part = lambda c: F.floor(F.pmod(c, F.lit(slots)) / BITMAP_BITS).cast("int")
     bit = lambda c: F.pmod(F.pmod(c, F.lit(slots)), F.lit(BITMAP_BITS)).cast("int")
@@ -90,3 +126,21 @@ def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, its_key: Column, fla
     rows = rows.withColumns({"_part": part(key), "_bit": bit(key)}).join(F.broadcast(bits), "_part", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit / 8) + 1, 1)")), 16, 10).cast("int")
     return rows.withColumn(flag, F.coalesce(F.getbit(byte, F.expr("_bit % 8")) == 1, F.lit(False))).drop("_part", "_bit", "_bits")
+
+
+def join_hot(rows: DataFrame, few: DataFrame, key: str, counts: DataFrame, total: int, spread: list[str], parts: int = 1000, least: int = 64) -> DataFrame:
+    """rows joined with few, which has one row (or a few) a key, though one key may have a third of all rows.
+
+    counts(key, _n) says how many rows each key of rows has and total their number. A key with more than one
+    ``parts``-th of all rows is split by the columns of spread into pieces of that size, and its rows of few
+    are repeated once a piece. At most ``parts`` keys can be so large, which bounds what is broadcast. A few
+    thousand rows are no load for one task and are joined plainly.
+    """
+    if total < 4000:
+        return rows.join(few, key)
+    limit = max(least, total // parts)
+    hot = counts.filter(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_pieces"))
+    one = F.coalesce("_pieces", F.lit(1))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_piece", F.pmod(F.xxhash64(F.lit(17), *spread), one).cast("int")).drop("_pieces")
+    few = few.join(F.broadcast(hot), key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), one - 1))).drop("_pieces")
+    return rows.join(few, [key, "_piece"]).drop("_piece")
