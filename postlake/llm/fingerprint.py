@@ -7,12 +7,17 @@ in the other estimates containment. A text none of whose hashes falls
 below the fraction keeps its smallest one, so only a text without words has
 an empty fingerprint.
 
+A hash kept that way is no sample by the common rule: containment does not count it
+(null where nothing else is known), and likeness only against another text of that kind.
+
 Shingles are five successive lower-cased words, or all words where there are
 fewer. Everything is a projection by built-in functions.
 
 Defined cases: a null text counts as empty; two empty fingerprints are alike
 (1.0), an empty and a filled one are not (0.0); the next document of a repeated
-id is the row with the smallest text start of the next id; a null id comes first.
+id is the row with the smallest text start of the next id; a null id comes first;
+texts are read whole, however long; an empty table gives an empty result; columns of any other
+name are left out.
 """
 
 from __future__ import annotations
@@ -47,15 +52,22 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness, 0 to 1."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+def within(s: Column, one_in: int = 8) -> Column:
+    """The hashes below the fraction: all of a sketch but the one kept for a text that has none there."""
+    return F.filter(s, lambda h: h < (1 << HASH_BITS) // one_in)
+
+
+def likeness(a: Column, b: Column, one_in: int = 8) -> Column:
+    """Estimated Jaccard likeness, 0 to 1. A smallest hash kept beyond the fraction counts only against another such."""
+    x, y = within(a, one_in), within(b, one_in)
+    both = F.size(F.array_union(x, y))
+    return F.when(both > 0, F.size(F.array_intersect(x, y)) / both).otherwise((a == b).cast("double"))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has too; 1 for an empty a."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, one_in: int = 8) -> Column:
+    """Estimated share of a's shingles that b has too; 1 for an empty a, null if a has no hash below the fraction to judge by."""
+    x = within(a, one_in)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(x) > 0, F.size(F.array_intersect(x, within(b, one_in))) / F.size(x))
 
 
 def as_text(s: Column) -> Column:
@@ -105,7 +117,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = sketch(both, "edited", "e", words, one_in)
     return both.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("f")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"),
+        likeness(F.col("f"), F.col("e"), one_in).alias("near_edited"), likeness(F.col("f"), F.col("next_f"), one_in).alias("near_next"),
+        containment(F.col("f"), F.col("e"), one_in).alias("share_in_edited"), containment(F.col("e"), F.col("f"), one_in).alias("share_of_edited"),
+        containment(F.col("f"), F.col("next_f"), one_in).alias("share_in_next"), containment(F.col("next_f"), F.col("f"), one_in).alias("share_of_next"),
     )
 
 
