@@ -4,8 +4,8 @@ Documents are counted by source and exact length. A source whose target is q
 whole times its size and a remainder repeats every document q times, and the
 remainder is fitted by choosing how many documents of each length are taken
 once more: first the same share of every length, then a bounded knapsack
-over the counts left makes the taken words meet the budget exactly, or as
-nearly as the lengths allow. Which documents of a length are taken follows a
+over changes of these counts makes the taken words meet the budget exactly, or as
+nearly as any choice can. Which documents of a length are taken follows a
 seeded hash of the id, so reruns agree.
 
 Only counts reach the fitting step: one group holds one source's distinct
@@ -13,11 +13,15 @@ lengths, not its documents. Documents are then chosen by hash bucket, so that a
 length that a third of all rows share is spread over ``buckets`` groups.
 
 Defined cases: a null text has size 0; null sources form one source that comes
-last; a source or table without words takes nothing; repeated rows each count.
+last; a source or table without words takes nothing; repeated rows each count; of equal
+seeded hashes the smaller id goes first; texts are counted whole; an empty table gives an empty
+result; columns of any other name pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -54,11 +58,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, max_repeats:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take (0 to counts) so that their words come nearest to budget from below.
+    """How many documents of each length to take (0 to counts): of all choices within budget one with most words.
 
-    The same share of every length first; then whole documents from long to short while they fit; what is
-    left is below the shortest length still untaken or is settled by a bounded knapsack over counts that
-    may also give documents of the first steps back.
+    The same share of every length first, then whole documents from long to short while they fit, then
+    the bounded knapsack for what is left.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -73,46 +76,52 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             n = min(int(counts[i] - take[i]), left // int(lengths[i]))
             take[i] += n
             left -= n * int(lengths[i])
-    if left:
-        take, left = _knapsack(lengths, counts, take, left)
-    return take
-
-
-def _knapsack(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int, back: int = 4) -> tuple[np.ndarray, int]:
-    """Bounded-knapsack dynamic programme: give ``back`` of the taken documents of one length back, then fill that room."""
-    usable = np.flatnonzero((take > 0) & (lengths > 0))
-    best = (left, take)
-    for i in usable[np.argsort(lengths[usable], kind="stable")[len(usable) // 2 :]][:8]:
-        room = take.copy()
-        n = min(back, int(take[i]))
-        room[i] -= n
-        budget = left + n * int(lengths[i])
-        reach, layers = 1, []
-        mask = (1 << (budget + 1)) - 1
-        for j in np.argsort(lengths, kind="stable"):
-            size, free = int(lengths[j]), int(counts[j] - room[j])
-            if size == 0 or free == 0 or size > budget:
-                continue
-            free = min(free, budget // size)
-            step = 1
+    return _knapsack(lengths, counts, take, left) if left else take
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int) -> np.ndarray:
+    """Bounded-knapsack dynamic programme over changes of take that use up as much of left as can be.
+
+    Each length may change by at most ``most`` documents either way; most grows until the budget is met, or nothing
+    more could be gained. Meeting it is: left is down to its remainder by the lengths' common divisor. And no more can be
+    gained once most is above three times the longest length: the changes to a best choice can be ordered so that their partial
+    sums stay within that many values, and where a partial sum comes twice, the changes between cancel out and can be left off.
+    """
+    usable = [int(i) for i in np.argsort(lengths, kind="stable") if lengths[i] > 0 and counts[i] > 0]
+    least = left % math.gcd(*[int(lengths[i]) for i in usable])
+    # no length above all that could be added or given back takes part in a gain, but as something given back
+    limit = 3 * int(lengths[usable[-1]]) + 1
+    best, most = (left, take), 2
+    while best[0] > least:
+        reach, base, layers, done = 1, 0, [], []
+        for i in usable:
+            size, down, up = int(lengths[i]), min(int(take[i]), most), min(int(counts[i] - take[i]), most)
+            free, step = down + up, 1
+            base += down * size
+            done.append((i, down))
             while free > 0:  # binary splitting of the bounded count
                 m = min(step, free)
-                layers.append((j, m, reach))
-                reach |= (reach << (m * size)) & mask
+                layers.append((i, m, reach))
+                reach |= reach << (m * size)
                 free -= m
                 step *= 2
-            if reach >> budget & 1:
+            if reach >> (base + left - least) & 1:
                 break
-        top = reach.bit_length() - 1
-        if budget - top < best[0]:
-            for j, m, before in reversed(layers):
-                if not before >> top & 1:
-                    room[j] += m
-                    top -= m * int(lengths[j])
-            best = (budget - (reach.bit_length() - 1), room)
-        if best[0] == 0:
+        at = (reach & ((1 << (base + left + 1)) - 1)).bit_length() - 1
+        if base + left - at < best[0]:
+            change = take.copy()
+            for i, down in done:
+                change[i] -= down
+            gained = base + left - at
+            for i, m, before in reversed(layers):
+                if not before >> at & 1:
+                    change[i] += m
+                    at -= m * int(lengths[i])
+            best = (gained, change)
+        if most > limit or all(most >= max(take[i], counts[i] - take[i]) for i in usable):
             break
-    return best[1], best[0]
+        most *= 4
+    return best[1]
 
 
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
