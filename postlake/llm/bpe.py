@@ -10,15 +10,17 @@ the last safe place before the join to the first after it is encoded anew, and
 the chunks keep only what lies outside. A safe place has a visible character
 before it and ASCII white space after it: no match of the pre-tokenizer's
 pattern, and no added token, crosses one. The repair is accepted when its ends
-fall on token borders of both chunks; otherwise the stretch grows to
-the next safe place, at last to the whole text.
+fall on token borders of the chunks they stand in; otherwise that end moves on to the
+next safe place, over whole chunks if need be, at last to the end of the text.
 
-Defined cases: a null text counts as empty and has no tokens; every row gives
-one row; an empty table gives an empty result.
+Defined cases: a null text counts as empty and has no tokens; a long text is encoded
+whole; repeated rows each give theirs; every row gives one row; an empty table gives an empty result;
+columns of any other name are left out.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -26,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, text_batches
+from .common import light, pick, text_batches
 
 WINDOW_DOUBLINGS = 4  # a window of 2 ** 4 characters
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,7 +56,7 @@ def byte_table(tokenizer) -> list[bytes]:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, chunk_chars: int = 512, least_chars: int = 64, cache_chars: int = 6_000_000):
+    def __init__(self, path: str, chunk_chars: int = 512, least_chars: int = 64, cache_chars: int = 2_000_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -104,48 +106,71 @@ class ChunkEncoder:
             self.cache[c] = ids, np.concatenate(([0], np.cumsum(self.n_bytes[ids])))
             self.held += len(c)
 
-    def _plan(self, text: str):
-        """(byte offsets, pieces) with pieces (chunk, from, to): bytes of the chunk to keep."""
+    def _measure(self, text: str):
+        """(borders of chunks, safe places, byte offset of every character) of a text of several chunks; None for one."""
         points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         cuts = self.cuts(points)
         if len(cuts) == 2:
-            return [(text, None, None)]
-        at = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))
-        safe = self.safe_places(points)
-        joins = np.array(cuts[1:-1])
-        i = np.searchsorted(safe, joins, side="right")
-        low = np.where(i > 0, safe[np.maximum(i - 1, 0)] if len(safe) else 0, 0).tolist()
-        i = np.searchsorted(safe, joins, side="left")
-        high = np.where(i < len(safe), safe[np.minimum(i, len(safe) - 1)] if len(safe) else 0, len(points)).tolist()
+            return None
+        width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        return cuts, self.safe_places(points), np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
+
+    def _agrees(self, text: str, cuts: list[int], at: np.ndarray, place: int) -> bool:
+        """Whether place is a token border of the chunk it stands in, or an end of the text."""
+        if place in (0, len(text)):
+            return True
+        k = bisect.bisect_right(cuts, place) - 1
+        ends = self.cache[text[cuts[k] : cuts[k + 1]]][1]
+        offset = at[place] - at[cuts[k]]
+        i = int(np.searchsorted(ends, offset))
+        return i < len(ends) and ends[i] == offset
+
+    def _pieces(self, text: str, measured) -> list[tuple[str, int | None, int | None]]:
+        """(chunk, from, to) with the bytes of a cached chunk to keep, and (stretch, None, None) to encode anew, in order."""
+        if measured is None:
+            return [(text, None, None)] if text else []
+        cuts, safe, at = measured
+        places = [0, *safe.tolist(), len(text)]
+        stretches: list[list[int]] = []
+        for join in cuts[1:-1]:
+            if stretches and join < stretches[-1][1]:
+                continue
+            low, high = bisect.bisect_right(places, join) - 1, bisect.bisect_left(places, join)
+            while not self._agrees(text, cuts, at, places[low]):
+                low -= 1
+            while not self._agrees(text, cuts, at, places[high]):
+                high += 1
+            start, stop = places[low], places[high]
+            while stretches and stretches[-1][1] > start:  # it grew into the one before
+                start = min(start, stretches.pop()[0])
+            if start < stop:
+                stretches.append([start, stop])
         pieces, done = [], 0
-        for k, (start, end) in enumerate(zip(cuts, cuts[1:])):
-            stop = low[k] if k < len(low) else end
-            if done < stop and start <= done:
-                pieces.append((text[start:end], int(at[done] - at[start]), int(at[stop] - at[start])))
-                done = stop
-            if k < len(low) and high[k] > done:
-                pieces.append((text[done : high[k]], None, None))
-                done = high[k]
+        for start, stop in [*stretches, [len(text), len(text)]]:
+            while done < start:  # what chunks keep up to the stretch
+                k = bisect.bisect_right(cuts, done) - 1
+                end = min(start, cuts[k + 1])
+                pieces.append((text[cuts[k] : cuts[k + 1]], int(at[done] - at[cuts[k]]), int(at[end] - at[cuts[k]])))
+                done = end
+            if start < stop:
+                pieces.append((text[start:stop], None, None))
+            done = max(done, stop)
         return pieces
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plans = [self._plan(t) if t else [] for t in texts]
+        measured = [self._measure(t) if t else None for t in texts]
         if self.held > self.limit:
             self.cache.clear()
             self.held = 0
-        self._learn(c for plan in plans for c, _, _ in plan)
+        self._learn(t[a:b] for t, m in zip(texts, measured) if m for a, b in zip(m[0], m[0][1:]))
+        plans = [self._pieces(t, m) for t, m in zip(texts, measured)]
+        self._learn(c for plan in plans for c, start, _ in plan if start is None)
         out = []
-        for text, plan in zip(texts, plans):
+        for plan in plans:
             parts = []
             for chunk, start, stop in plan:
                 ids, ends = self.cache[chunk]
-                if start is not None:
-                    a, b = np.searchsorted(ends, (start, stop)).tolist()
-                    if ends[a] != start or ends[b] != stop:  # no agreement: the whole text anew
-                        parts = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)]
-                        break
-                    ids = ids[a:b]
-                parts.append(ids)
+                parts.append(ids if start is None else ids[slice(*np.searchsorted(ends, (start, stop)).tolist())])
             out.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32))
         return out
 
@@ -154,6 +179,16 @@ class ChunkEncoder:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def shared_encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder: built once and kept from task to task, with its cache of chunks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids_sha256, decoded_sha256, and with_ids ids (array<int>) and decoded.
 
@@ -165,8 +200,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches):
-        encoder = ChunkEncoder(path)
-        for batch in batches:
+        encoder = shared_encoder(path)
+        for batch in light(batches):
             ids_col, texts = batch.column(0), batch.column(1)
             start = 0
             while start < len(texts):
