@@ -132,15 +132,16 @@ def join_hot(rows: DataFrame, few: DataFrame, key: str, counts: DataFrame, total
     """rows joined with few, which has one row (or a few) a key, though one key may have a third of all rows.
 
     counts(key, _n) says how many rows each key of rows has and total their number. A key with more than one
-    ``parts``-th of all rows is split by the columns of spread into pieces of that size, and its rows of few
-    are repeated once a piece. At most ``parts`` keys can be so large, which bounds what is broadcast. A few
-    thousand rows are no load for one task and are joined plainly.
+    ``parts``-th of all rows is split by the columns of spread into pieces, and its rows of few are repeated once a
+    piece. At most ``parts`` keys can be so large, so their names fit the driver whatever the input. A few thousand rows are
+    no load for one task and are joined plainly.
     """
-    if total < 4000:
-        return rows.join(few, key)
     limit = max(least, total // parts)
-    hot = counts.filter(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_pieces"))
-    one = F.coalesce("_pieces", F.lit(1))
-    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_piece", F.pmod(F.xxhash64(F.lit(17), *spread), one).cast("int")).drop("_pieces")
-    few = few.join(F.broadcast(hot), key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), one - 1))).drop("_pieces")
+    hot = counts.filter(F.col("_n") > limit).select(key, "_n").collect() if total >= 4000 else []
+    if not hot:
+        return rows.join(few, key)
+    pieces = min(parts, -(-max(r["_n"] for r in hot) // limit))
+    large = F.col(key).isin([r[key] for r in hot])
+    rows = rows.withColumn("_piece", F.when(large, F.pmod(F.xxhash64(F.lit(17), *spread), F.lit(pieces)).cast("int")).otherwise(0))
+    few = few.withColumn("_piece", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))))
     return rows.join(few, [key, "_piece"]).drop("_piece")

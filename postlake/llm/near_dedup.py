@@ -4,23 +4,30 @@ Every permutation of a document's shingle hashes gives two signature values,
 its minimum and its maximum, so half the hash evaluations of plain MinHash
 fill the bands. Documents that agree on a band share a bucket.
 
-Equal shingle sets are one node. Components, not pairs, are asked for, so a
-bucket is settled in two steps. Its leader is compared with all members; then
-members that the leader's component left out are compared with members of other
-components: pair by pair in small buckets, in crowded ones block against
-block. Before that, crowded buckets drop pairs that cannot link: two texts share
-at most the shingles that more than one text has. No pair of a bucket that could
-join two components is left out, and a link inside a component cannot change
-it. Every link is confirmed on full sets.
+Equal shingle sets are one node. Components, not pairs, are asked for, so buckets
+are settled in steps, and each step compares only nodes of different components:
+
+1. The leader of every bucket with its members.
+2. In small buckets, all pairs that are left. In crowded ones, a few pivots of the
+   bucket's largest component with the nodes outside it, for some rounds.
+3. What is still open in crowded buckets, block against block; before, members that
+   cannot link are dropped: two texts share at most the shingles that more than one
+   text has.
+
+No pair of a bucket that could join two components is left out, and a link inside
+a component cannot change it. Every link is confirmed on full sets. A task returns
+a spanning forest of the links it finds, so links grow with members, not with pairs.
 
 A pair at the threshold shares no band with a probability of about two in a million
 (``_bands``). Components come from alternating star contractions, all as joins
-and grouped minima over written tables; nothing is collected.
+and grouped minima over written tables; nothing is collected. Joins on a bucket, a
+leader or a set of copies split large keys (``join_hot``).
 
 Defined cases: null or wordless texts have no shingles and link with nothing;
 a null id takes part and never names a component of known ids; rows that
 repeat an id and a text are linked; of each component exactly one row is kept,
-whatever ids it repeats; an empty table gives an empty result.
+whatever ids it repeats; long texts are hashed whole, a text at a time; columns
+of any other name pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, maybe_in, pick, text_batches, written
+from .common import forget, join_hot, light, maybe_in, pick, slots_for, text_batches, written
 from .shingles import mix, shingle_sets
 
 SLICE_BYTES = 1_000_000
@@ -86,7 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     b = rng.integers(0, 1 << 63, bands * rows // 2, dtype=np.uint64)
 
     def run(batches):
-        for batch in batches:
+        for batch in light(batches):
             sizes, digests, keys = [], [], []
             for part in _slices(batch.column(2)):
                 for s in shingle_sets(part, words):
@@ -106,13 +113,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     return narrow.mapInArrow(run, f"id {kind}, row string, n_shingles long, digest string, bands array<long>")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, nodes: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, nodes: DataFrame, slots: int) -> DataFrame:
     """(node, set): the full shingle set of each node (node, id, digest), read again from one of its documents."""
     narrow = text_batches(pick(docs, id_col, text_col).toDF("id", "text"))
-    some = maybe_in(narrow, F.xxhash64("id"), nodes, F.xxhash64("id"), "_asked").filter("_asked").select("text")
+    some = maybe_in(narrow, F.xxhash64("id"), nodes, F.xxhash64("id"), "_asked", slots).filter("_asked").select("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in light(batches):
             for part in _slices(batch.column(0)):
                 sets = [s for s in shingle_sets(part, words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "set"])
@@ -122,11 +129,13 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, nodes: Da
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets meet the threshold."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    """The pairs (a, b) whose sets meet the threshold. Many pairs may share their a, as a leader does."""
+    per_a = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    both = join_hot(text_batches(pairs), sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a", per_a, pairs.count(), ["b"])
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
 
     def run(batches):
-        for batch in batches:
+        for batch in light(batches):
             keep = []
             for x, y in zip(batch["set_a"], batch["set_b"]):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
@@ -137,17 +146,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star contraction of edges (a, b): same components, flatter trees, a > b."""
+def star(edges: DataFrame, total: int) -> DataFrame:
+    """One large-star and one small-star contraction of total edges (a, b): same components, flatter trees, a > b."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_n"))
+    large = join_hot(both, least.select("u", "m"), "u", least, 2 * total, ["v"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
     high = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = high.groupBy("u").agg(F.min("v").alias("m"))
-    small = high.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("u", "m"))
+    low = high.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+    small = join_hot(high, low.select("u", "m"), "u", low, total, ["v"]).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("u", "m"))
     return small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """A written table of edges after one contraction; edges may repeat and come in either order."""
+    plain = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    out = written(star(plain, plain.count()))
+    forget(plain)
+    return out
+
+
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -156,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) with label the smallest node of its component, for every node with an edge except the labels themselves."""
     before, now = None, _print(edges)
     while now != before:
-        flat = written(star(edges))
+        flat = written(star(edges, now[0]))
         forget(edges)
         edges, before, now = flat, now, _print(flat)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -171,12 +188,12 @@ def unshared(sets: DataFrame) -> DataFrame:
     """(node, lone): how many shingles of each node no other node of sets has."""
 
     def run(batches):
-        for batch in batches:
+        for batch in light(batches):
             for node, s in zip(batch["node"], batch["set"]):
                 values = np.frombuffer(s.as_buffer(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node.as_py(), dtype=np.int64)), pa.array(values)], names=["node", "shingle"])
 
-    each = sets.select("node", "set").mapInArrow(run, "node long, shingle long")
+    each = text_batches(sets.select("node", "set")).mapInArrow(run, "node long, shingle long")
     single = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
     return single.groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
 
@@ -187,18 +204,58 @@ def may_link(percent: int):
     return 100 * most >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles") - most)
 
 
-def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def open_entries(members: DataFrame, total: int) -> DataFrame:
+    """members (bucket, node, n_shingles, label) of the buckets with several components, with main (the label of most
+    members) and, of the bucket, how many members and shingles it has and how many of them stand outside main."""
+    by_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    most = F.max(F.struct("n", "label", "weight"))
+    by_bucket = by_label.groupBy("bucket").agg(most.alias("most"), F.sum("n").alias("_n"), F.sum("weight").alias("all_weight")).filter("_n > most.n")
+    main = by_bucket.select("bucket", "_n", F.col("most.label").alias("main"), F.col("_n").alias("all_n"), (F.col("_n") - F.col("most.n")).alias("open_n"), "all_weight", (F.col("all_weight") - F.col("most.weight")).alias("open_weight"))
+    return join_hot(members, main.drop("_n"), "bucket", main, total, ["node"])
+
+
+def pivot_pairs(members: DataFrame, total: int, pivots: int, seed: int) -> DataFrame | None:
+    """(a, b): seeded pivots of the main component of a bucket, with every node that a bucket has outside it; None if there is none."""
+    outside = written(open_entries(members, total).filter("label <> main").select("node", "main").distinct())
+    n_outside = outside.count()
+    if not n_outside:
+        return None
+    slot = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(pivots))
+    chosen = members.groupBy("label", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(seed + 1), "node"), "node"))["node"].alias("a")).select(F.col("label").alias("main"), "a")
+    per_main = outside.groupBy("main").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = written(join_hot(outside, chosen, "main", per_main, n_outside, ["node"]).select("a", F.col("node").alias("b")).distinct())
+    forget(outside)
+    return pairs
+
+
+def forest(labels: np.ndarray):
+    """(find, unite) over the distinct labels: unite says whether two labels were still apart."""
+    root = {x: x for x in np.unique(labels).tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def unite(x, y):
+        x, y = find(x), find(y)
+        root[x] = y
+        return x != y
+
+    return find, unite
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int, total: int, block: int = 512, block_shingles: int = 200_000) -> DataFrame:
     """Confirmed links (a, b) of crowded buckets: members outside their bucket's largest component against all members.
 
-    Both sides come in blocks of about ``block`` rows, so no task holds a bucket; a task returns one link for each
-    such member and component it meets.
+    Both sides come in blocks of about ``block`` rows and ``block_shingles`` shingles, so no task holds a bucket. A task
+    returns a spanning forest over the components it meets: fewer links than it has members.
     """
-    by_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("open")).filter("open > 0")
-    rows = members.join(main, "bucket")
-    number = lambda total: F.ceil(F.col(total) / block).cast("int")
-    mine = lambda total: F.pmod(F.xxhash64("node"), number(total)).cast("int")
-    every = lambda total: F.explode(F.sequence(F.lit(0), number(total) - 1))
+    rows = open_entries(members, total)
+    number = lambda side: F.greatest(F.ceil(F.col(f"{side}_n") / block), F.ceil(F.col(f"{side}_weight") / block_shingles)).cast("int")
+    mine = lambda side: F.pmod(F.xxhash64("node"), number(side)).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), number(side) - 1))
     one = rows.select("bucket", "node", "label", mine("all").alias("block"), every("open").alias("chunk"), F.lit(False).alias("asks"))
     other = rows.filter("label <> main").select("bucket", "node", "label", every("all").alias("block"), mine("open").alias("chunk"), F.lit(True).alias("asks"))
     dealt = one.union(other).join(sets, "node")
@@ -210,74 +267,86 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -
         held = np.flatnonzero(~asks)
         out = []
         if len(held):
-            flat = np.concatenate([values[i] for i in held])
-            owner = np.repeat(np.arange(len(held)), [len(values[i]) for i in held])
+            _, unite = forest(labels)
+            sizes = np.array([len(values[i]) for i in held])
+            flat, owner = np.concatenate([values[i] for i in held]), np.repeat(np.arange(len(held)), sizes)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
-            sizes = np.array([len(values[i]) for i in held])
             for i in np.flatnonzero(asks):
                 low, high = np.searchsorted(flat, values[i], "left"), np.searchsorted(flat, values[i], "right")
                 some = high > low
                 at = np.concatenate([owner[x:y] for x, y in zip(low[some], high[some])]) if some.any() else owner[:0]
                 shared = np.bincount(at, minlength=len(held))
                 near = (100 * shared >= percent * (len(values[i]) + sizes - shared)) & (labels[held] != labels[i])
-                met = np.flatnonzero(near)
-                _, first = np.unique(labels[held][met], return_index=True)
-                out += [(min(nodes[i], nodes[held[j]]), max(nodes[i], nodes[held[j]])) for j in met[first]]
+                met, first = np.unique(labels[held][near], return_index=True)
+                out += [(nodes[i], nodes[held[j]]) for x, j in zip(met.tolist(), np.flatnonzero(near)[first].tolist()) if unite(int(labels[i]), x)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return dealt.groupBy("bucket", "block", "chunk").applyInArrow(run, "a long, b long")
 
 
-def links(entries: DataFrame, sets: DataFrame, percent: int, crowd: int = 16, block: int = 512) -> DataFrame:
-    """Contracted edges (a, b) with the components of all confirmed links among entries (bucket, node, n_shingles)."""
-    entries = entries.join(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
+def links(entries: DataFrame, sets: DataFrame, percent: int, crowd: int = 16, pivots: tuple = (8, 16)) -> DataFrame:
+    """Contracted edges (a, b) with the components of all confirmed links among entries (bucket, size, node, n_shingles)."""
     crowded = entries.filter(F.col("size") >= crowd).select("node").distinct()
     counted = unshared(sets.join(crowded, "node", "left_semi"))
     # counted among all members of crowded buckets, and so a bound for pairs within these alone
     lone = F.when(F.col("size") >= crowd, F.coalesce("lone", F.lit(0))).otherwise(0)
     members = entries.join(counted, "node", "left").withColumn("rest", F.col("n_shingles") - lone)
-    members = members.filter(100 * F.col("rest") >= percent * F.col("n_shingles"))
+    members = written(members.filter(100 * F.col("rest") >= percent * F.col("n_shingles")).select("bucket", "size", "node", "n_shingles", "rest"))
     # the leader is the member with the smallest share of shingles that no other has: the likeliest original
-    lead = members.groupBy("bucket").agg(F.min(F.struct(-F.col("rest") / F.col("n_shingles"), "node", "n_shingles", "rest"))["node"].alias("lead"))
-    members = written(members.join(lead, "bucket").select("bucket", "size", "node", "n_shingles", "rest", "lead"))
+    lead = members.groupBy("bucket").agg(F.min(F.struct(-F.col("rest") / F.col("n_shingles"), "node", "n_shingles", "rest")).alias("x"), F.count(F.lit(1)).alias("_n"))
+    total = members.count()
 
-    led = members.filter("node = lead").alias("x").join(members.filter("node <> lead").alias("y"), F.col("x.bucket") == F.col("y.bucket")).filter(may_link(percent))
-    pairs = written(led.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    edges = written(star(confirmed(pairs, sets, percent)))
+    led = join_hot(members.withColumn("y", F.struct("node", "n_shingles", "rest")), lead.select("bucket", "x"), "bucket", lead, total, ["node"])
+    led = led.filter("x.node <> y.node").filter(may_link(percent))
+    pairs = written(led.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    edges = contracted(confirmed(pairs, sets, percent))
     forget(pairs)
 
-    labelled = written(with_label(members, edges))
-    few = labelled.filter(F.col("size") < crowd).filter("node <> lead")  # at most crowd - 1 members a bucket
+    # at most crowd - 1 members a bucket
+    few = written(with_label(members.filter(F.col("size") < crowd), edges))
     x, y = few.alias("x"), few.alias("y")
     left = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).filter(may_link(percent))
     pairs = written(left.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    more = confirmed(pairs, sets, percent)
-    many = block_links(labelled.filter(F.col("size") >= crowd), sets, percent, block)
-    all_edges = written(star(edges.union(more).union(many)))
-    forget(pairs, members, labelled, edges)
-    return all_edges
+    more = contracted(edges.union(confirmed(pairs, sets, percent)))
+    forget(pairs, few, edges)
+    edges = more
+
+    crowds = members.filter(F.col("size") >= crowd).select("bucket", "node", "n_shingles")
+    for round_, n in enumerate([*pivots, 0]):
+        labelled = written(with_label(crowds, edges))
+        pairs = pivot_pairs(labelled, total, n or 1, 100 * round_)
+        if pairs is None:  # every bucket is within one component
+            break
+        found = confirmed(pairs, sets, percent) if n else block_links(labelled, sets, percent, total)
+        more = contracted(edges.union(found))
+        forget(pairs, labelled, edges)
+        edges = more
+    forget(members)
+    return edges
 
 
 def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """One row per row of docs: id, row (its key), n_shingles, component_id, keeps (the key is the one its component keeps; null without shingles)."""
     rows = written(signatures(docs, id_col, text_col, words, percent))
+    n_rows = rows.count()
     best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("best")
-    nodes = rows.filter("digest is not null").groupBy("digest").agg(best, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = rows.filter("digest is not null").groupBy("digest").agg(best, F.count(F.lit(1)).alias("_n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumns({"id": F.col("best.id"), "node": F.monotonically_increasing_id()}))
     entries = nodes.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    entries = written(entries.join(shared, "bucket"))
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    entries = written(join_hot(entries, shared.select("bucket", F.col("_n").alias("size")), "bucket", shared, n_rows * _bands(percent)[0], ["node"]))
     asked = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "id", "digest")
-    sets = written(full_sets(docs, id_col, text_col, words, asked))
+    sets = written(full_sets(docs, id_col, text_col, words, asked, slots_for(n_rows)))
 
     edges = links(entries, sets, percent)
     labels = components(edges)
-    named = nodes.select("node", "digest", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("best").alias("least"))
-    named = named.join(least, "label").select("digest", "least")
+    named = nodes.select("node", "digest", "best", "_n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per_label = named.groupBy("label").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("_n"))
+    named = written(join_hot(named.drop("_n"), per_label.select("label", "least"), "label", per_label, n_rows, ["node"]).select("digest", "least"))
     forget(sets, entries)
-    linked = rows.filter("digest is not null").join(named, "digest").select("id", "row", "n_shingles", F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("keeps"))
+    linked = join_hot(rows.filter("digest is not null"), named, "digest", nodes.select("digest", "_n"), n_rows, ["row"])
+    linked = linked.select("id", "row", "n_shingles", F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("keeps"))
     alone = rows.filter("digest is null").select("id", "row", "n_shingles", F.col("id").alias("component_id"), F.lit(None).cast("boolean").alias("keeps"))
     return linked.union(alone)
 
@@ -302,7 +371,7 @@ def drop_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = written(found.groupBy(F.col("row").alias("_gone")).agg(F.first("keeps").alias("_keeps"), F.count(F.lit(1)).alias("_n")).filter("not _keeps or _n > 1").drop("_n"))
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = lambda name: F.col(f"c{docs.columns.index(name)}")
-    marked = maybe_in(plain.withColumn("_row", row_key(at(id_col), at(text_col))), F.xxhash64("_row"), gone, F.xxhash64("_gone"), "_asked")
+    marked = maybe_in(plain.withColumn("_row", row_key(at(id_col), at(text_col))), F.xxhash64("_row"), gone, F.xxhash64("_gone"), "_asked", slots_for(gone.count()))
     stays = marked.filter("not _asked").drop("_asked", "_row")
     asked = marked.filter("_asked").drop("_asked")
     again = written(gone.filter("_keeps").select("_gone"))  # of rows that repeat an id and a text, one
