@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import light, pick, text_batches
+from .common import give_back, light, pick, text_batches
 
 WINDOW_DOUBLINGS = 4  # a window of 2 ** 4 characters
 SLICE_CHARS = 500_000
@@ -179,16 +179,6 @@ class ChunkEncoder:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def shared_encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder: built once and kept from task to task, with its cache of chunks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids_sha256, decoded_sha256, and with_ids ids (array<int>) and decoded.
 
@@ -200,7 +190,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches):
-        encoder = shared_encoder(path)
+        encoder = ChunkEncoder(path)
         for batch in light(batches):
             ids_col, texts = batch.column(0), batch.column(1)
             start = 0
@@ -222,6 +212,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 start += len(part)
+        encoder = None
+        give_back()
 
     return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_batches
+from .common import give_back, light, pick, text_batches
 
 LETTERS, SPAN, DECAY = 32, 6, 0.7
 DIMS = LETTERS**3
@@ -233,6 +233,7 @@ def fitted(bags: DataFrame) -> dict:
         rows = sorted((y, words) for batch in batches for words, y in zip(batch["words"].to_pylist(), batch["y"].to_pylist()))
         model = fit([(frozenset(map(sys.intern, words.split())), y) for y, words in rows])
         weight = model.pop("weight", np.zeros(0)).astype(np.float32).tobytes()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([weight], pa.binary()), pa.array([list(model)], pa.list_(pa.string())), pa.array([[float(v) for v in model.values()]], pa.list_(pa.float64()))], names=["weight", "names", "numbers"])
 
     row = bags.repartition(1).mapInArrow(run, "weight binary, names array<string>, numbers array<double>").head()
@@ -242,7 +243,7 @@ def fitted(bags: DataFrame) -> dict:
     return model | ({"weight": np.frombuffer(bytes(row.weight), dtype=np.float32)} if row.weight else {})
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, max_toxic: int = 1500, max_clean: int = 3000, cache_words: int = 120_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, max_toxic: int = 1500, max_clean: int = 3000, cache_words: int = 60_000) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, or with keep_rows the input row and its score as ``_score``."""
     model = fitted(bounded_bags(docs, labels, id_col, text_col, max_toxic, max_clean))
     plain = text_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -252,7 +253,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         known: dict[str, float] = {}
-        for batch in batches:
+        for batch in light(batches):
             scores = np.full(len(batch), model.get("constant", 0.0))
             if "weight" in model:
                 column = batch.column(at_text)
@@ -266,6 +267,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     scores[start : start + len(bags)] = 1 / (1 + np.exp(-np.clip(model["a"] * top + model["b"], -50, 50)))
             columns = [*batch.columns, pa.array(scores)] if keep_rows else [batch.column(0), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names if keep_rows else ["id"]), "_score"])
+        known.clear()
+        give_back()
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields]
     out = plain.mapInArrow(run, ", ".join([*(kinds if keep_rows else kinds[:1]), "_score double"]))
