@@ -1,4 +1,10 @@
-"""A training corpus from documents: toxic documents and copies go, sources are mixed, texts become token ids."""
+"""A training corpus from documents: toxic documents and copies go, sources are mixed, texts become token ids.
+
+Defined cases: a null text counts as empty, passes the first stages but for the copies among such rows, and is left out
+by the mix, which takes nothing of a document without words; a null id is kept where its text is; of rows that repeat an id
+and a text one stays; long texts are read whole by every stage; columns beside those of documents pass through to the last stage, which
+returns ids and tokens alone; a mixed-in document comes as many times as it is taken; empty documents give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from postlake.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from postlake.llm.common import shared_folder, table
+from postlake.llm.common import delete, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder as Parquet and read again."""
+    """All stages over documents, each written to the shared folder as Parquet and read again; only what is still to be read stays."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
