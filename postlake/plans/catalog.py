@@ -68,9 +68,9 @@ def search_full_text(spark, sf_dir):
     return search.search(postings(spark, sf_dir), search.Filters(query="Customer S")).select("id", "title")
 
 
-@query(WITH + "SELECT id, country FROM canonical WHERE contains(lower(country), 'an')")
+@query(WITH + "SELECT id, country FROM canonical WHERE contains(lower(country), 'tion_1')")
 def search_location(spark, sf_dir):
-    return search.search(postings(spark, sf_dir), search.Filters(location="AN")).select("id", "country")
+    return search.search(postings(spark, sf_dir).withColumn("location", F.col("country")), search.Filters(location="tion_1")).select("id", "country")
 
 
 @query(WITH + "SELECT id, title FROM canonical WHERE id > 1000 ORDER BY id LIMIT 100")
