@@ -19,10 +19,15 @@ def first_of_identity(candidates: DataFrame, keys: str = "keys", rank: list = ("
 
 
 def sent_to_all(matches: DataFrame, recipients: DataFrame, sent: DataFrame) -> DataFrame:
-    """Matches that every enabled recipient of their profile has been sent: a division by two anti joins."""
-    due = matches.join(recipients.filter("enabled"), "profile").select("match_id", "recipient")
-    missing = due.join(sent, ["match_id", "recipient"], "left_anti").select("match_id").distinct()
-    return due.select("match_id").distinct().join(missing, "match_id", "left_anti")
+    """Matches that every enabled recipient of their profile has been sent: a division by counts.
+
+    Only what was sent is joined; no match meets all recipients. A match of a profile without recipients isn't among them.
+    """
+    people = recipients.filter("enabled").select("profile", "recipient").distinct()
+    needed = people.groupBy("profile").agg(F.count(F.lit(1)).alias("_needed"))
+    had = sent.select("match_id", "recipient").distinct().join(matches.select("match_id", "profile").distinct(), "match_id").join(people, ["profile", "recipient"])
+    had = had.groupBy("match_id", "profile").agg(F.count(F.lit(1)).alias("_had"))
+    return had.join(needed, "profile").filter("_had = _needed").select("match_id")
 
 
 def envelopes(pending: DataFrame) -> DataFrame:
