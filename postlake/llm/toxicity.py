@@ -13,12 +13,14 @@ toxic documents and no clean ones, and then lets the machine name the most
 insulting word of each document that is still unexplained. A document's score
 is the logistic of its most insulting word's margin.
 
-The fit reads a bounded sample of labelled rows (``max_toxic``, ``max_clean``);
-scoring is one pass over whole texts without a shuffle.
+The fit reads a bounded sample of labelled rows (``max_toxic``, ``max_clean``) and, of their words,
+``n_negative`` clean ones drawn by seed and ``n_hard`` near misses a round; where no word explains a toxic
+document it starts from ``n_start`` words. Scoring is one pass over whole texts without a shuffle, and without a bound.
 
 Defined cases: null or empty texts have no words and get the score of no insult;
 without labelled rows of both kinds every score is the share of toxic rows (0.5
-without any); every row gives one row.
+without any); a long text is scored whole; repeated rows each give theirs; columns of any other
+name are left out; an empty table gives an empty result; every row gives one row.
 """
 
 from __future__ import annotations
@@ -129,6 +131,15 @@ def svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 300) -> tup
     return w[:-1], float(w[-1])
 
 
+def disguised(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Each word with one character inserted, at two places: what the machine is to see through."""
+    out = []
+    for w in words:
+        for at in rng.integers(1, max(2, len(w)), 2).tolist():
+            out.append(w[:at] + "*.-_x"[int(rng.integers(5))] + w[at:])
+    return out
+
+
 def explain(bags: list[tuple[frozenset[str], int]], least: int) -> tuple[set[str], list[int]]:
     """A small set of words that are in toxic and hardly in clean bags and cover the toxic ones; the uncovered bags."""
     clean, toxic = Counter(), Counter()
@@ -150,7 +161,7 @@ def explain(bags: list[tuple[frozenset[str], int]], least: int) -> tuple[set[str
     return chosen, sorted(left)
 
 
-def fit(bags: list[tuple[frozenset[str], int]], n_landmarks: int = 384, n_negative: int = 5_000, rounds: int = 3, seed: int = 5) -> dict:
+def fit(bags: list[tuple[frozenset[str], int]], n_landmarks: int = 384, n_negative: int = 5_000, n_hard: int = 1500, n_start: int = 200, rounds: int = 3, seed: int = 5) -> dict:
     """The folded weights of the machine and the logistic curve from margin to score."""
     bags = list({frozenset(b): y for b, y in bags}.items())
     n_toxic = sum(y for _, y in bags)
@@ -166,9 +177,10 @@ def fit(bags: list[tuple[frozenset[str], int]], n_landmarks: int = 384, n_negati
         bad = [clean_words[i] for i in rng.permutation(len(clean_words))[:n_negative]] + 3 * hard
         bad = [u for w in bad for u in units(w)]  # near misses come up to three times and weigh so
         pos = [u for w in sorted(good) for u in units(w)]
+        pos += [u for w in disguised([w for w in sorted(good) if len(w) >= 5], rng) for u in units(w)]
         if not pos:
             words = sorted(set().union(*(b for b, y in bags if y)) - clean_set)
-            pos = [u for w in words[:200] for u in units(w)] or [FIRST + LAST]
+            pos = [u for w in words[:n_start] for u in units(w)] or [FIRST + LAST]
         near = [u for w in hard for u in units(w)][: n_landmarks // 3]
         marks = list(dict.fromkeys([*[pos[i] for i in rng.permutation(len(pos))[: n_landmarks // 3]], *near, *bad]))[:n_landmarks]
         base = phi(marks)
@@ -185,7 +197,7 @@ def fit(bags: list[tuple[frozenset[str], int]], n_landmarks: int = 384, n_negati
         if r < rounds:
             scored = clean_words
             m = margins(scored, weight, bias)
-            hard = list(dict.fromkeys([*[scored[i] for i in np.argsort(-m)[:1500] if m[i] > -0.9], *hard]))[:3000]
+            hard = list(dict.fromkeys([*[scored[i] for i in np.argsort(-m)[:n_hard] if m[i] > -0.9], *hard]))[: 2 * n_hard]
             for i in open_bags:  # the machine names the insult of a document that no word explains yet
                 own = sorted(bags[i][0] - clean_set)
                 if own:

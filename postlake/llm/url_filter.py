@@ -5,7 +5,9 @@ and the path by the n-grams they hold; scoring is one projection over the
 pages, with no shuffle.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
-is judged by the model; every row gives one row; an empty table gives an empty result.
+is judged by the model; of rules of equal length the last by code point is asked first; a long url is
+judged whole; repeated rows each give theirs; columns of any other name are left out; every row
+gives one row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,8 +57,8 @@ https://the-reader.example/essays/on-walking
 https://www.chess.example/openings/spanish
 """.split()] + [(1, u) for u in """
 https://ads.network.example/serve?id=55
-http://m.ads-track.example/en/9921
-https://ads-track.example/click/3311
+http://m.adnet.example/en/9921
+https://clicks.adnet.example/click/3311
 https://adserver.example/banner/728x90.gif
 https://tracker.example/pixel.gif
 https://track.mailer.example/open/8812
