@@ -428,9 +428,96 @@ def test_html_of_odd_tables(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = toxicity.score(table, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in out]) > 0.9
+    toxic, clean = [r for r in out if r.toxic == 1], [r for r in out if r.toxic == 0]
+    assert np.mean([r.predicted for r in toxic]) > 0.85 and np.mean([r.predicted for r in clean]) < 0.01
     none = toxicity.score(docs(spark, ODD), labels.filter("false")).collect()
     assert len(none) == len(ODD) and all(r.score == 0.5 for r in none)
+
+
+def test_toxicity_of_gapped_and_odd_texts(spark):
+    """Insults written with inserted characters or letter by letter are still found, and odd rows of a fitted machine score."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    bags = toxicity.bounded_bags(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), labels, "doc_id", "text", 1500, 3000)
+    model = toxicity.fitted(bags)
+    insults, _ = toxicity.explain([(frozenset(r.words.split()), r.y) for r in bags.collect()], 3)
+    insults = sorted(w for w in insults if len(w) >= 5 and w.isalpha())
+    assert insults
+    changed = [w[: len(w) // 2] + c + w[len(w) // 2 :] for w in insults for c in "*x"] + [w[0] + "." + w[1:-1] + "-" + w[-1] for w in insults]
+    scores = 1 / (1 + np.exp(-(model["a"] * toxicity.margins(changed, model["weight"], model["bias"]) + model["b"])))
+    assert np.mean(scores >= 0.5) > 0.6, np.mean(scores >= 0.5)
+    spelled = toxicity.words_of("you " + " ".join(insults[0]) + " there")
+    assert insults[0] in spelled
+    out = toxicity.score(docs(spark, ODD), labels).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+    assert toxicity.score(docs(spark, []), labels).count() == 0
+
+
+#: Urls of hosts that the labelled table lacks (1: block).
+OTHER_URLS = [
+    (1, "https://adserver.metrics-hub.example/banner/300x250.gif"), (1, "https://bonus-casino.example.org/slots/free-spins"), (1, "https://tracker.pixels.example/pixel.gif?id=3"), (1, "https://click.offers.example/redirect/to/prize"),
+    (1, "https://cheap-meds.example/buy-pills"), (1, "https://live-cams.example/girls/hot"), (1, "https://crack-files.example/download/keygen.exe"), (1, "https://poker-bonus.example/bet-now"),
+    (0, "https://www.village-news.example/news/2022/harvest"), (0, "https://docs.compiler.example/manual/syntax.html"), (0, "https://library.town.example/catalog/book/12"), (0, "https://journal.geology.example/articles/9/notes-on-rocks"),
+    (0, "https://www.bakers.example/recipes/rye"), (0, "https://en.handbook.example/wiki/Paper"), (0, "https://blog.gardens.example/en/roses"), (0, "https://school.example.org/lessons/history"),
+]
+
+
+def test_url_model_on_other_hosts(spark):
+    pages = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(OTHER_URLS)], "page_id long, url string")
+    out = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    right = [(out[i].verdict == "block") == bool(y) for i, (y, _) in enumerate(OTHER_URLS) if out[i].rule is None]
+    assert np.mean(right) >= 0.8, [(u, out[i].score) for i, (_, u) in enumerate(OTHER_URLS)]
+
+
+def test_url_rules_of_a_table_equal_python(spark):
+    rules = dict((r, v) for v, r in url_filter.RULES)
+    out = {r.page_id: r for r in url_filter.op3_url_filter(spark, SF).collect()}
+    odd = [(1, None), (1, "x"), (2, "http://" + "a" * 50_000 + ".com/" + "b" * 50_000), (2, ""), (None, "http://A.NET/es/?q")]
+    table = [(r.page_id, r.url) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in odd], "page_id long, url string, Url string, host string")
+    for got, rows in ((out, table), ({r.page_id: r for r in url_filter.judge(pages).collect() if r.page_id is None or r.host}, [odd[2], odd[4]])):
+        for i, u in rows:
+            rest = u.split("://", 1)[1]
+            host = re.split("[/?#]", rest, maxsplit=1)[0]
+            path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+            host = host.translate({c: c + 32 for c in range(65, 91)})
+            fit = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+            want = max(fit, key=len) if fit else None
+            assert (got[i].host, got[i].path, got[i].rule) == (host, path, want) and (want is None or got[i].verdict == rules[want])
+    assert url_filter.judge(pages).count() == len(odd) and url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Every stage on its predecessor's rows: what goes, what stays, and that clean and different documents are kept."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = table.columns
+    scores = {r.doc_id: r.score for r in toxicity.score(table, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    now, kept = table, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, SF).collect(), table.schema)
+        assert now.columns == columns
+        kept[name] = [(r.doc_id, r.text, r.source) for r in now.collect()]
+    rows = [(r.doc_id, r.text, r.source) for r in table.collect()]
+    left = [r for r in rows if scores[r[0]] < 0.5]
+    assert sorted(kept["toxicity"]) == sorted(left)
+    last = {}
+    for r in left:
+        last[r[1]] = max(r, last.get(r[1], r))
+    assert sorted(kept["exact_dedup"]) == sorted(last.values())
+    label = components_of([(i, t) for i, t, _ in kept["exact_dedup"]], 5, 80)
+    assert sorted(i for i, _, _ in kept["near_dedup"]) == sorted(set(label.values()))
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t, _ in kept["near_dedup"]}
+    times = {}
+    for i, _, _ in kept["mixing"]:
+        times[i] = times.get(i, 0) + 1
+    taken = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(kept["near_dedup"], "doc_id long, text string, source string")).collect()}
+    assert {i: n for i, n in times.items()} == {i: taken[i] // size[i] for i in taken if size[i] and taken[i]} and max(times.values()) <= 3
+    t = Tokenizer.from_file(bpe.tokenizer_path())
+    want = sorted((i, hashlib.sha256(np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()).hexdigest()) for i, x, _ in kept["mixing"])
+    assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()) == want
+    assert sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()) == want
