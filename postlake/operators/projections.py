@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.functions.text import blank_to_null
@@ -47,3 +47,69 @@ def topic_audit(postings: DataFrame, topics: DataFrame, topic: str, known: str)
 def evidence_histogram(topics: DataFrame) -> DataFrame:
     """(evidence, jobs) of topics(job_id, evidence array): each posting counts once for an evidence."""
     return topics.select("job_id", F.explode(F.array_distinct("evidence")).alias("evidence")).groupBy("evidence").agg(F.countDistinct("job_id").alias("jobs"))
+
+
+def activity(runs: DataFrame) -> DataFrame:
+    """What a feed says of runs(id, company, status, jobs_seen, jobs_created, jobs_updated, jobs_closed, error, started_at, finished_at)."""
+    failed = F.coalesce(F.col("status").isin("failed", "blocked"), F.lit(False))
+    known = lambda c: F.nullif(F.col(c), F.lit(""))
+    said = lambda *p: F.concat(*[F.coalesce(F.col(x).cast("string"), F.lit("")) if i % 2 == 0 else F.lit(x) for i, x in enumerate(p)])
+    return runs.select(
+        "id", F.when(failed, "source.failed").otherwise("source.changed").alias("kind"), F.when(failed, "error").otherwise("success").alias("severity"),
+        F.when(failed, said("company", " crawl ", "status", ".")).otherwise(said("company", " refreshed ", "jobs_seen", " roles.")).alias("summary"),
+        F.coalesce(known("finished_at"), known("started_at"), F.lit("1970-01-01T00:00:00.000Z")).alias("occurred_at"),
+        F.coalesce(known("error"), said("jobs_created", " created, ", "jobs_updated", " updated, ", "jobs_closed", " closed.")).alias("details"),
+    )
+
+
+def source_list(sources: DataFrame) -> DataFrame:
+    """Sources with the times that a list shows; an empty time counts as unknown."""
+    first = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
+    return sources.select("source_id", "company", "health", first("last_crawled_at", "checked_at").alias("last_checked_at"), first("next_crawl_at", "checked_at").alias("next_run_at"))
+
+
+# What gives way, step by step, when a record is too large for one payload.
+LONG_TEXTS = ("description", "responsibilities", "qualifications", "benefits", "education_requirements", "experience_requirements", "summary", "source_posted_text")
+LONG_ARRAYS = ("skills", "secondary_locations", "languages")
+OPTIONAL = ("department", "team", "business_unit", "job_family", "job_function", "industry", "office")
+TEXT_STEPS = (100_000, 20_000, 2_000)
+
+
+def bounded_record(columns: list[str], most: int = 1_499_800) -> Column:
+    """The columns as a JSON object without nulls, of at most so many bytes (in an array of one); null if what is required is larger.
+
+    What is too large loses its raw payload, then the ends of long texts (counted in code points) and arrays in three steps, then optional
+    fields.
+    """
+    lean = [c for c in columns if c != "raw_payload"]
+    needed = [c for c in lean if c not in LONG_TEXTS + OPTIONAL]
+    cut = lambda c, n: (F.substring(F.col(c), 1, n) if c in LONG_TEXTS else F.slice(F.col(c), 1, 100) if c in LONG_ARRAYS else F.col(c)).alias(c)
+    steps = [columns, lean, *[[cut(c, n) for c in lean] for n in TEXT_STEPS], [cut(c, 0) for c in needed]]
+    records = [F.to_json(F.struct(*s)) for s in steps]
+    return F.coalesce(*[F.when(F.octet_length(r) + 2 <= most, r) for r in records])
+
+
+def text_members(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, value): the members of a JSON array that are texts; numbers, nulls, objects and malformed arrays give none."""
+    each = df.select(key, F.explode(F.from_json(F.col(column), "array<variant>")).alias("_v"))
+    return each.filter(F.schema_of_variant("_v") == "STRING").select(key, F.try_variant_get("_v", "$", "string").alias("value"))
+
+
+# The fields that a listing's own facets count.
+FACETS = ("department", "team", "business_unit", "job_family", "job_function", "industry", "employment_type", "arrangement", "city", "state", "country", "experience_level", "skills")
+
+
+def derived_facets(listing: DataFrame) -> DataFrame:
+    """(source_id, key, value, jobs, place) of the listing's columns among FACETS; place orders a key's values by count, then by name.
+
+    All keys are counted in one pass; an unknown arrangement and blank values do not count, skills count once for each time stated.
+    """
+
+    def counted_as(key: str) -> Column:
+        values = F.col(key) if key == "skills" else F.array(F.when(F.col(key) != "unknown", F.col(key)) if key == "arrangement" else F.col(key))
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(key).alias("key"), v.alias("value")))
+
+    pairs = [counted_as(k) for k in FACETS if k in listing.columns]
+    each = listing.select("source_id", F.explode(F.concat(*pairs)).alias("f")).select("source_id", "f.*").filter("value <> ''")
+    counted = each.groupBy("source_id", "key", "value").agg(F.count(F.lit(1)).alias("jobs"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy("source_id", "key").orderBy(F.desc("jobs"), "value")))

@@ -2,6 +2,7 @@ import pytest
 from oracle import DIR, connect, same
 
 import postlake.plans.lifecycle_plans
+import postlake.plans.repair_plans
 import postlake.plans.search_plans  # noqa: F401
 from postlake.plans.catalog import QUERIES, SQL
 
