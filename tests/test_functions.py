@@ -1,9 +1,11 @@
 """Known answers of small functions, the filter codec and the stream of snapshots."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from postlake.functions import codec, urls
-from postlake.operators import lifecycle
+from postlake.operators import audits, lifecycle, projections, repairs
 from postlake.operators.search import Filters
 from postlake.streaming.snapshots import merge_stream
 
@@ -42,3 +44,32 @@ def test_stream_merges_only_what_it_lists(spark, tmp_path):
         merge_stream(spark, spark.readStream.schema(new).parquet(inbox), state, str(tmp_path / "check"), "2026", "complete").awaitTermination(120)
     out = {(r.source_id, r.official_url): (r.title, r.status) for r in spark.read.parquet(state).collect()}
     assert out == {(1, "u1"): ("new", "open"), (1, "u2"): ("old", "closed"), (2, "u1"): ("old", "open"), (2, "u2"): ("old", "open"), (2, "u9"): ("new", "open"), (3, "u1"): ("old", "open"), (3, "u2"): ("old", "open")}
+
+
+def test_urls_of_listings_and_sources(spark):
+    rows = [("https://search.jobs.barclays/EN/job/A/1//", "https://search.jobs.barclays/job/A/1"), ("HTTPS://X.com/En/A/#f", "https://x.com/En/A/"), ("junk", "junk"), (None, None)]
+    out = spark.createDataFrame(rows, "u string, want string").select("want", urls.listing_identity_url(F.col("u")).alias("got")).collect()
+    assert all(r.got == r.want for r in out)
+    pairs = [("https://a.com:443/x", "https://a.com"), ("http://A.com:80", "http://a.com"), ("https://a.com:8443/", "https://a.com:8443"), ("mailto:a@b.c", None), (None, None)]
+    assert all(r.got == r.want for r in spark.createDataFrame(pairs, "u string, want string").select("want", urls.origin(F.col("u")).alias("got")).collect())
+
+
+def test_repairs_meet_nulls_and_empty_tables(spark):
+    stored = spark.createDataFrame([(1, 1, None, None, None, None, "open"), (1, 2, "https://a.com/1", "T", "", "", "open")], "source_id int, id int, official_url string, title string, external_id string, requisition_id string, status string")
+    incoming = spark.createDataFrame([(1, None, None, None, None, True), (1, "https://a.com/2", "T", "", None, True), (2, "https://a.com/1", "T", "x", "x", None)], "source_id int, official_url string, title string, external_id string, requisition_id string, first_party boolean")
+    found = repairs.url_candidates(stored, incoming)
+    assert repairs.url_repairs(found).count() == 0 and repairs.repair_mirrors(found).count() == 0
+    assert repairs.url_repairs(repairs.url_candidates(stored.limit(0), incoming)).count() == 0
+
+
+def test_records_give_way_in_steps(spark):
+    rows = spark.createDataFrame([("a", "x" * 5000, "raw"), ("b", "short", "raw"), ("c", None, None), ("d" * 500, "x", "raw")], "id string, description string, raw_payload string")
+    sizes = {r[0][0]: r[1] for r in rows.select("id", projections.bounded_record(rows.columns, 2100)).collect()}
+    assert json.loads(sizes["a"]) == {"id": "a", "description": "x" * 2000} and json.loads(sizes["b"])["raw_payload"] == "raw" and json.loads(sizes["c"]) == {"id": "c"}
+    assert rows.filter("length(id) = 500").select(projections.bounded_record(rows.columns, 100)).first()[0] is None
+
+
+def test_company_tokens_and_junk_urls(spark):
+    name = lambda c: spark.createDataFrame([(c,)], "c string").select(audits.company_tokens(F.col("c"))).first()[0]
+    assert name("IBM United Bank of the Acme-Corp") == ["ibm", "acme"] and name("") == [] and name(None) is None
+    assert spark.createDataFrame([(None, "https://a.com", "https://b.com/jobs"), ("Acme", None, None), ("Acme", "x", "y")], "c string, o string, r string").select(audits.safe_recommendation(F.col("c"), F.col("o"), F.col("r")).alias("s")).filter("s").count() == 0
