@@ -39,6 +39,32 @@ def safe_recommendation(company: Column, original: Column, recommended: Column)
     return F.coalesce(own, F.lit(False))
 
 
+def _tenant_catalog(url: Column) -> Column:
+    """The one catalog whose url names its company by a number alone (fixed values)."""
+    scheme, host, path, query = urls.parts(url)
+    has = lambda k, v: query.rlike(f"(?i)[?&]{k}={v}(&|$)")
+    return (scheme == "https") & (host == "cgi.njoyn.com") & (F.lower(path) == "/corp/xweb/xweb.asp") & has("clid", "21001") & has("page", "joblisting") & has("countryid", "us")
+
+
+def safe_listing(company: Column, original: Column, candidate: Column) -> Column:
+    """Whether a page may be read as the company's listing: a safe recommendation, a public catalog, or its own tenant; no vendor's home."""
+    (_, host0, _, _), (_, host, path, query) = urls.parts(original), urls.parts(candidate)
+    never = (host == "") | (host0 == "") | (host.rlike(urls.VENDOR_HOME) & path.rlike("^/?$")) | F.concat(path, query).rlike(urls.NON_LISTING)
+    tenant = (F.lower(F.trim(company)) == "cgi") & _tenant_catalog(candidate) & (host0.rlike(r"(^|\.)cgi\.com$") | _tenant_catalog(original))
+    either = F.coalesce(tenant, F.lit(False)) | safe_recommendation(company, original, candidate) | F.coalesce(urls.is_public_catalog(candidate), F.lit(False))
+    return F.coalesce(~never & either, F.lit(False))
+
+
+def verified_identity(job: Column, requisition: Column, official: Column, apply: Column) -> Column:
+    """Whether a reviewed pair of urls belongs to one requisition; hosts and shapes are fixed values of one company."""
+    (s0, h0, p0, q0), (s1, h1, p1, q1) = urls.parts(official), urls.parts(apply)
+    wanted = F.upper(F.trim(requisition))
+    plain = (q0 == "") & (q1 == "") & ~official.contains("#") & ~apply.contains("#") & (s0 == "https") & (s1 == "https")
+    ok = F.length(F.trim(job)).between(1, 200) & wanted.rlike(r"^JR-[0-9]{6,12}$") & plain & (h0 == "search.jobs.barclays") & p0.rlike(r"(?i)^/job/([^/?#]+/)+13015/[0-9]+/?$")
+    ok &= (h1 == "barclays.wd3.myworkdayjobs.com") & p1.rlike(r"(?i)^/External_Career_Site_Barclays/job/([^/?#]+/)+[^/?#]+/apply/?$") & p1.contains(F.concat(F.lit("_"), wanted, F.lit("/apply")))
+    return F.coalesce(ok, F.lit(False))
+
+
 def host_adapter(url: Column) -> Column:
     """The application system that serves a url, by its host first of all; ``custom`` for any other."""
     _, host, path, query = urls.parts(url)

@@ -95,3 +95,23 @@ def items_after_quiet_walk(spark, sf_dir):
     found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_custkey").alias("source_id"), (F.col("o_orderstatus") == "F").alias("notified"))
     walked = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("source_id"))
     return audits.after_quiet_walk(items, messages, found, walked)
+
+
+PAGES = ("https://boards.greenhouse.io/other", "https://www.lever.co/", "https://jobs.lever.co/acme/blog", "https://cgi.njoyn.com/CORP/xweb/xweb.asp?CLID=21001&page=JobListing&CountryID=us", "https://cgi.njoyn.com/corp/xweb/xweb.asp?clid=9&page=joblisting&countryid=US", "https://www.cgi.com/careers", "nothing")
+OWNERS = (" CGI", "Acme")
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS id, {_sql(OWNERS)}[o_orderkey % 2 + 1] AS company, {_sql(PAGES)}[o_orderkey // 2 % {len(PAGES)} + 1] AS url FROM orders)
+  SELECT id, url NOT IN ('nothing', 'https://www.lever.co/') AND NOT contains(url, '/blog') AND (contains(url, 'greenhouse.io') OR url = 'https://www.cgi.com/careers' OR (trim(company) = 'CGI' AND regexp_matches(url, '(?i)clid=21001&page=joblisting&countryid=us$'))) AS safe FROM p""")
+def safe_listings(spark, sf_dir):
+    n = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(n.alias("id"), audits.safe_listing(_dealt(OWNERS, n), F.lit("https://www.cgi.com/"), _dealt(PAGES, F.floor(n / 2))).alias("safe"))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k FROM orders) SELECT id FROM v WHERE k = 0 AND length(id::VARCHAR) <= 6""")
+def verified_identities(spark, sf_dir):
+    n = F.col("o_orderkey")
+    at = F.lpad(n.cast("string"), 6, "0")
+    official = F.concat(F.lit("https://search.jobs.barclays/job/city/title/"), F.when(n % 4 == 1, "13016").otherwise("13015"), F.lit("/"), n, F.when(n % 4 == 2, "?x=1").otherwise(""))
+    apply = F.concat(F.lit("https://barclays.wd3.myworkdayjobs.com/External_Career_Site_Barclays/job/City/Title_JR-"), F.when(n % 4 == 3, "999999999").otherwise(at), F.lit("/apply"))
+    return table(spark, sf_dir, "orders").filter(audits.verified_identity(n.cast("string"), F.concat(F.lit(" jr-"), at), official, apply)).select(n.alias("id"))
