@@ -69,10 +69,7 @@ def _words(rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(label, EDGE_BEFORE + p + EDGE_AFTER) for label, p in rules]
 
 
-INTERNSHIPS = [
-    *_words(fixed.INTERNSHIP_WORDS), *fixed.INTERNSHIP_STAGE, *_words(fixed.INTERNSHIP_WORDS_LATER), *fixed.INTERNSHIP_ANYWHERE, *_words(fixed.INTERNSHIP_WORDS_LAST),
-    *fixed.INTERNSHIP_ANYWHERE_LAST, *_words(fixed.INTERNSHIP_WORDS_ASIA), *fixed.INTERNSHIP_ANYWHERE_ASIA,
-]
+INTERNSHIPS = [(label, EDGE_BEFORE + p + EDGE_AFTER if edges else p) for label, p, edges in fixed.INTERNSHIPS]
 
 
 def programs(title: Column) -> Column:

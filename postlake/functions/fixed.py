@@ -1,43 +1,43 @@
 """Fixed values of the posting classifiers: word lists, patterns, labels and points. No logic here."""
 
-# Program rules, as (label, words between word edges).
-INTERNSHIP_WORDS = [
-    ("intern", r"intern(?:s|ships?)?"),
-    ("externship", r"extern(?:s|ships?)?"),
-    ("working student", r"working student"),
-    ("student worker", r"(?:student worker|student researcher)"),
-    ("student trainee", r"(?:(?:student|industrial|summer|vacation) trainee|traineeship)"),
-    ("summer student", r"(?:summer student|vacation employment)"),
-    ("placement", r"(?:industrial placement|placement student|student placement|placement year|sandwich placement|year in industry|industrial attachment)"),
-    ("work placement", r"(?:work experience placement|work[- ]integrated learning|professional experience year|industry[- ]based learning|student work placement(?: program)?)"),
-    ("summer analyst", r"summer (?:analyst|associate)"),
-    ("vacation program", r"(?:vacation scheme|vacationer(?: program)?|summer clerk|vacation clerk)"),
-    ("cadetship", r"cadetship"),
-    ("articleship", r"articleship"),
-    ("werkstudent", r"werkstudent(?:in)?"),
-    ("praktikum", r"(?:praktik(?:um|ant(?:in)?)?|praktyk(?:ant|i))"),
-    ("stagiaire", r"(?:stagiaire|alternan(?:t|ce)|cesure)"),
-    ("stagiair", r"(?:stagiair|stagiu|stagiar)"),
+# Program rules in their order, as (label, pattern, whether it stands between word edges).
+INTERNSHIPS = [
+    ("intern", r"intern(?:s|ships?)?", True),
+    ("externship", r"extern(?:s|ships?)?", True),
+    ("working student", r"working student", True),
+    ("student worker", r"(?:student worker|student researcher)", True),
+    ("student trainee", r"(?:(?:student|industrial|summer|vacation) trainee|traineeship)", True),
+    ("summer student", r"(?:summer student|vacation employment)", True),
+    ("placement", r"(?:industrial placement|placement student|student placement|placement year|sandwich placement|year in industry|industrial attachment)", True),
+    ("work placement", r"(?:work experience placement|work[- ]integrated learning|professional experience year|industry[- ]based learning|student work placement(?: program)?)", True),
+    ("summer analyst", r"summer (?:analyst|associate)", True),
+    ("vacation program", r"(?:vacation scheme|vacationer(?: program)?|summer clerk|vacation clerk)", True),
+    ("cadetship", r"cadetship", True),
+    ("articleship", r"articleship", True),
+    ("werkstudent", r"werkstudent(?:in)?", True),
+    ("praktikum", r"(?:praktik(?:um|ant(?:in)?)?|praktyk(?:ant|i))", True),
+    ("stagiaire", r"(?:stagiaire|alternan(?:t|ce)|cesure)", True),
+    ("stagiair", r"(?:stagiair|stagiu|stagiar)", True),
+    ("stage (FR/NL)", r"^(?!(?:stage\s*[-:]?\s*)(?:manager|hand|crew|technician|tech|carpenter|operations|production|lighting|audio|director|supervisor|lead|setup|labor|rigging)(?:$|[^\p{L}\p{N}]))(?:stage\s*[-:]?\s*\p{L}|(?:afstudeer|meewerk)stage)", False),
+    ("stage delimited (FR/IT)", r"^(?!.*\b(?:early|growth|late|seed|clinical|development|life)\s*(?:-\s*)?stage\b).*(?:\s[-|/(]\s*)stage(?=$|[^\p{L}\p{N}])", False),
+    ("estagio", r"estagi(?:o|ari[oa])", True),
+    ("practicante", r"(?:practicas|practicante|pasantia|pasante|becari[oa])", True),
+    ("tirocinio", r"(?:tirocinio|tirocinante|stagista)", True),
+    ("staz", r"staz(?:ysta|ystka|ista)?", True),
+    ("harjoittelija", r"(?:harjoittelu|harjoittelija)", True),
+    ("stajyer", r"stajyer", True),
+    ("gyakornok", r"gyakornok", True),
+    ("стажер", r"стажер", False),
+    ("стажировка", r"стажировк", False),
+    ("praksa", r"praksa", True),
+    ("πρακτικη ασκηση", r"πρακτικη ασκηση", False),
+    ("magang", r"magang", True),
+    ("thuc tap sinh", r"thuc tap sinh", True),
+    ("ฝึกงาน", r"(?:ฝึกงาน|ฝกงาน)", False),
+    ("インターン", r"インターン", False),
+    ("인턴", r"인턴", False),
+    ("实习", r"(?:实习|實習)", False),
 ]
-# Whole patterns, tried after the words above.
-INTERNSHIP_STAGE = [
-    ("stage (FR/NL)", r"^(?!(?:stage\s*[-:]?\s*)(?:manager|hand|crew|technician|tech|carpenter|operations|production|lighting|audio|director|supervisor|lead|setup|labor|rigging)(?:$|[^\p{L}\p{N}]))(?:stage\s*[-:]?\s*\p{L}|(?:afstudeer|meewerk)stage)"),
-    ("stage delimited (FR/IT)", r"^(?!.*\b(?:early|growth|late|seed|clinical|development|life)\s*(?:-\s*)?stage\b).*(?:\s[-|/(]\s*)stage(?=$|[^\p{L}\p{N}])"),
-]
-INTERNSHIP_WORDS_LATER = [
-    ("estagio", r"estagi(?:o|ari[oa])"),
-    ("practicante", r"(?:practicas|practicante|pasantia|pasante|becari[oa])"),
-    ("tirocinio", r"(?:tirocinio|tirocinante|stagista)"),
-    ("staz", r"staz(?:ysta|ystka|ista)?"),
-    ("harjoittelija", r"(?:harjoittelu|harjoittelija)"),
-    ("stajyer", r"stajyer"),
-    ("gyakornok", r"gyakornok"),
-]
-INTERNSHIP_ANYWHERE = [("стажер", "стажер"), ("стажировка", "стажировк")]
-INTERNSHIP_WORDS_LAST = [("praksa", r"praksa")]
-INTERNSHIP_ANYWHERE_LAST = [("πρακτικη ασκηση", "πρακτικη ασκηση")]
-INTERNSHIP_WORDS_ASIA = [("magang", r"magang"), ("thuc tap sinh", r"thuc tap sinh")]
-INTERNSHIP_ANYWHERE_ASIA = [("ฝึกงาน", "(?:ฝึกงาน|ฝกงาน)"), ("インターン", "インターン"), ("인턴", "인턴"), ("实习", "(?:实习|實習)")]
 COOP_WORDS = [
     ("co-op", r"(?:co(?:\s*-\s*|\s+)op|coop)"),
     ("cooperative education", r"co(?:\s*-\s*|\s*)operative educat(?:ion|ional)"),

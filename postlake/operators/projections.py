@@ -14,6 +14,44 @@ def clean_array(c: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda v: v != ""))
 
 
+def json_texts(c: Column) -> Column:
+    """The texts of a JSON array, in order; other members, malformed texts and null give none."""
+    members = F.coalesce(F.from_json(c, "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(F.filter(members, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+
+
+# What states, regions and areas a mapped posting may have, and what stands for unknown texts.
+STATES = ("new", "saved", "hidden", "applied")
+ARRANGEMENTS = ("remote", "hybrid", "onsite")
+REGIONS = ("us", "non_us", "mixed", "unknown")
+AREAS = ("ai-ml", "data-analytics", "software-engineering")
+NO_SUMMARY = "Open the official posting for the full role description."
+NO_LOCATION = "Location not specified"
+TEXTS = (
+    "employment_type", "description", "responsibilities", "qualifications", "department", "team", "business_unit", "job_family", "job_function", "industry", "office", "location_city", "location_state", "location_country", "location_postal_code",
+    "salary_currency", "salary_interval", "benefits", "education_requirements", "experience_requirements", "experience_level", "shift_schedule", "travel_requirements", "security_clearance", "requisition_id", "apply_url", "source_posted_text",
+    "source_updated_at", "valid_through", "published_at",
+)
+JSON_ARRAYS = ("skills", "secondary_locations", "languages")
+
+
+def mapped(rows: DataFrame) -> DataFrame:
+    """Stored rows as a view shows them: unknown words replaced by defaults, blank texts null, JSON arrays as arrays of texts, evidence by its label.
+
+    Of the optional columns only those that rows has are mapped (arrays only where they are JSON); all others pass through.
+    """
+    one_of = lambda c, words, default: F.when(F.col(c).isin(*words), F.col(c)).otherwise(default)
+    or_else = lambda c, text: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(text))
+    label = lambda e: F.coalesce(blank_to_null(F.get(F.split(e, "[|]"), F.lit(1))), e)
+    terms = F.array_distinct(F.filter(F.transform(json_texts(F.col("resume_match_evidence")), label), lambda t: t != ""))
+    made = {
+        "arrangement": one_of("arrangement", ARRANGEMENTS, "onsite"), "status": one_of("review_state", STATES, "new"), "location_region": one_of("location_region", REGIONS, "unknown"), "location": or_else("location", NO_LOCATION),
+        "summary": or_else("summary", NO_SUMMARY), "area_keys": F.filter(json_texts(F.col("area_keys")), lambda a: a.isin(*AREAS)), "matched_terms": terms, "match_score": F.coalesce("resume_match_score", F.lit(0)),
+    }
+    made |= {c: blank_to_null(F.col(c)) for c in TEXTS if c in rows.columns} | {c: json_texts(F.col(c)) for c in JSON_ARRAYS if dict(rows.dtypes).get(c) == "string"}
+    return rows.withColumns(made)
+
+
 def area_keys(topics: DataFrame) -> DataFrame:
     """(id, area_keys): the sorted areas of each posting, without their prefix."""
     areas = topics.filter(F.startswith("topic_key", F.lit("area:")))

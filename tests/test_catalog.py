@@ -1,6 +1,7 @@
 import pytest
 from oracle import DIR, connect, same
 
+import postlake.plans.anchor_plans
 import postlake.plans.audit_plans
 import postlake.plans.lifecycle_plans
 import postlake.plans.repair_plans
