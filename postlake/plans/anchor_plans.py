@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postlake.operators import anchors, backfills, classify, projections
+from postlake.operators import anchors, backfills, classify, merge, projections
 from postlake.plans.catalog import query
 from postlake.sources.parameters import json_rows
 from postlake.sources.proxy import table
@@ -145,3 +145,30 @@ def mapped_postings(spark, sf_dir):
 @query(f"""WITH {RICH_SQL}, e AS (SELECT DISTINCT id, unnest(skills) AS evidence FROM rich) SELECT evidence, count(*) AS jobs FROM e GROUP BY 1""")
 def evidence_counts(spark, sf_dir):
     return projections.evidence_histogram(rich_postings(spark, sf_dir).select(F.col("id").alias("job_id"), F.col("skills").alias("evidence")))
+
+
+MERGED = ("title", "employment_type", "summary", "skills", "arrangement", "location_region", "url_identity_key", "review_state")
+NEXT_SQL = f"""{RICH_SQL}, rows AS (SELECT * REPLACE (CASE WHEN id % 4 = 2 THEN 'unknown' ELSE arrangement END AS arrangement), CASE WHEN id % 3 = 0 THEN 'unknown' ELSE region END AS location_region, 'url:' || id AS url_identity_key FROM rich),
+  state AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, official_url ORDER BY id) AS nth FROM rows WHERE team <> '3-MEDIUM') WHERE nth = 1),
+  inc AS (SELECT * FROM rows WHERE department <> 'BUILDING' AND team <> '5-LOW'),
+  red AS (SELECT source_id, official_url, arg_max(title, id) AS title, arg_max(employment_type, id) AS employment_type, arg_max(summary, id) AS summary, coalesce(arg_max(skills, id) FILTER (len(skills) > 0), arg_max(skills, id)) AS skills,
+    coalesce(arg_max(arrangement, id) FILTER (arrangement <> 'unknown'), 'unknown') AS arrangement, coalesce(arg_max(location_region, id) FILTER (location_region <> 'unknown'), 'unknown') AS location_region,
+    arg_min(url_identity_key, id) AS url_identity_key, arg_min(review_state, id) AS review_state FROM inc GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {NEXT_SQL} SELECT source_id, official_url, coalesce(r.title, s.title) AS title, coalesce(r.employment_type, s.employment_type) AS employment_type, coalesce(r.summary, s.summary) AS summary,
+    CASE WHEN len(r.skills) > 0 THEN r.skills ELSE coalesce(s.skills, r.skills) END AS skills, coalesce(nullif(r.arrangement, 'unknown'), s.arrangement, r.arrangement) AS arrangement, coalesce(nullif(r.location_region, 'unknown'), s.location_region, r.location_region) AS location_region,
+    coalesce(s.url_identity_key, r.url_identity_key) AS url_identity_key, CASE WHEN s.id IS NULL THEN r.review_state ELSE s.review_state END AS review_state,
+    CASE WHEN r.source_id IS NOT NULL THEN 'open' WHEN s.status = 'open' AND source_id IN (SELECT source_id FROM inc) THEN 'closed' ELSE s.status END AS status,
+    coalesce(s.first_seen_at, '2026') AS first_seen_at, CASE WHEN r.source_id IS NOT NULL THEN '2026' ELSE s.first_seen_at END AS last_seen_at, CASE WHEN r.source_id IS NOT NULL AND s.status = 'closed' THEN 2 ELSE 1 END::BIGINT AS generation,
+    CASE WHEN r.source_id IS NOT NULL AND s.status = 'closed' THEN '2026' END AS reopened_at, CASE WHEN r.source_id IS NULL AND s.status = 'open' AND source_id IN (SELECT source_id FROM inc) THEN '2026' WHEN r.source_id IS NULL AND s.status = 'closed' THEN '2025' END AS closed_at,
+    CASE WHEN s.id IS NULL THEN 'created' WHEN r.source_id IS NOT NULL AND s.status = 'closed' THEN 'reopened' WHEN r.source_id IS NOT NULL THEN 'updated' WHEN s.status = 'open' AND source_id IN (SELECT source_id FROM inc) THEN 'closed' ELSE 'unchanged' END AS event
+  FROM state s FULL JOIN red r USING (source_id, official_url)""")
+def merged_columns(spark, sf_dir):
+    n = F.col("id")
+    rows = rich_postings(spark, sf_dir).withColumns({
+        "arrangement": F.when(n % 4 == 2, "unknown").otherwise(F.col("arrangement")), "location_region": F.when(n % 3 == 0, "unknown").otherwise(F.col("region")), "url_identity_key": F.concat(F.lit("url:"), n)})
+    state = rows.filter("team <> '3-MEDIUM'").groupBy("source_id", "official_url").agg(*[F.min_by(c, "id").alias(c) for c in (*MERGED, "status", "first_seen_at")])
+    state = state.withColumns({"last_seen_at": F.col("first_seen_at"), "generation": F.lit(1).cast("long"), "reopened_at": F.lit(None).cast("string"), "closed_at": F.when(F.col("status") == "closed", "2025")})
+    incoming = rows.filter("department <> 'BUILDING' AND team <> '5-LOW'").withColumn("ordinal", n)
+    return merge.merge(state, incoming, "2026")
