@@ -172,3 +172,19 @@ def merged_columns(spark, sf_dir):
     state = state.withColumns({"last_seen_at": F.col("first_seen_at"), "generation": F.lit(1).cast("long"), "reopened_at": F.lit(None).cast("string"), "closed_at": F.when(F.col("status") == "closed", "2025")})
     incoming = rows.filter("department <> 'BUILDING' AND team <> '5-LOW'").withColumn("ordinal", n)
     return merge.merge(state, incoming, "2026")
+
+
+PROGRAM_SQL = """programs AS (SELECT id, title, CASE WHEN regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}])intern(s|ships?)?($|[^\\p{L}\\p{N}])') THEN 'title:intern'
+    WHEN regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}])extern(s|ships?)?($|[^\\p{L}\\p{N}])') AND NOT regexp_matches(lower(title), 'nurse|radiology|surgical tech') THEN 'title:externship' END AS internship,
+    CASE WHEN regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}])(co[ -]op|coop)($|[^\\p{L}\\p{N}])') THEN 'title:co-op' END AS coop FROM rich)"""
+
+
+@query(f"WITH {RICH_SQL}, {PROGRAM_SQL} SELECT id, internship, coop FROM programs")
+def title_programs(spark, sf_dir):
+    return classify.classified(rich_postings(spark, sf_dir), ("program",)).select("id", "program.internship", "program.coop")
+
+
+@query(f"""WITH {RICH_SQL} SELECT id, title, company, coalesce(arrangement, 'onsite') AS arrangement, coalesce(review_state, 'new') AS review_state, coalesce(location, 'Location not specified') AS location, official_url,
+  substr(coalesce(summary, description), 1, 1200) AS summary, published_at, first_seen_at FROM rich""")
+def listed_postings(spark, sf_dir):
+    return projections.listed(rich_postings(spark, sf_dir))

@@ -39,27 +39,27 @@ def search_basic(spark, sf_dir):
 @query(WITH + f"SELECT id, published_at FROM canonical WHERE lower(region) IN ('asia','europe') AND lower(employment_type) IN ('1-urgent','2-high','5-low') {ORDER} LIMIT 20 OFFSET 40")
 def search_second_page(spark, sf_dir):
     f = search.Filters(regions=BASIC.regions, employment_types=BASIC.employment_types, limit=20, offset=40)
-    return search.page(search.search(postings(spark, sf_dir), f), f).select("id", "published_at")
+    return search.page(search.search(postings(spark, sf_dir, titled=False), f), f).select("id", "published_at")
 
 
 @query(WITH + "SELECT count(*) AS total FROM canonical WHERE lower(region) IN ('asia','europe')")
 def search_count(spark, sf_dir):
-    return search.search(postings(spark, sf_dir), search.Filters(regions=("Asia", "Europe"))).agg(F.count(F.lit(1)).alias("total"))
+    return search.search(postings(spark, sf_dir, titled=False), search.Filters(regions=("Asia", "Europe"))).agg(F.count(F.lit(1)).alias("total"))
 
 
 @query(WITH + "SELECT id, official_url, company, first_seen_at FROM canonical")
 def canonical_postings(spark, sf_dir):
-    return search.canonical(postings(spark, sf_dir)).select("id", "official_url", "company", "first_seen_at")
+    return search.canonical(postings(spark, sf_dir, titled=False)).select("id", "official_url", "company", "first_seen_at")
 
 
 @query(WITH + "SELECT id, salary_min, salary_max FROM canonical WHERE salary_max >= 150000 AND salary_min <= 180000")
 def search_salary_overlap(spark, sf_dir):
-    return search.search(postings(spark, sf_dir), search.Filters(salary_from=150000, salary_to=180000)).select("id", "salary_min", "salary_max")
+    return search.search(postings(spark, sf_dir, titled=False), search.Filters(salary_from=150000, salary_to=180000)).select("id", "salary_min", "salary_max")
 
 
 @query(WITH + "SELECT id, published_at FROM canonical WHERE published_at >= '1995-03-01' AND published_at < '1997-07-01'")
 def search_published_between(spark, sf_dir):
-    return search.search(postings(spark, sf_dir), search.Filters(published_from="1995-03-01", published_to="1997-06-30")).select("id", "published_at")
+    return search.search(postings(spark, sf_dir, titled=False), search.Filters(published_from="1995-03-01", published_to="1997-06-30")).select("id", "published_at")
 
 
 @query(WITH + """SELECT id, title FROM canonical WHERE len(list_filter(regexp_extract_all(lower(title || ' ' || company || ' ' || country), '[\\p{L}\\p{N}]+'), lambda t: starts_with(t, 'customer'))) > 0
@@ -70,7 +70,7 @@ def search_full_text(spark, sf_dir):
 
 @query(WITH + "SELECT id, country FROM canonical WHERE contains(lower(country), 'tion_1')")
 def search_location(spark, sf_dir):
-    return search.search(postings(spark, sf_dir).withColumn("location", F.col("country")), search.Filters(location="tion_1")).select("id", "country")
+    return search.search(postings(spark, sf_dir, titled=False).withColumn("location", F.col("country")), search.Filters(location="tion_1")).select("id", "country")
 
 
 @query(WITH + "SELECT id, title FROM canonical WHERE id > 1000 ORDER BY id LIMIT 100")
@@ -83,7 +83,7 @@ def keyset_page(spark, sf_dir):
   counted AS (SELECT key, min(label) AS value, count(DISTINCT official_url) AS jobs FROM each WHERE label <> '' GROUP BY key, lower(label))
   SELECT key, value, jobs FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY jobs DESC, lower(value), value) AS n FROM counted) WHERE n <= 100""")
 def facet_values(spark, sf_dir):
-    return facets.facets(search.canonical(postings(spark, sf_dir)))
+    return facets.facets(search.canonical(postings(spark, sf_dir, titled=False)))
 
 
 @query(WITH + """, words AS (SELECT DISTINCT official_url, unnest(list_distinct(string_split(lower(title), ' '))) AS word FROM canonical)
@@ -115,7 +115,7 @@ def overview(spark, sf_dir):
     r = runs(spark, sf_dir)
     parts = [
         table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("sources")),
-        postings(spark, sf_dir).filter("status = 'open'").agg(F.count(F.lit(1)).alias("open_jobs")),
+        postings(spark, sf_dir, titled=False).filter("status = 'open'").agg(F.count(F.lit(1)).alias("open_jobs")),
         reports.latest_runs(r).agg(F.count_if(F.col("status").isin("failed", "blocked")).alias("errors"), F.count(F.lit(1)).alias("crawled")),
     ]
     out = parts[0]

@@ -10,17 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order: a posting of the customer's career site, titled by its lowest part."""
+def postings(spark: SparkSession, sf_dir: str, titled: bool = True) -> DataFrame:
+    """One row per order: a posting of the customer's career site, titled by its lowest part; untitled ones read no lines and parts."""
     t = lambda name: table(spark, sf_dir, name)
-    first_part = t("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
-    titles = first_part.join(t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title")), "p_partkey").select("l_orderkey", "title")
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("country"), F.col("r_name").alias("region"))
     sites = t("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    rows = t("orders").join(sites, F.col("o_custkey") == F.col("c_custkey")).join(titles, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = t("orders").join(sites, F.col("o_custkey") == F.col("c_custkey"))
+    title = []
+    if titled:
+        first_part = t("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
+        titles = first_part.join(t("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title")), "p_partkey").select("l_orderkey", "title")
+        rows = rows.join(titles, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        title = [F.coalesce("title", F.lit("")).alias("title")]
     return rows.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_id"), F.col("c_name").alias("company"), "country", "region",
-        F.coalesce("title", F.lit("")).alias("title"), F.col("o_orderpriority").alias("employment_type"),
+        *title, F.col("o_orderpriority").alias("employment_type"),
         F.format_string("https://jobs.example/%d/%s", F.col("o_custkey") % 500, F.col("o_orderpriority")).alias("official_url"),
         F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open").alias("status"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("first_seen_at"),

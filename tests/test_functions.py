@@ -73,3 +73,43 @@ def test_company_tokens_and_junk_urls(spark):
     name = lambda c: spark.createDataFrame([(c,)], "c string").select(audits.company_tokens(F.col("c"))).first()[0]
     assert name("IBM United Bank of the Acme-Corp") == ["ibm", "acme"] and name("") == [] and name(None) is None
     assert spark.createDataFrame([(None, "https://a.com", "https://b.com/jobs"), ("Acme", None, None), ("Acme", "x", "y")], "c string, o string, r string").select(audits.safe_recommendation(F.col("c"), F.col("o"), F.col("r")).alias("s")).filter("s").count() == 0
+
+
+def test_links_of_odd_pages(spark):
+    from postlake.operators.anchors import judged, page_links, postings, resolved
+
+    base = "https://a.example/x/y?q=1"
+    cases = [("z", "https://a.example/x/z"), ("./z/../w?k#f", "https://a.example/x/w?k#f"), ("../../../z", "https://a.example/z"), ("", base), ("#f", base + "#f"), ("?k", "https://a.example/x/y?k"), ("..", "https://a.example/"), ("//B.example/", "https://B.example/"), (None, None)]
+    df = spark.createDataFrame([(h, base) for h, _ in cases], "href string, base string")
+    assert [r[0] for r in df.select(resolved(F.col("href"), F.col("base"))).collect()] == [u for _, u in cases]
+    schema = "source_id long, company string, source_url string, ordinal long, href string, text string"
+    odd = [(1, None, "https://a.example/careers", i, h, t) for i, (h, t) in enumerate([(None, "Engineer"), ("/jobs/12345", None), ("/jobs/12345", "Engineer" * 30), ("javascript:x()", "Engineer"), ("/jobs/%22x", "Engineer"), ("/jobs/%zz-cook", "Apply")])] + [(2, "C", None, 9, "/jobs/123", "Engineer")]
+    found = {r["ordinal"]: r["refused"] for r in judged(spark.createDataFrame(odd, schema)).collect()}
+    assert found == {0: "broken-link", 1: "text-length", 2: "text-length", 3: "no-web-link", 4: "broken-link", 5: "generic-text", 9: "no-web-link"}
+    assert postings(spark.createDataFrame([], schema)).count() == 0
+    html = "<A title=\"t\" HREF='/a'><b>One</b> two</A><a name=x>none</a><a href=/b>B &amp; C</a><a href=\"/c\">open"
+    rows = page_links(spark.createDataFrame([(1, "https://a.example/", html), (2, None, None)], "page_id long, url string, html string")).orderBy("ordinal").collect()
+    assert [(r["href"], r["text"]) for r in rows] == [("/a", "One two"), (None, "none"), ("/b", "B & C")]
+
+
+def test_report_is_read_again(spark, tmp_path):
+    from postlake.sources.parameters import json_rows, write_report
+
+    rows = json_rows(spark.createDataFrame([(1, '[{"id": 3}, {"id": null, "kind": "k"}]'), (2, "[broken"), (3, None), (4, "[]")], "n long, p string"), "p", "id long, kind string")
+    assert [tuple(r) for r in rows.collect()] == [(1, 3, None), (1, None, "k")]
+    write_report(rows, str(tmp_path / "report"))
+    write_report(rows.limit(1), str(tmp_path / "report"))
+    assert [r.asDict() for r in spark.read.json(str(tmp_path / "report")).collect()] == [{"id": 3, "kind": None, "n": 1}]
+
+
+def test_merge_of_repeated_rows_and_unknown_words(spark):
+    from postlake.operators.merge import merge
+
+    state = spark.createDataFrame([(1, "u", "T", ["a"], "remote", "saved", "k1", "closed", "1", "1", 4, None, "1")], "source_id long, official_url string, title string, skills array<string>, arrangement string, review_state string, url_identity_key string, status string, first_seen_at string, last_seen_at string, generation long, reopened_at string, closed_at string")
+    new = [(1, "u", "A", [], "hybrid", "new", "k2", 1), (1, "u", "B", None, "unknown", "new", "k3", 2), (1, "v", "C", [], "unknown", "new", "k4", 3), (1, "v", "D", None, None, "hidden", None, 4)]
+    incoming = spark.createDataFrame(new, "source_id long, official_url string, title string, skills array<string>, arrangement string, review_state string, url_identity_key string, ordinal long")
+    got = {r["official_url"]: r.asDict() for r in merge(state, incoming, "9").collect()}
+    pick = lambda u, *c: tuple(got[u][x] for x in c)
+    names = ("title", "skills", "arrangement", "review_state", "url_identity_key", "status", "generation", "reopened_at", "closed_at", "event")
+    assert pick("u", *names) == ("B", ["a"], "hybrid", "saved", "k1", "open", 5, "9", None, "reopened")
+    assert pick("v", *names) == ("D", [], "unknown", "new", "k4", "open", 1, None, None, "created")
