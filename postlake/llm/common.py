@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -145,3 +146,24 @@ def join_hot(rows: DataFrame, few: DataFrame, key: str, counts: DataFrame, total
     rows = rows.withColumn("_piece", F.when(large, F.pmod(F.xxhash64(F.lit(17), *spread), F.lit(pieces)).cast("int")).otherwise(0))
     few = few.withColumn("_piece", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))))
     return rows.join(few, [key, "_piece"]).drop("_piece")
+
+
+def map_texts(df: DataFrame, make, fields: list[tuple[str, object]], most: int = 4 << 20) -> DataFrame:
+    """df through a function of Arrow batches: make() gives it once a task; it returns columns for the (name, type) of fields.
+
+    Batches are bounded by bytes, so a task holds about ``most`` bytes of text at a time, or one longer text.
+    """
+    schema = StructType()
+    for name, kind in fields:
+        schema.add(name, kind)
+    names = schema.names
+
+    def run(batches):
+        import pyarrow as pa
+
+        f = make()
+        for batch in light(batches):
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(f(*batch.columns), names=names)
+
+    return text_batches(df, most).mapInArrow(run, schema)

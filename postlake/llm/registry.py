@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprint, html_text, mixing, near_dedup, secret_scan, substring_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, fill_middle, fingerprint, html_text, mixing, near_dedup, personal_data, resampling, secret_scan, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_html": html_text.op10_html,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
 
-SQL = {"op4_exact_dedup": exact_dedup.SQL}
+SQL = {"op4_exact_dedup": exact_dedup.SQL, "op12_fill_in_middle": fill_middle.SQL}
