@@ -6,7 +6,8 @@ odds that its words are main text, from its name and the words of its class and
 id; it makes the words inside main, noise or neither. A word's weight is then the
 log odds for its place, a tag's for its name. One linear scan finds the
 contiguous region with the largest sum; it starts and ends with main text, and
-what lies before and after it is gone by that alone. Noise inside an article (a notice
+what lies before and after it is gone by that alone. A list of links between two stretches counts against them by a bounded sum,
+so a paragraph before a long list stays. Noise inside an article (a notice
 or an advert) counts nothing in the scan, and negative words between kept ones are cut.
 Blocks come in page order; blocks of an unmarked place that hold only links go, and
 links among other words stay.
@@ -43,6 +44,9 @@ SECTIONS = set("nav header footer aside form dialog menu article main section".s
 TRACKED = SECTIONS | set("div ul ol table p td li details figure span blockquote".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
+# Words at the end of a class that say how an element is laid out, not what it holds.
+HOLDERS = set("area articles bar block box btn button buttons col column container icons inner item items left link links list mobile news outer panel posts right row section slot stories top trail unit wrap wrapper".split())
+
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
 MARK = re.compile("[>\"']")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -50,6 +54,8 @@ HIDDEN = re.compile(r"""\shidden(?:[\s=>]|$)|aria-hidden\s*=\s*["']?true|display
 NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]+|[A-Z]+")
 #: An element of at least this weight, for or against, decides about the words in it.
 SURE = 1.0
+#: As many plain words outweigh any list of links between them and the rest of the text.
+LIST_WORDS = 12
 
 
 def markup(page: str):
@@ -111,21 +117,38 @@ def markup(page: str):
         at = end
 
 
-def names_of(tag: str) -> set[str]:
-    return {w.lower() for _, v in NAMED.findall(tag) for w in NAME_WORD.findall(v)} if "=" in tag else set()
+def names_of(tag: str) -> set[tuple[str, ...]]:
+    """The words of each class, id and role: those before its head, then the head, its last word that says what the element holds."""
+    out = set()
+    for _, value in NAMED.findall(tag) if "=" in tag else ():
+        for name in value.strip("\"'").split():
+            words = [w.lower() for w in NAME_WORD.findall(name)]
+            while len(words) > 1 and words[-1] in HOLDERS:
+                words.pop()
+            if words:
+                out.add(tuple(words))
+    return out
 
 
-def element_features(name: str, tag: str, in_article: bool) -> list[str]:
-    """What an element is known by; a header inside an article is another thing than a page's."""
+def element_features(name: str, tag: str, in_article: bool) -> list[tuple[str, ...]]:
+    """What an element is known by, each beside the words that qualify it; a header inside an article is another thing than a page's."""
     inner = "article " if in_article else ""
-    return [f"{inner}<{name}>"] * (name in SECTIONS) + [f"{inner}.{w}" if w == "header" else f".{w}" for w in sorted(names_of(tag))]
+    named = [(f"{inner}.{w[-1]}" if w[-1] == "header" else f".{w[-1]}", *(f".{x}" for x in w[:-1])) for w in sorted(names_of(tag))]
+    return [(f"{inner}<{name}>",)] * (name in SECTIONS) + named
 
 
 def element_weight(weights: dict[str, float], name: str, tag: str, in_article: bool) -> float:
-    """The strongest features decide: an article of class advert is an advert, a div of class post-content is content."""
+    """The strongest features decide: an article of class advert is an advert, a div of class post-content is content.
+
+    A compound name goes by its head: post-comments holds comments, and share-price no sharing. A head for the text under a word against it, as
+    in comment-text, decides nothing.
+    """
     if HIDDEN.search(tag):
         return -math.inf
-    known = [weights.get(f, 0.0) for f in element_features(name, tag, in_article)]
+    known = []
+    for head, *before in element_features(name, tag, in_article):
+        weight = weights.get(head, 0.0)
+        known.append(0.0 if weight > 0 and any(weights.get(b, 0.0) <= -SURE for b in before) else weight)
     against, for_ = min(known, default=0.0), max(known, default=0.0)
     return against if against <= -SURE else for_
 
@@ -248,43 +271,6 @@ def made_up_pages() -> list[str]:
 LABELLED = WRITTEN + made_up_pages()
 
 
-def _marked(events, depth: bool = False):
-    """(words inside the marks, words outside) of each text, with its event."""
-    for event in events:
-        inside = outside = 0
-        for part in re.split(r"(\[\[|\]\])", event[1]) if "[" in event[1] or "]" in event[1] else [event[1]]:
-            if part in ("[[", "]]"):
-                depth = part == "[["
-            elif depth:
-                inside += len(part.split())
-            else:
-                outside += len(part.split())
-        yield event, inside, outside, depth
-
-
-def _odds(inside: Counter, outside: Counter) -> dict[str, float]:
-    return {f: math.log((inside[f] + 0.5) / (outside[f] + 0.5)) for f in inside | outside}
-
-
-# Names that pages give to what is not their text, and to their text.
-AROUND = "ad ads advert adverts advertisement adbox banner promo promotion sponsor sponsored cookie cookies consent notice alert popup modal overlay sidebar widget menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer comment comments reply replies respond discussion disqus share sharing social related recommended newsletter subscribe signup login search form pager pagination tags copyright skip hidden".split()
-WITHIN = "article content entry post main story body text".split()
-
-
-def made_up_pages() -> list[str]:
-    """Labelled pages by rule: one for each name, with its element beside the text or around it."""
-    say = "the rain fell on the roofs and the river rose by the hour ."
-    out = [f'<html><body><div class="{w}">read this too now please</div><div class="content">[[<p>{say}</p>]]<div class="{w}">read this as well today</div>[[<p>{say}</p>]]</div><div id="{w}">one more thing here</div></body></html>' for w in AROUND]
-    out += [f"<html><body><{w}>read this too now please</{w}><article>[[<p>{say}</p>]]<{w}>read this as well today</{w}>[[<p>{say}</p>]]</article></body></html>" for w in ("nav", "footer", "aside", "form", "dialog", "menu")]
-    out += [f'<html><body><div><a href="/">Start here</a></div><div class="{w}">[[<p>{say}</p><p>{say}</p>]]</div><div><a href="/c">Contact us</a></div></body></html>' for w in WITHIN]
-    out += [f"<html><body><{w}><section>[[<p>{say}</p>]]</section><section>[[<p>{say}</p>]]</section></{w}></body></html>" for w in ("main", "article")]
-    out += [f"<html><body><nav>read this too</nav><section>[[<p>{say}</p>]]</section><section>[[<p>{say}</p>]]</section></body></html>"]
-    return out
-
-
-LABELLED = WRITTEN + made_up_pages()
-
-
 def _marked(events, depth: bool = False):
     """(words inside the marks, words outside) of each text, with its event."""
     for event in events:
@@ -311,7 +297,7 @@ def learn_weights(pages: list[str] = LABELLED) -> dict[str, float]:
             if kind == "text":
                 # the innermost element with features answers for its words
                 open_ = [f for f in (element_features(x, tag, i > 0 and stack[i - 1][2]) for i, (x, tag, _) in enumerate(stack)) if f]
-                for f in set(open_[-1]) if open_ else ():
+                for f in {head for head, *_ in open_[-1]} if open_ else ():
                     inside[f] += yes
                     outside[f] += no
     weights = _odds(inside, outside)
@@ -358,6 +344,22 @@ def in_sentences(found: list[tuple]) -> list[bool]:
     return out
 
 
+def bound_lists(scores: list[float], found: list[tuple], most: float) -> None:
+    """Let a run of blocks of unmarked places that hold links alone count against a region by ``most`` at most, however long it is."""
+    start, run = 0, 0.0
+    for stop in [*(i for i, (kind, _) in enumerate(found) if kind == "block"), len(found)]:
+        if any(kind.startswith("word:") and kind != "word:plain:link" and any(map(str.isalnum, text)) for kind, text in found[start:stop]):
+            run = 0.0
+        else:
+            total = sum(scores[start:stop])
+            if run + total < -most:
+                scores[start:stop] = [0.0] * (stop - start)
+                scores[start] = -most - run
+                total = -most - run
+            run = min(0.0, run + total)
+        start = stop + 1
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
@@ -367,7 +369,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for (kind, text), spoken in zip(found, in_sentences(found)):
         each = weights.get(f"tag:{text}", -0.1) if kind == "tag" else weights.get(kind, plain) if kind.startswith("word:") else 0.0
         worth.append(max(each, 0.0) if spoken else each)
-    start, stop = region([w * len(text.split()) if kind.startswith("word:") else w for w, (kind, text) in zip(worth, found)])
+    scores = [w * len(text.split()) if kind.startswith("word:") else w for w, (kind, text) in zip(worth, found)]
+    bound_lists(scores, found, LIST_WORDS * plain)
+    start, stop = region(scores)
     if start < stop:  # whole lines: a link may open or end one
         while start and found[start - 1][0] not in ("block", "space"):
             start -= 1
