@@ -46,19 +46,21 @@ def reduced(incoming: DataFrame) -> DataFrame:
     return incoming.groupBy("source_id", "official_url").agg(*[one(c).alias(c) for c in ruled])
 
 
-def merge(state: DataFrame, incoming: DataFrame, now: str, complete: bool = True) -> DataFrame:
+def merge(state: DataFrame, incoming: DataFrame, now: str, complete: bool | str = True) -> DataFrame:
     """The next state and what happened to each row: created, updated, reopened, closed or unchanged.
 
-    A posting not seen is closed only if the listing is complete and its source is part of the snapshot. A closed posting that is seen again
+    A posting not seen is closed only if the listing is complete and its source is part of the snapshot; complete may name a boolean
+    column of incoming, by which a source's listing is complete if all its rows say so. A closed posting that is seen again
     starts a new generation. Columns of the state that have no rule, or that the snapshot lacks, stay; a created posting has nulls there.
     Of the snapshot only columns that the state has count. A null among arrays and words of the snapshot states nothing.
     """
     ruled = [c for c in reduced(incoming).columns if c in state.columns and c not in ("source_id", "official_url")]
     new = reduced(incoming).select("source_id", "official_url", *[F.col(c).alias(f"_new_{c}") for c in ruled], F.lit(True).alias("_seen"))
-    listed = incoming.select("source_id").distinct().withColumn("_listed", F.lit(True))
+    says = F.coalesce(F.bool_and(complete), F.lit(False)) if isinstance(complete, str) else F.lit(complete)
+    listed = incoming.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"), says.alias("_listed")).drop("_n")
     both = state.withColumn("_stored", F.lit(True)).join(new, ["source_id", "official_url"], "full").join(listed, "source_id", "left")
     seen, stored, was_open = F.coalesce("_seen", F.lit(False)), F.coalesce("_stored", F.lit(False)), F.col("status") == "open"
-    gone = ~seen & was_open & F.coalesce("_listed", F.lit(False)) & F.lit(complete)
+    gone = ~seen & was_open & F.coalesce("_listed", F.lit(False))
     reopened = seen & stored & ~was_open
     event = F.when(~stored, "created").when(reopened, "reopened").when(seen, "updated").when(gone, "closed").otherwise("unchanged")
 

@@ -1,8 +1,8 @@
-"""From matches to messages: the review feed, decisions, digests, delivery and their history."""
+"""From matches to messages: the review feed, what was sent, and what a digest says. delivery.py has the rest of the chain."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.operators.alerts import first_of_identity
@@ -20,56 +20,12 @@ def review_feed(candidates: DataFrame, closed_keys: DataFrame, most: int = 100)
     return firsts.join(known, "id", "left_anti").orderBy("bucket", F.desc("score"), F.desc("seen_at"), "id").limit(most).drop("_score", "_seen")
 
 
-def decided(decisions: DataFrame, matches: DataFrame, threshold: int = 60) -> DataFrame:
-    """decisions(match_id, verdict, generation) with reason: why one is refused, null where it is accepted. The first reason counts."""
-    rows = decisions.join(matches.select("match_id", "score", "is_active", F.col("open_generation").alias("_now"), F.lit(True).alias("_known")), "match_id", "left")
-    reason = (
-        F.when(F.col("_known").isNull(), "unknown-match").when(~F.col("is_active"), "inactive").when(~F.col("generation").eqNullSafe(F.col("_now")), "stale-generation")
-        .when(~F.col("verdict").isin("approve", "reject"), "bad-verdict").when((F.col("verdict") == "approve") & (F.col("score") < threshold), "below-threshold")
-    )
-    return rows.select("match_id", "verdict", reason.alias("reason"))
-
-
-def pending(matches: DataFrame, recipients: DataFrame, sent: DataFrame, history: DataFrame) -> DataFrame:
-    """(match_id, recipient) still to tell: matches(match_id, profile, rank, keys), of each identity the best one a recipient, without what
-    it was sent, and without what it was told under any key (history(recipient, key))."""
-    due = matches.join(recipients.filter("enabled").select("profile", "recipient"), "profile")
-    due = due.join(sent.select("match_id", "recipient"), ["match_id", "recipient"], "left_anti")
-    each = due.select("match_id", "recipient", "rank", F.explode("keys").alias("key"))
-    told = each.join(history.select("recipient", "key"), ["recipient", "key"], "left_semi").select("match_id", "recipient")
-    first = each.groupBy("recipient", "key").agg(F.min(F.struct("rank", "match_id")).alias("_first"))
-    late = each.join(first, ["recipient", "key"]).filter(F.struct("rank", "match_id") > F.col("_first")).select("match_id", "recipient")
-    return due.select("match_id", "recipient").join(told.union(late).distinct(), ["match_id", "recipient"], "left_anti")
-
-
-def digests(pending: DataFrame, most: int = 500) -> DataFrame:
-    """(recipients, message, matches): one message a set of recipients and ``most`` matches, in order of match_id."""
-    sets = pending.groupBy("match_id").agg(F.array_join(F.array_sort(F.collect_set("recipient")), ",").alias("recipients"))
-    nth = F.row_number().over(Window.partitionBy("recipients").orderBy("match_id"))
-    return sets.withColumn("message", F.floor((nth - 1) / most)).groupBy("recipients", "message").agg(F.count(F.lit(1)).alias("matches"))
-
-
-def claimed(messages: DataFrame, now: str, most: int = 4) -> DataFrame:
-    """The next messages to send (how many at once is the feature): queued, failed and due again, or in sending past their lease."""
-    at = F.lit(now).cast("timestamp")
-    free = (F.col("status") == "queued") | ((F.col("status") == "failed") & (F.col("retry_at") <= at)) | ((F.col("status") == "sending") & (F.col("lease_until") <= at))
-    return messages.filter(free).orderBy(F.asc_nulls_first("retry_at"), "message_id").limit(most)
-
-
 def history_of(sent: DataFrame, matches: DataFrame) -> DataFrame:
     """(recipient, key, first_sent_at): what each recipient was told, under every key of it."""
     each = sent.join(matches.select("match_id", F.explode("keys").alias("key")), "match_id")
     return each.groupBy("recipient", "key").agg(F.min("sent_at").alias("first_sent_at"))
 
 
-def after_failure(messages: DataFrame, now: str, give_up: int = 5) -> DataFrame:
-    """Failed messages with attempt, status and retry_at: 5, 15, 60, then 360 minutes on; dead after give_up attempts."""
-    attempt = F.coalesce("attempt", F.lit(0)) + 1
-    minutes = F.element_at(F.array(*map(F.lit, (5, 15, 60, 360))), F.least(attempt, F.lit(4)).cast("int"))
-    dead = attempt >= give_up
-    return messages.withColumns({"status": F.when(dead, "dead").otherwise("failed"), "retry_at": F.when(~dead, F.lit(now).cast("timestamp") + F.make_interval(mins=minutes)), "attempt": attempt})
-
-
 def status_summary(matches: DataFrame, items: DataFrame, recipients: DataFrame) -> DataFrame:
     """One row a profile: active matches, matches with an item in a queue, enabled recipients."""
     queued = items.filter("status = 'queued'").select("match_id").distinct().withColumn("_queued", F.lit(1))
@@ -117,15 +73,3 @@ def decorated(items: DataFrame) -> DataFrame:
 def new_since(discovered: Column, first_seen: Column, watermark: Column) -> Column:
     """Whether a posting, found after its source's baseline, is newer than the profile's activation; without one all are."""
     return F.coalesce(discovered & (watermark.isNull() | (watermark == "") | (first_seen > watermark)), F.lit(False))
-
-
-def retried(messages: DataFrame, profile: int, now: str) -> DataFrame:
-    """Messages, those of the profile that mail refused due again now, without their error."""
-    again = F.coalesce((F.col("profile") == profile) & (F.col("channel") == "email") & F.col("status").isin("auth_blocked", "failed"), F.lit(False))
-    return messages.withColumns({"retry_at": F.when(again, F.lit(now)).otherwise(F.col("retry_at")), "error": F.when(~again, F.col("error")), "status": F.when(again, "retryable").otherwise(F.col("status"))})
-
-
-def without_backlog(messages: DataFrame, items: DataFrame, profile: int) -> DataFrame:
-    """items(message_id, match_id) without those of messages of the profile that were never sent."""
-    unsent = messages.filter((F.col("profile") == profile) & (F.col("status") != "sent")).select("message_id")
-    return items.join(unsent, "message_id", "left_anti")

@@ -19,6 +19,8 @@ ORDER = "ORDER BY published_at DESC NULLS LAST, first_seen_at DESC, company, id"
 
 def query(sql: str | None = None):
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

@@ -63,7 +63,7 @@ def anchors(spark, sf_dir):
 @query(r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s>"'']+)[^>]*>.*?</a\s*>') AS tags FROM pages),
   e AS (SELECT page_id, generate_subscripts(tags, 1)::BIGINT - 1 AS pos, unnest(tags) AS tag FROM t)
   SELECT page_id, pos, trim(regexp_extract(tag, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1), '"''') AS href, trim(regexp_replace(regexp_extract(tag, '(?is)^<a[^>]*>(.*)</a\s*>$', 1), '<[^>]*>|\s+', ' ', 'g')) AS text FROM e""")
-def page_links(spark, sf_dir):
+def page_anchor_tags(spark, sf_dir):
     return anchors(spark, sf_dir).select("page_id", "pos", "href", "text")
 
 
@@ -334,49 +334,12 @@ def _recipients(spark, sf_dir):
     return table(spark, sf_dir, "supplier").filter("s_suppkey <= 60").select(F.col("s_nationkey").cast("long").alias("profile"), F.col("s_suppkey").alias("recipient"), (F.col("s_acctbal") > 0).alias("enabled"))
 
 
-@query(f"""WITH m AS (SELECT o_orderkey AS match_id, o_custkey % 25 AS profile, -(o_orderkey % 101) AS rank, {KEYS_SQL} AS keys FROM orders), p AS (SELECT s_nationkey AS profile, s_suppkey AS recipient FROM supplier WHERE s_suppkey <= 60 AND s_acctbal > 0),
-  sent AS (SELECT DISTINCT l_orderkey AS match_id, l_suppkey AS recipient FROM lineitem), due AS (SELECT match_id, recipient, rank, keys FROM m JOIN p USING (profile) WHERE (match_id, recipient) NOT IN (SELECT (match_id, recipient) FROM sent)),
-  told AS (SELECT DISTINCT l_suppkey AS recipient, unnest({KEYS_SQL}) AS key FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-  e AS (SELECT match_id, recipient, rank, unnest(keys) AS key FROM due), bad AS (SELECT match_id, recipient FROM e WHERE (recipient, key) IN (SELECT (recipient, key) FROM told)
-    UNION SELECT match_id, recipient FROM (SELECT *, row_number() OVER (PARTITION BY recipient, key ORDER BY rank, match_id) AS n FROM e) WHERE n > 1),
-  good AS (SELECT match_id, recipient FROM due EXCEPT SELECT match_id, recipient FROM bad), sets AS (SELECT match_id, string_agg(recipient, ',' ORDER BY recipient::VARCHAR) AS recipients FROM good GROUP BY 1)
-  SELECT recipients, (n // 5)::BIGINT AS message, count(*) AS matches FROM (SELECT *, row_number() OVER (PARTITION BY recipients ORDER BY match_id) - 1 AS n FROM sets) GROUP BY 1, 2""")
-def digest_plan(spark, sf_dir):
-    matches, sent = _matches(spark, sf_dir), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("recipient")).distinct()
-    history = review.history_of(sent.withColumn("sent_at", F.lit("x")), matches)
-    rows = review.pending(matches, _recipients(spark, sf_dir), sent, history)
-    return review.digests(rows.withColumn("recipient", F.col("recipient").cast("string")), 5).select("recipients", F.col("message").cast("long").alias("message"), "matches")
-
-
 @query(f"""SELECT l_suppkey AS recipient, unnest({KEYS_SQL}) AS key, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey""".join(["WITH e AS (", ") SELECT recipient, key, strftime(min(l_shipdate), '%Y-%m-%d') AS first_sent FROM e GROUP BY 1, 2"]))
 def sent_history(spark, sf_dir):
     sent = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("recipient"), F.col("l_shipdate").alias("sent_at"))
     return review.history_of(sent, _matches(spark, sf_dir)).select("recipient", "key", F.date_format("first_sent_at", "yyyy-MM-dd").alias("first_sent"))
 
 
-@query("""WITH m AS (SELECT o_orderkey AS id, o_orderkey % 101 AS score, o_orderkey % 7 > 0 AS act, o_orderkey % 3 + 1 AS gen FROM orders WHERE o_orderstatus <> 'P'), d AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'reject' WHEN 1 THEN 'maybe' ELSE 'approve' END AS verdict, o_orderkey % 4 + 1 AS gen FROM orders)
-  SELECT d.id AS match_id, verdict, CASE WHEN m.id IS NULL THEN 'unknown-match' WHEN NOT act THEN 'inactive' WHEN d.gen <> m.gen THEN 'stale-generation' WHEN verdict = 'maybe' THEN 'bad-verdict' WHEN verdict = 'approve' AND score < 60 THEN 'below-threshold' END AS reason FROM d LEFT JOIN m ON m.id = d.id""")
-def review_decisions(spark, sf_dir):
-    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    matches = o.filter("o_orderstatus <> 'P'").select(n.alias("match_id"), (n % 101).alias("score"), (n % 7 > 0).alias("is_active"), (n % 3 + 1).alias("open_generation"))
-    decisions = o.select(n.alias("match_id"), F.when(n % 5 == 0, "reject").when(n % 5 == 1, "maybe").otherwise("approve").alias("verdict"), (n % 4 + 1).alias("generation"))
-    return review.decided(decisions, matches)
-
-
-@query("""WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'failed' WHEN 2 THEN 'sending' ELSE 'sent' END AS status, ts FROM events), lim AS (SELECT max(ts) - INTERVAL 1 DAY AS t FROM events)
-  SELECT event_id AS message_id FROM m, lim WHERE status = 'queued' OR (status IN ('failed', 'sending') AND ts <= TIMESTAMP '2024-01-15') ORDER BY CASE WHEN status = 'failed' THEN ts END NULLS FIRST, event_id LIMIT 4""")
-def claimed_messages(spark, sf_dir):
-    n = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(n.alias("message_id"), _dealt(("queued", "failed", "sending", "sent"), n).alias("status"), F.when(n % 4 == 1, F.col("ts")).alias("retry_at"), F.when(n % 4 == 2, F.col("ts")).alias("lease_until"))
-    return review.claimed(rows, "2024-01-15").select("message_id")
-
-
-@query("SELECT event_id AS message_id, event_id % 6 + 1 AS attempt, CASE WHEN event_id % 6 >= 4 THEN 'dead' ELSE 'failed' END AS status, CASE event_id % 6 WHEN 0 THEN '2026-01-01 00:05' WHEN 1 THEN '2026-01-01 00:15' WHEN 2 THEN '2026-01-01 01:00' WHEN 3 THEN '2026-01-01 06:00' END AS retry_at FROM events")
-def failed_messages(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("message_id"), (F.col("event_id") % 6).alias("attempt"))
-    return review.after_failure(rows, "2026-01-01").select("message_id", "attempt", "status", F.date_format("retry_at", "yyyy-MM-dd HH:mm").alias("retry_at"))
-
-
 @query("""WITH m AS (SELECT o_orderkey AS id, o_custkey % 25 AS profile, o_orderkey % 7 > 0 AS act FROM orders) SELECT profile, count(*) AS active, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = id AND l_returnflag = 'R')) AS queued,
   (SELECT count(*) FROM supplier WHERE s_suppkey <= 60 AND s_acctbal > 0 AND s_nationkey = profile) AS recipients FROM m WHERE act GROUP BY profile""")
 def alert_summary(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlake.functions import urls
-from postlake.operators import projections, repairs, review, search
+from postlake.operators import delivery, projections, repairs, review, search
 from postlake.plans.catalog import query
 from postlake.sources.proxy import RUNS_SQL, runs, table
 from postlake.sources.rich import RICH_SQL, _dealt, _sql, matches, rich_postings, topics
@@ -214,15 +214,26 @@ MAIL = """m AS (SELECT o_orderkey AS message_id, o_custkey % 3 AS profile, CASE
 def _mail(spark, sf_dir):
     n = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
-        n.alias("message_id"), (F.col("o_custkey") % 3).alias("profile"), F.when(n % 5 > 0, "email").otherwise("push").alias("channel"), _dealt(("sent", "failed", "auth_blocked", "queued"), n).alias("status"), F.lit(None).cast("string").alias("retry_at"), F.lit("refused").alias("error"))
+        n.alias("message_id"), (F.col("o_custkey") % 3).alias("profile"), F.when(n % 5 > 0, "email").otherwise("push").alias("channel"), _dealt(("sent", "failed", "auth_blocked", "queued"), n).alias("status"), F.lit(None).cast("timestamp").alias("retry_at"), F.lit("refused").alias("error"))
 
 
 @query(f"WITH {MAIL}, a AS (SELECT *, profile = 1 AND channel = 'email' AND status IN ('failed', 'auth_blocked') AS again FROM m) SELECT message_id, CASE WHEN again THEN 'retryable' ELSE status END AS status, CASE WHEN again THEN '2026-01-01' END AS retry_at, CASE WHEN NOT again THEN 'refused' END AS error FROM a")
 def retried_messages(spark, sf_dir):
-    return review.retried(_mail(spark, sf_dir), 1, "2026-01-01").select("message_id", "status", "retry_at", "error")
+    return delivery.retried(_mail(spark, sf_dir), 1, "2026-01-01").select("message_id", "status", F.date_format("retry_at", "yyyy-MM-dd").alias("retry_at"), "error")
 
 
 @query(f"WITH {MAIL} SELECT l_orderkey AS message_id, l_linenumber AS match_id FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM m WHERE message_id = l_orderkey AND profile = 1 AND status <> 'sent')")
 def items_after_clearing(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("match_id"))
-    return review.without_backlog(_mail(spark, sf_dir), items, 1)
+    return delivery.cleared(_mail(spark, sf_dir), items, _told(spark, sf_dir), 1)[1]
+
+
+def _told(spark, sf_dir):
+    n = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(n.alias("match_id"), (F.col("o_custkey") % 3).alias("profile"), F.when(n % 4 == 0, F.col("o_orderdate")).alias("notified_at"), (n % 5 > 0).alias("eligible"))
+
+
+@query("SELECT o_orderkey AS match_id, o_orderkey % 5 > 0 AND NOT (o_custkey % 3 = 1 AND o_orderkey % 4 > 0) AS eligible FROM orders")
+def matches_after_clearing(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("match_id"))
+    return delivery.cleared(_mail(spark, sf_dir), items, _told(spark, sf_dir), 1)[2].select("match_id", "eligible")

@@ -1,34 +1,33 @@
-"""Listing snapshots as a stream: every micro-batch is one merge of the sources it touches."""
+"""Listing snapshots as a stream: every micro-batch is one merge, committed as one version of the table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from postlake.operators.merge import merge
+from postlake.streaming.versions import VersionedTable
 
 
-def merge_stream(spark: SparkSession, snapshots: DataFrame, state_dir: str, checkpoint: str, now: str, complete_col: str | None = None):
-    """Start a query that merges each micro-batch of snapshots into the table under state_dir, partitioned by source_id.
+def merge_batch(table: VersionedTable, batch: DataFrame, number: int, now: str, complete: bool | str = True, writer: str = "snapshots", before_publish=None) -> int:
+    """Merge a batch into the table (dealt by source_id), once: a batch that comes again leaves the table as it is.
 
-    Only the partitions of sources that a batch lists are read and written. With complete_col (a boolean column) a source closes
-    what it no longer lists only if all its rows in the batch say so, as a listing may be split over batches; without it nothing is closed.
-    A batch that runs again merges the same rows once more: what it opened stays open, and what it closed stays closed.
+    Only the buckets of sources that the batch lists are read and written.
     """
+    return table.update(batch, lambda state, incoming: merge(state, incoming, now, complete).drop("event"), writer, number, before_publish)
 
+
+def merge_stream(snapshots: DataFrame, table: VersionedTable, checkpoint: str, now: str, complete: bool | str = False, writer: str = "snapshots") -> StreamingQuery:
+    """Start a query that merges each micro-batch of snapshots into the table.
+
+    With the name of a boolean column as complete a source closes what it no longer lists only if all its rows in the batch say so, as
+    a listing may be split over batches; without it nothing is closed.
+    """
     def one(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        listed = [r["source_id"] for r in batch.select("source_id").distinct().collect()]  # the sources of one micro-batch
-        stored = spark.read.parquet(state_dir)
-        touched = stored.filter(F.col("source_id").isin(listed))
-        whole = [r["source_id"] for r in batch.groupBy("source_id").agg(F.bool_and(complete_col).alias("c")).filter("c").collect()] if complete_col else []
-        inside = F.col("source_id").isin(whole)
-        after = merge(touched.filter(inside), batch.filter(inside), now).unionByName(merge(touched.filter(~inside), batch.filter(~inside), now, complete=False)).drop("event")
-        fresh = f"{state_dir}-batch{number}"  # written aside first: a partition cannot be overwritten while it is read
-        after.select(*stored.columns).write.mode("overwrite").parquet(fresh)
-        spark.read.parquet(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(state_dir)
-        path = spark._jvm.org.apache.hadoop.fs.Path(fresh)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        batch.unpersist()
+        held = batch.persist()
+        try:
+            merge_batch(table, held, number, now, complete, writer)
+        finally:
+            held.unpersist()
 
     return snapshots.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,9 +3,11 @@ from oracle import DIR, connect, same
 
 import postlake.plans.anchor_plans
 import postlake.plans.audit_plans
+import postlake.plans.delivery_plans
 import postlake.plans.lifecycle_plans
 import postlake.plans.repair_plans
-import postlake.plans.search_plans  # noqa: F401
+import postlake.plans.search_plans
+import postlake.plans.state_plans  # noqa: F401
 from postlake.plans.catalog import QUERIES, SQL
 
 

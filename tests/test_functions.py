@@ -1,4 +1,4 @@
-"""Known answers of small functions, the filter codec and the stream of snapshots."""
+"""Known answers of small functions and the filter codec."""
 
 import json
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from postlake.functions import codec, urls
 from postlake.operators import audits, lifecycle, projections, repairs
 from postlake.operators.search import Filters
-from postlake.streaming.snapshots import merge_stream
 
 
 def test_codec_round_trip_and_odd_input():
@@ -33,19 +32,6 @@ def test_navigation_and_baseline(spark):
     assert all(r.want == r.got for r in out)
 
 
-def test_stream_merges_only_what_it_lists(spark, tmp_path):
-    kinds = "source_id long, official_url string, title string, company string, published_at string, salary_min double, salary_max double, status string, first_seen_at string, last_seen_at string, generation long"
-    old = [(s, f"u{k}", "old", "c", None, None, None, "open", "2025", "2025", 1) for s in (1, 2, 3) for k in (1, 2)]
-    state, inbox = str(tmp_path / "state"), str(tmp_path / "in")
-    spark.createDataFrame(old, kinds).write.partitionBy("source_id").parquet(state)
-    new = "source_id long, official_url string, title string, company string, published_at string, salary_min double, salary_max double, ordinal long, complete boolean"
-    spark.createDataFrame([(1, "u1", "new", "c", "2026", None, None, 1, True), (2, "u9", "new", "c", None, 1.0, None, 1, False)], new).write.parquet(inbox)
-    for _ in range(2):  # the second start finds nothing new
-        merge_stream(spark, spark.readStream.schema(new).parquet(inbox), state, str(tmp_path / "check"), "2026", "complete").awaitTermination(120)
-    out = {(r.source_id, r.official_url): (r.title, r.status) for r in spark.read.parquet(state).collect()}
-    assert out == {(1, "u1"): ("new", "open"), (1, "u2"): ("old", "closed"), (2, "u1"): ("old", "open"), (2, "u2"): ("old", "open"), (2, "u9"): ("new", "open"), (3, "u1"): ("old", "open"), (3, "u2"): ("old", "open")}
-
-
 def test_urls_of_listings_and_sources(spark):
     rows = [("https://search.jobs.barclays/EN/job/A/1//", "https://search.jobs.barclays/job/A/1"), ("HTTPS://X.com/En/A/#f", "https://x.com/En/A/"), ("junk", "junk"), (None, None)]
     out = spark.createDataFrame(rows, "u string, want string").select("want", urls.listing_identity_url(F.col("u")).alias("got")).collect()
