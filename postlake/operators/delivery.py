@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from postlake.operators.alerts import first_of_identity
 from postlake.operators.ranking import placed
-from postlake.operators.review import new_since
 
 # Minutes until a message is tried again, by attempts; minutes of a lease, between digests, and of grace before one is due.
 DELAYS = (5, 15, 60, 360)
@@ -51,7 +50,8 @@ def targets(matches: DataFrame, jobs: DataFrame, profiles: DataFrame, history: D
     rows = matches.filter("is_active").join(jobs.filter("status = 'open' AND canonical AND student"), ["job_id", "generation"]).join(profiles.select("profile", "activation"), "profile")
     told = rows.select("match_id", "profile", F.explode("keys").alias("key")).join(history.select("profile", "key").distinct(), ["profile", "key"], "left_semi")
     rows = rows.join(told.select("match_id").distinct().withColumn("_told", F.lit(True)), "match_id", "left")
-    return rows.select("match_id", "profile", "job_id", "official_url", "apply_url", new_since(F.col("after_baseline"), F.col("first_seen_at"), F.col("activation")).alias("is_new"), F.col("_told").isNotNull().alias("notified"))
+    new = F.coalesce(F.col("after_baseline") & (F.col("activation").isNull() | (F.col("first_seen_at") > F.col("activation"))), F.lit(False))
+    return rows.select("match_id", "profile", "job_id", "official_url", "apply_url", new.alias("is_new"), F.col("_told").isNotNull().alias("notified"))
 
 
 def decided(reviews: DataFrame, candidates: DataFrame) -> DataFrame:

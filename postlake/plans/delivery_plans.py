@@ -59,8 +59,8 @@ def _messages(spark, sf_dir) -> DataFrame:
 
 
 def _history(spark, sf_dir) -> DataFrame:
-    """What was told: the keys of returned lines' postings, to a supplier of the profile."""
-    told = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("recipient")).distinct()
+    """What was told: the keys of the postings of first lines of small quantity, to their suppliers."""
+    told = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N' AND l_quantity < 4 AND l_linenumber = 1").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("recipient")).distinct()
     keys = _jobs(spark, sf_dir).select("job_id", F.explode("keys").alias("key")).join(_matches(spark, sf_dir).select("job_id", "profile"), "job_id")
     return told.join(keys, "job_id").select("profile", "recipient", "key").distinct()
 
@@ -74,12 +74,12 @@ CHAIN_SQL = f"""jobs AS (SELECT o_orderkey AS job_id, o_orderkey % 3 + 1 AS gene
   recipients AS (SELECT s_nationkey::BIGINT AS profile, s_suppkey AS recipient FROM supplier WHERE s_acctbal > 0),
   items AS (SELECT DISTINCT 'm' || l_orderkey % 1000 AS message_id, l_orderkey AS match_id, l_suppkey AS recipient FROM lineitem),
   messages AS (SELECT DISTINCT 'm' || l_orderkey % 1000 AS message_id, CASE WHEN l_orderkey % 1000 % 3 = 0 THEN 'sent' ELSE 'queued' END AS status FROM lineitem),
-  history AS (SELECT DISTINCT profile, l_suppkey AS recipient, unnest(keys) AS key FROM lineitem JOIN jobs ON job_id = l_orderkey JOIN matches USING (job_id) WHERE l_returnflag = 'R')"""
+  history AS (SELECT DISTINCT profile, l_suppkey AS recipient, unnest(keys) AS key FROM lineitem JOIN jobs ON job_id = l_orderkey JOIN matches USING (job_id) WHERE l_returnflag = 'N' AND l_quantity < 4 AND l_linenumber = 1)"""
 
 # -- reviews -------------------------------------------------------------------------------------------------------------------------
 
-VERDICTS = ("approve", "reject", "maybe", "approve", None, "approve", "reject")
-RATIONALES = ("fits", " \t", "fits\n", None, "late")
+VERDICTS = ("approve", "reject", "maybe", "approve", "reject", "approve", None, "approve", "reject", "approve", "reject")
+RATIONALES = ("fits", "late", " \t", "fits\n", "near", None, "ok", "seen", "far", "new", "x", "y")
 
 
 def _reviews(spark, sf_dir) -> DataFrame:
@@ -91,7 +91,7 @@ def _reviews(spark, sf_dir) -> DataFrame:
     return rows.select("review", (c % 25).alias("profile"), F.when(k == 0, n.cast("string")).alias("job_id"), F.when(k == 1, _url(n)).alias("official_url"), _dealt(VERDICTS, r).alias("decision"), _dealt(RATIONALES, F.floor(r / 7)).alias("rationale"), seen.alias("verified_url"))
 
 
-REVIEWS_SQL = f"""reviews AS (SELECT o_orderkey * 2 + k AS review, o_custkey % 25 AS profile, o_orderkey AS job, {_sql(VERDICTS)}[(o_orderkey * 2 + k) % 7 + 1] AS decision, {_sql(RATIONALES)}[(o_orderkey * 2 + k) // 7 % 5 + 1] AS rationale,
+REVIEWS_SQL = f"""reviews AS (SELECT o_orderkey * 2 + k AS review, o_custkey % 25 AS profile, o_orderkey AS job, {_sql(VERDICTS)}[(o_orderkey * 2 + k) % 11 + 1] AS decision, {_sql(RATIONALES)}[(o_orderkey * 2 + k) // 7 % 12 + 1] AS rationale,
     CASE (o_orderkey * 2 + k) % 5 WHEN 1 THEN 'https://jobs.example/' || o_orderkey || '/Apply' WHEN 2 THEN 'https://jobs.example/' || o_orderkey + 1 ELSE CASE WHEN (o_orderkey * 2 + k) % 35 <> 4 THEN 'https://jobs.example/' || o_orderkey END END AS verified FROM orders, (VALUES (0), (1)) v(k)),
   targets AS (SELECT m.match_id, m.profile, j.job_id, j.official_url, j.apply_url, j.after_baseline AND (p.activation IS NULL OR j.first_seen_at > p.activation) AS is_new,
     EXISTS (SELECT 1 FROM (SELECT unnest(j.keys) AS key) x WHERE (m.profile, x.key) IN (SELECT (profile, key) FROM history)) AS notified
@@ -247,24 +247,24 @@ def delivery_events(events: DataFrame) -> DataFrame:
     n = F.col("event_id")
     failure = F.when(F.col("event_type") == "error", "fail:auth").when(F.col("event_type") == "purchase", "fail:permanent").otherwise("fail:retryable")
     kind = F.when((n % 15 == 9) & (n % 4 > 0), "claim").otherwise(_dealt(EVENTS, n))
-    return events.select(F.col("user_id").alias("message_id"), "event_id", F.col("ts").alias("at"), F.when(kind == "fail", failure).otherwise(kind).alias("kind"))
+    return events.select(F.col("user_id").alias("message_id"), "event_id", F.col("ts").cast("timestamp").alias("at"), F.when(kind == "fail", failure).otherwise(kind).alias("kind"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id AS m, event_id, ts AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS m, event_id, ts AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
     CASE WHEN event_id % 15 = 9 AND event_id % 4 > 0 THEN 'claim' WHEN {_sql(EVENTS)}[event_id % 15 + 1] <> 'fail' THEN {_sql(EVENTS)}[event_id % 15 + 1] WHEN event_type = 'error' THEN 'fail:auth' WHEN event_type = 'purchase' THEN 'fail:permanent' ELSE 'fail:retryable' END AS kind FROM events),
-  run AS (SELECT user_id AS m, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS at, NULL::VARCHAR AS kind, false AS did, NULL::VARCHAR AS status, 0 AS attempt, NULL::TIMESTAMP AS retry_at, NULL::TIMESTAMP AS lease_until FROM events GROUP BY 1
-    UNION ALL SELECT m, n, event_id, at, kind, did,
+  run AS (SELECT user_id AS m, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS moment, NULL::VARCHAR AS kind, false AS did, NULL::VARCHAR AS status, 0 AS attempt, NULL::TIMESTAMP AS retry_at, NULL::TIMESTAMP AS lease_until FROM events GROUP BY 1
+    UNION ALL SELECT m, n, event_id, moment, kind, did,
       CASE WHEN NOT did THEN status WHEN kind = 'plan' OR kind = 'release' THEN 'queued' WHEN kind = 'clear' THEN NULL WHEN kind = 'claim' THEN 'sending' WHEN kind = 'sent' THEN 'sent' WHEN kind = 'fail:auth' THEN 'auth_blocked' WHEN kind = 'fail:permanent' THEN 'failed' ELSE 'retryable' END,
       CASE WHEN NOT did THEN attempt WHEN kind IN ('plan', 'clear') THEN 0 WHEN kind = 'claim' THEN attempt + 1 WHEN kind = 'release' THEN greatest(0, attempt - 1) ELSE attempt END,
-      CASE WHEN NOT did THEN retry_at WHEN kind IN ('release', 'retry') THEN at WHEN kind = 'claim' THEN retry_at WHEN kind = 'fail:retryable' THEN at + INTERVAL 1 MINUTE * [5, 15, 60, 360][greatest(1, least(attempt, 4))] END,
-      CASE WHEN NOT did THEN lease_until WHEN kind = 'claim' THEN at + INTERVAL 5 MINUTES WHEN kind = 'retry' THEN lease_until END
-    FROM (SELECT e.*, r.status, r.attempt, r.retry_at, r.lease_until, coalesce(CASE WHEN e.kind = 'plan' THEN r.status IS NULL WHEN e.kind = 'clear' THEN r.status <> 'sent' WHEN e.kind = 'claim' THEN r.status = 'queued' OR (r.status = 'retryable' AND r.retry_at <= e.at) OR (r.status = 'sending' AND r.lease_until <= e.at)
+      CASE WHEN NOT did THEN retry_at WHEN kind IN ('release', 'retry') THEN moment WHEN kind = 'claim' THEN retry_at WHEN kind = 'fail:retryable' THEN moment + INTERVAL 1 MINUTE * [5, 15, 60, 360][greatest(1, least(attempt, 4))] END,
+      CASE WHEN NOT did THEN lease_until WHEN kind = 'claim' THEN moment + INTERVAL 5 MINUTES WHEN kind = 'retry' THEN lease_until END
+    FROM (SELECT e.*, r.status, r.attempt, r.retry_at, r.lease_until, coalesce(CASE WHEN e.kind = 'plan' THEN r.status IS NULL WHEN e.kind = 'clear' THEN r.status <> 'sent' WHEN e.kind = 'claim' THEN r.status = 'queued' OR (r.status = 'retryable' AND r.retry_at <= e.moment) OR (r.status = 'sending' AND r.lease_until <= e.moment)
         WHEN e.kind = 'retry' THEN r.status IN ('auth_blocked', 'failed') ELSE r.status = 'sending' END, false) AS did FROM run r JOIN e ON e.m = r.m AND e.n = r.n + 1))
   SELECT m AS message_id, event_id, kind, status, attempt, strftime(retry_at, '%Y-%m-%d %H:%M:%S') AS retry_at, strftime(lease_until, '%Y-%m-%d %H:%M:%S') AS lease_until FROM run WHERE did""")
 def delivery_states(spark, sf_dir):
     """The stream of deliveries over all events, run until nothing is left: a row an event that changed its message."""
     folder = new_folder(spark, "deliveries")
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the source takes no single file
     deliveries.start(delivery_events(source), f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return spark.read.parquet(f"{folder}/changes").filter("kind <> 'due'").select("message_id", "event_id", "kind", "status", "attempt", text("retry_at"), text("lease_until"))

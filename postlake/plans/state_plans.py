@@ -38,7 +38,7 @@ def merged_versions(spark, sf_dir):
     return held.read()
 
 
-SEARCHES = {"articles": ["the", "and"], "prefixes": ["estr", "pf"], "accents": ["ention", "st"], "rare": ["mail7"], "touched": ["touched", "d"], "none": ["qqqq", "the"]}
+SEARCHES = {"articles": ["the", "and"], "prefixes": ["ber", "keit"], "accents": ["ention", "st"], "rare": ["mail"], "touched": ["touched", "d"], "none": ["qqqq", "the"]}
 
 
 def _searched_sql() -> str:
