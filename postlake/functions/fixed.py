@@ -177,3 +177,42 @@ DOCTORAL_ONLY = r"(?:ph\.?d\.?|doctoral) (?:students?|candidates?) (?:only|requi
 BELOW_DOCTORAL = r"(?:bachelor(?: s)?|college|university|undergraduate|master(?: s)?|graduate students?|graduate degree)"
 CITIZENS = r"(?:must|required to) (?:be )?(?:a )?(?:u\.?s\.?|united states) citizen|u\.?s\.? citizenship (?:is )?required"
 CLEARANCE = r"active (?:secret|top secret|ts\/?sci|security) clearance|(?:secret|top secret|ts\/?sci) clearance required"
+
+# Patterns of links, paths, hosts and texts of career pages, as they must match; case does not count.
+JOB_DETAIL_ANCHOR = r"(?i)(?:\/(?:jobs?|positions?|openings?|vacanc(?:y|ies))\/[^/?#]{3,}|\/job\.html\?[^#]*\bid=|\/job-detail\?[^#]*\bjob=|\/job-opening\.php\?[^#]*\breq=|\/career-application\/?\?[^#]*\bjobtitle=|\/careers\/(?:jobdetail|details)\/|\/careers\/[^?#]*(?:\d{4,}|[a-z]{1,4}-\d{3,})|\/corporate-careers\/jr-\d+\/[^/?#]+|\/search\/jobdetail\/[^/?#]+|\/careersmarketplace\/(?:pipeline|job)detail\/|\/company-job\/description\/reqid\/[^/?#]+|\/job\/detail\/[^/?#]+|\/[^/?#]+\/[^/?#]+\/[a-f0-9]{24,}\/job\/?(?:[?#]|$)|[?&](?:jobid|job_id|gh_jid|reqid|requisitionid|pid|opportunityid|joborderid|selectedposition)=)"
+LISTING_ONLY = r"(?i)(?:search-jobs?|search-results|viewalljobs|job-opportunities|join(?:talent|[-_/]our[-_/]team)|talent-community|jobcart|jobs?\/(?:search|login)|positions?\/{1,2}filter)(?:[/?#]|$)"
+CAREER_CONTENT_ONLY = r"(?i)\/careers?\/(?:open-positions|view-jobs(?:\.html)?|jobs|culture|benefits)\/?(?:[?#].*)?$"
+GENERIC_TEXT = r"(?i)^(?:apply|apply now|form|here\.?|learn more(?: about this position)?\s*[>›»]?|read more|view .+|see .+|explore .+|join .+|details|search .+ jobs?|careers?|career website|jobs?|benefits|student programs|open (?:positions?|roles)|skip to (?:main )?(?:jobs search results|content)\.?|click here|(?:first|previous|next|last) page of results(?: first| last)?|page \d+ of \d+(?:\s*,\s*current page)?|your privacy choices|privacy notice|manage cookie preferences|notify me of new jobs|create (?:an? )?(?:job )?alert|share your information|get in touch!?|join (?:our )?talent (?:community|network)|candidate (?:pool|profile)|internal careers site|returning applicant login|i am an employee|sign in|log in|view profile|stay connected|terms of use|total rewards|events?(?: \d+)?|sitemap|job search tool|chinese \((?:simplified|traditional)\)|french|german|italian|japanese|portuguese|spanish|next|previous)$"
+EXTERNAL_BOARDS = r"(?i)(?:greenhouse\.io|lever\.co|myworkdayjobs\.com|myworkdaysite\.com|smartrecruiters\.com|ashbyhq\.com|icims\.com|jobvite\.com|hirebridge\.com|taleo\.net|selectminds\.com|apply\.workable\.com|bamboohr\.com|pinpointhq\.com|teamtailor\.com|jobs\.gusto\.com|ats\.rippling\.com|dayforcehcm\.com|successfactors\.(?:com|eu)|oraclecloud\.com|eightfold\.ai|avature\.net|(?:myjobs|workforcenow)\.adp\.com|recruiting\.paylocity\.com|recruiting\d*\.ultipro\.com)"
+ROLE_TITLE = r"(?i)\b(?:accountant|administrator|analyst|architect|associate|consultant|coordinator|counsel|developer|director|engineer|executive|intern|lead|manager|officer|principal|recruiter|representative|researcher|scientist|specialist|supervisor|technician)\b"
+ORACLE_JOB = r"(?i)\/hcmUI\/CandidateExperience\/(?:[^/]+\/)sites\/[^/]+\/job\/[^/?#]+\/?$"
+ORACLE_SITEMAPS = r"(?i)\/hcmUI\/CandidateExperience\/sitemaps(?:\/|$)"
+ORACLE_EVENTS = r"(?i)\/hcmUI\/CandidateExperience\/(?:[^/]+\/)sites\/[^/]+\/(?:events|join-talent-community)(?:\/|$)"
+ORACLE_DEEPLINK = r"(?i)\/fscmUI\/faces\/deeplink$"
+ORACLE_SEARCH = r"(?i)ICE_JOB_SEARCH_RESP"
+JOBVITE_HOST, JOBVITE_PATH = r"(?i)^(?:www\.)?jobs\.jobvite\.com$", r"(?i)^\/[^/?#]+\/job\/[^/?#]+\/?$"
+LEVER_HOST, ASHBY_HOST, TWO_PARTS = r"(?i)lever\.co$", r"(?i)ashbyhq\.com$", r"(?i)^\/[^/?#]+\/[^/?#]+\/?$"
+SMART_HOST, SMART_PATH = r"(?i)smartrecruiters\.com$", r"(?i)^\/[^/?#]+\/\d+(?:[-/][^/?#]+)?\/?$"
+GUSTO_HOST, GUSTO_PATH = r"^jobs\.gusto\.com$", r"(?i)^\/postings\/[^/?#]+-[a-f\d]{8}(?:-[a-f\d]{4}){3}-[a-f\d]{12}\/?$"
+IGNORED_SEGMENT = r"(?i)^(?:job|jobs|career|careers|company|talent|opening|openings|position|positions|role|roles|search|login|userhome|all-jobs|open-roles|current-openings|explore|join|programs?|benefits|culture|teams?|early-career)$"
+ATS_HOST = r"(?i)(?:greenhouse\.io|lever\.co|myworkdayjobs\.com|myworkdaysite\.com|smartrecruiters\.com|ashbyhq\.com|icims\.com|jobvite\.com|hirebridge\.com|taleo\.net|brassring\.com|apply\.workable\.com|bamboohr\.com|pinpointhq\.com|teamtailor\.com|jobs\.gusto\.com|ats\.rippling\.com|csod\.com|dayforcehcm\.com|successfactors\.(?:com|eu)|oraclecloud\.com|eightfold\.ai|avature\.net|(?:myjobs|workforcenow)\.adp\.com|recruiting\.paylocity\.com|recruiting\d*\.ultipro\.com)"
+JOB_TEXT = r"(?i)\b(?:jobs?|careers?|opportunities|open (?:positions|roles)|join (?:our )?team|search roles?)\b"
+JOB_PATH = r"(?i)\/(?:jobs?|careers?|opportunities|positions?|openings?|search-results|search\/results|job-search|open-positions|join-us)(?:\/|$|[?#-])"
+USER_ONLY = r"(?i)(?:job-?alerts?|talent-?community|introduceyourself|sign[_-]?in|\/login|\/connect(?:[/?#]|$)|\/apply(?:[/?#]|$))"
+JOB_DETAIL = r"(?i)(?:\/(?:job|jobs)\/[^/?#]+(?:\/[^/?#]+)?(?:[?#]|$)|[?&](?:pid|jobid|jobseqno|gh_jid)=)"
+NON_LISTING_PATH = r"(?i)(?:career-areas?|early-careers?|students?|university|\/blog(?:\/|$)|jobcart|job-seeker-(?:resources|support)|career-progression|working-at|talent-community|jointalentcommunity|\/bca(?:\/|$)|loans?)"
+ATS_VENDOR_LANDING = r"(?i)^(?:www\.)?(?:ashbyhq\.com|lever\.co|eightfold\.ai|bamboohr\.com)$"
+SOCIAL_HOST = r"(?i)linkedin\.com|indeed\.com|glassdoor\.com|facebook\.com|instagram\.com|twitter\.com|x\.com"
+SEARCH_TEXT = r"(?i)\b(?:search|view|explore|see)\s+(?:all\s+)?(?:open\s+)?(?:jobs?|roles?|opportunities)\b"
+SEARCH_PATH = r"(?i)\/(?:search-jobs|job-search-results|viewalljobs|search)\/?(?:[?#]|$)"
+NICHE_TEXT = r"(?i)\b(?:sales|nursing|engineering|accounting|finance|college|internship)\s+(?:jobs?|careers?)\b"
+NICHE_PATH = r"(?i)\/(?:sales|nursing|engineering|accounting|finance|college|internship)[-/](?:jobs?|careers?)(?:[/?#]|$)"
+SEARCH_ENGINE = r"(?i)(?:^|\.)bing\.com$"
+DOCUMENT_URL = r"(?i)\.(?:pdf|docx?)(?:[?#]|$)"
+NAVIGATION_TITLE = r"(?i)^(?:home|sites|university|university overview|recruitment fraud|saved jobs(?:\s*0)?|go to saved jobs(?:\s*0)?|know your rights|job listing|students and graduates|events?(?:\s*\d+)?|sitemap|i am an employee|skip to main content\.?)$"
+NAVIGATION_URL = r"(?i)\/hcmUI\/CandidateExperience\/sitemaps(?:\/|$)|\/sites\/[^/]+\/events(?:\/|$)|\/fscmUI\/faces\/deeplink[^#]*ICE_JOB_SEARCH_RESP"
+THIRD_PARTY_AGGREGATOR = r"(?i)(?:^|\.)(?:indeed\.com|glassdoor\.com|linkedin\.com|ziprecruiter\.com|gotocareer\.io|ev\.careers)$"
+# Words that name no company.
+COMPANY_STOP_WORDS = ["company", "corporation", "corp", "group", "holdings", "holding", "international", "services", "service", "technologies", "technology", "financial", "health", "healthcare", "bank", "systems", "system", "united", "america", "american"]
+# Titles of pages that are no postings.
+NON_JOB_TITLE = r"(?i)^(?:privacy notice|create (?:an? )?(?:job )?alert|share your information|get in touch!?|join (?:our )?talent (?:community|network)|candidate (?:pool|profile)|sign in|log in|view profile|apply now)$"

@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.functions import urls
+from postlake.functions import fixed, urls
 from postlake.functions.text import blank_to_null
 
-# Words that name no company, hosts that list others' postings, and titles of pages that are no postings.
-STOP_WORDS = ("company", "corporation", "corp", "group", "holdings", "holding", "international", "services", "service", "technologies", "technology", "financial", "health", "healthcare", "bank", "systems", "system", "united", "america", "american")
-AGGREGATOR = r"(?i)(^|\.)(indeed\.com|glassdoor\.com|linkedin\.com|ziprecruiter\.com|gotocareer\.io|ev\.careers)$"
-NO_POSTING = r"(?i)^(privacy notice|create (an? )?(job )?alert|share your information|get in touch!?|join (our )?talent (community|network)|candidate (pool|profile)|sign in|log in|view profile|apply now)$"
 # What audit files say of uploads and alerts, and states without a career page.
 CAN, CAN_WHEN_APPLYING = "가능", "지원 시 가능"
 NOT_ENABLED = ("NO_ACTIVE_CAREERS", "UNRESOLVED")
@@ -20,23 +16,36 @@ NOT_ENABLED = ("NO_ACTIVE_CAREERS", "UNRESOLVED")
 def company_tokens(company: Column) -> Column:
     """The lower-case words of a name that tell it from others: four letters and more, or three and more in capitals."""
     words = F.filter(F.split(company, "[^A-Za-z0-9]+"), lambda w: (F.length(w) >= 4) | ((F.length(w) >= 3) & (w == F.upper(w))))
-    return F.filter(F.transform(words, F.lower), lambda w: ~w.isin(*STOP_WORDS))
+    return F.filter(F.transform(words, F.lower), lambda w: ~w.isin(*fixed.COMPANY_STOP_WORDS))
+
+
+def first_rule(rules: list[tuple[str, Column, Column | bool]]) -> Column:
+    """The verdict of the first of (name, condition, verdict) whose condition holds; false where none does or it cannot be told."""
+    verdict = F.lit(False)
+    for _, condition, then in reversed(rules):
+        verdict = F.when(condition, F.lit(then)).otherwise(verdict)
+    return F.coalesce(verdict, F.lit(False))
 
 
 def safe_recommendation(company: Column, original: Column, recommended: Column) -> Column:
-    """Whether a recommended career page is the company's own: on its origin or root domain, or naming it on a career host. Junk urls are not."""
+    """Whether a recommended career page is the company's own, by a table of rules. Junk urls are not."""
     (_, host0, _, _), (_, host, path, query) = urls.parts(original), urls.parts(recommended)
-    whole = F.concat(path, query)
-    root = lambda h: F.array_join(F.slice(F.split(h, r"\."), F.greatest(F.size(F.split(h, r"\.")) - 1, F.lit(1)), 2), ".")
-    never = host.rlike(AGGREGATOR) | (host.rlike(r"^(www\.)?ycombinator\.com$") & path.rlike("(?i)^/jobs/?$")) | whole.rlike(urls.NON_LISTING) | (whole.rlike(urls.JOB_DETAIL) & ~path.rlike(r"(?i)/jobs?/search([/?#]|$)"))
-    jobs_path, jobs_host = whole.rlike(urls.JOB_PATH), host.rlike(r"^(jobs?|careers?)\.")
-    board = host.rlike(r"\.jobs$") | host.rlike("careers?")
-    named = F.exists(company_tokens(company), lambda t: F.lower(F.concat(host, path)).contains(t))
-    own = (
-        F.when((host == "") | (host0 == "") | never, False).when(urls.origin(original) == urls.origin(recommended), jobs_path | jobs_host | board).when(root(host0) == root(host), jobs_path | jobs_host)
-        .when(host.rlike(r"^recruiting[0-9]*\.ultipro\.com$") & path.rlike("(?i)/JobBoard/"), True).otherwise(named & (host.rlike(urls.ATS_HOST) | board | host.rlike(r"^(jobs?|careers?|talent)\.") | jobs_path))
-    )
-    return F.coalesce(own, F.lit(False))
+    whole, labels = F.concat(path, query), lambda h: F.split(h, r"\.")
+    root = lambda h: F.array_join(F.slice(labels(h), F.greatest(F.size(labels(h)) - 1, F.lit(1)), 2), ".")
+    for_jobs = whole.rlike(fixed.JOB_PATH)
+    on_career_host = host.rlike(r"^(jobs?|careers?)\.")
+    of_careers = host.rlike(r"\.jobs$") | host.rlike("careers?")
+    names_company = F.exists(company_tokens(company), lambda t: F.lower(F.concat(host, path)).contains(t))
+    return first_rule([
+        ("no host on either side", (host == "") | (host0 == ""), False),
+        ("a list of others' postings", host.rlike(fixed.THIRD_PARTY_AGGREGATOR) | (host.rlike(r"^(www\.)?ycombinator\.com$") & path.rlike("(?i)^/jobs/?$")), False),
+        ("a page that lists nothing", whole.rlike(fixed.NON_LISTING_PATH), False),
+        ("a single posting", whole.rlike(fixed.JOB_DETAIL) & ~path.rlike(r"(?i)/jobs?/search([/?#]|$)"), False),
+        ("the same origin", urls.origin(original) == urls.origin(recommended), for_jobs | on_career_host | of_careers),
+        ("the same root domain", root(host0) == root(host), for_jobs | on_career_host),
+        ("a board whose url names no company", host.rlike(r"^recruiting[0-9]*\.ultipro\.com$") & path.rlike("(?i)/JobBoard/"), True),
+        ("the company's name on a career host", names_company, host.rlike(fixed.ATS_HOST) | of_careers | host.rlike(r"^(jobs?|careers?|talent)\.") | for_jobs),
+    ])
 
 
 def _tenant_catalog(url: Column) -> Column:
@@ -49,7 +58,7 @@ def _tenant_catalog(url: Column) -> Column:
 def safe_listing(company: Column, original: Column, candidate: Column) -> Column:
     """Whether a page may be read as the company's listing: a safe recommendation, a public catalog, or its own tenant; no vendor's home."""
     (_, host0, _, _), (_, host, path, query) = urls.parts(original), urls.parts(candidate)
-    never = (host == "") | (host0 == "") | (host.rlike(urls.VENDOR_HOME) & path.rlike("^/?$")) | F.concat(path, query).rlike(urls.NON_LISTING)
+    never = (host == "") | (host0 == "") | (host.rlike(fixed.ATS_VENDOR_LANDING) & path.rlike("^/?$")) | F.concat(path, query).rlike(fixed.NON_LISTING_PATH)
     tenant = (F.lower(F.trim(company)) == "cgi") & _tenant_catalog(candidate) & (host0.rlike(r"(^|\.)cgi\.com$") | _tenant_catalog(original))
     either = F.coalesce(tenant, F.lit(False)) | safe_recommendation(company, original, candidate) | F.coalesce(urls.is_public_catalog(candidate), F.lit(False))
     return F.coalesce(~never & either, F.lit(False))
@@ -119,7 +128,7 @@ def admitted(snapshot: DataFrame, origins: DataFrame) -> DataFrame:
     found = rows.withColumns({"_origin": urls.origin(F.col("official_url")), "external_id": ids}).join(known, ["source_id", "_origin"], "left")
     last = found.groupBy("source_id", "official_url").agg(F.max("ordinal").alias("_last"))
     reason = (
-        F.when(F.col("title").isNull() | F.col("official_url").isNull() | F.col("title").rlike(NO_POSTING), "skipped").when((host == "") | host.isNull(), "invalid-url")
+        F.when(F.col("title").isNull() | F.col("official_url").isNull() | F.col("title").rlike(fixed.NON_JOB_TITLE), "skipped").when((host == "") | host.isNull(), "invalid-url")
         .when((scheme != "https") | host.contains("@") | F.col("_known").isNull(), "outside-origin").when(F.col("ordinal") < F.col("_last"), "repeated")
     )
     return found.join(last, ["source_id", "official_url"], "left").select("source_id", "ordinal", "title", "official_url", "external_id", reason.alias("reason"))

@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.functions.text import folded
-
-# Titles and urls of pages that are no postings; codes and words of blocked pages.
-NAVIGATION_TITLE = (
-    r"(?i)^(home|sites|university|university overview|recruitment fraud|saved jobs(\s*0)?|go to saved jobs(\s*0)?|know your rights|job listing|students and graduates|events?(\s*[0-9]+)?|sitemap|i am an employee"
-    r"|skip to main content\.?)$"
-)
-NAVIGATION_URL = r"(?i)\.(pdf|docx?)([?#]|$)|/hcmUI/CandidateExperience/sitemaps(/|$)|/sites/[^/]+/events(/|$)|/fscmUI/faces/deeplink[^#]*ICE_JOB_SEARCH_RESP"
+from postlake.functions import fixed
+from postlake.functions.classifiers import spaced
+
+# Codes and words of blocked pages.
 BLOCKED_CODES = (401, 403, 429, 520, 521, 522, 523, 524)
 BLOCKED_WORDS = r"(?i)(cloudflare|captcha|challenge|blocked|access denied)"
 
 
 def is_navigation(title: Column, url: Column) -> Column:
     plain = F.trim(F.regexp_replace(title, r"\s+", " "))
-    return F.coalesce(plain.rlike(NAVIGATION_TITLE) | url.rlike(NAVIGATION_URL), F.lit(False))
+    return F.coalesce(plain.rlike(fixed.NAVIGATION_TITLE) | url.rlike(fixed.DOCUMENT_URL) | url.rlike(fixed.NAVIGATION_URL), F.lit(False))
 
 
 def instant(text: Column) -> Column:
@@ -57,20 +53,28 @@ def close_twins(state: DataFrame) -> DataFrame:
     return rows.withColumn("gone", F.coalesce(F.startswith("official_url", F.lit("http://")) & F.col("_twin"), F.lit(False))).select(*state.columns, "gone")
 
 
-def mirror_key(c: Column) -> Column:
-    """A title or id without case, marks and signs, to tell mirrors of one posting."""
-    return F.trim(F.regexp_replace(folded(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+def mirror_title(c: Column) -> Column:
+    """A title in one width and lower case, signs as single spaces, to tell mirrors of one posting."""
+    return F.trim(F.regexp_replace(F.lower(spaced(c)), r"[^\p{L}\p{N}]+", " "))
+
+
+def mirror_id(c: Column) -> Column:
+    """An id in one width and lower case, with its signs; null where it is blank."""
+    return F.nullif(F.lower(spaced(c)), F.lit(""))
 
 
 def without_mirrors(incoming: DataFrame) -> DataFrame:
-    """incoming(title, external_id, requisition_id, official_url, first_party) without mirrors on other hosts of a first-party posting
-    of the same title and id."""
-    ids = F.array_distinct(F.filter(F.array(mirror_key(F.col("external_id")), mirror_key(F.col("requisition_id"))), lambda i: i != ""))
-    each = incoming.select("official_url", "first_party", mirror_key(F.col("title")).alias("_title"), F.explode(ids).alias("_id"))
-    own = each.filter("first_party").select("_title", "_id").distinct()
-    mirrored = each.filter("not first_party").join(own, ["_title", "_id"]).select("official_url").distinct()
-    kept = each.filter("first_party").select("official_url")
-    return incoming.join(mirrored.join(kept, "official_url", "left_anti"), "official_url", "left_anti")
+    """incoming(source_id, ordinal, title, external_id, requisition_id, official_url, first_party) without the mirrors of first-party postings.
+
+    Of one source's postings with the same title and id the first that is first-party is the one; a posting stays if no id of it has such a
+    one, or if one of its ids leads to its own url. So other hosts' copies go, and so do later first-party ones under another url.
+    ids count in one width and lower case, with their signs; ordinals are unique within a source.
+    """
+    ids = F.array_distinct(F.array_compact(F.array(mirror_id(F.col("external_id")), mirror_id(F.col("requisition_id")))))
+    each = incoming.select("source_id", "ordinal", "official_url", "first_party", mirror_title(F.col("title")).alias("_title"), F.explode(ids).alias("_id"))
+    chosen = each.filter("first_party").groupBy("source_id", "_title", "_id").agg(F.min_by("official_url", "ordinal").alias("_url"))
+    met = each.join(chosen, ["source_id", "_title", "_id"]).groupBy("source_id", "ordinal").agg(F.bool_or(F.col("_url") == F.col("official_url")).alias("_own"))
+    return incoming.join(met.filter(~F.col("_own")), ["source_id", "ordinal"], "left_anti").select(*incoming.columns)
 
 
 def replace_topics(stored: DataFrame, fresh: DataFrame, touched: DataFrame, namespaces: tuple[str, ...]) -> DataFrame:
@@ -132,13 +136,58 @@ def needs_fallback(status: Column, jobs_seen: Column) -> Column:
     return F.coalesce(status.isNull() | status.isin("blocked", "failed") | ((status == "succeeded") & (jobs_seen == 0)), F.lit(False))
 
 
-def recovery_queue(sources: DataFrame, now: str) -> DataFrame:
-    """Problem sources that are due, or were checked between 45 minutes ago and 5 minutes ahead; worst and longest unchecked first."""
+def recovery_queue(sources: DataFrame, now: str, priority: DataFrame | None = None, most: int = 500) -> DataFrame:
+    """Problem sources to read again in a browser, with place (``most`` at once is the feature).
+
+    Those count that are due, or were checked between 45 minutes ago and 5 minutes ahead. Named priority(source_id) come first, then those that a native
+    reader may recover, then by health: sources without postings before others, and in either group healthy, inactive, blocked and failed ones;
+    then those unchecked for longest (never checked ones first of all), then by company and id.
+    """
     at = F.lit(now).cast("timestamp")
     problem = F.col("health").isin("failed", "blocked", "inactive") | ((F.col("health") == "healthy") & (F.col("jobs") == 0))
     due = F.col("next_run_at").isNull() | (F.col("next_run_at") <= at) | F.col("checked_at").between(at - F.make_interval(mins=F.lit(45)), at + F.make_interval(mins=F.lit(5)))
-    rank = F.when(F.col("health") == "blocked", 0).when(F.col("health") == "failed", 1).when(F.col("health") == "inactive", 2).otherwise(3)
-    return sources.filter(problem & F.coalesce(due, F.lit(False))).withColumn("rank", rank).orderBy("rank", F.asc_nulls_first("checked_at"), "source_id")
+    state = F.when(F.col("health") == "healthy", 0).when(F.col("health") == "inactive", 1).when(F.col("health") == "blocked", 2).otherwise(3)
+    native = (F.col("adapter") == "workday") | (F.col("health") == "blocked") | (F.col("last_error") == "empty_board") | (F.col("jobs") > 0)
+    rows = sources.filter(problem & F.coalesce(due, F.lit(False)))
+    first = rows.join(priority.select("source_id").distinct().withColumn("_first", F.lit(True)), "source_id", "left") if priority is not None else rows.withColumn("_first", F.lit(None).cast("boolean"))
+    ranked = first.withColumns({"native": F.coalesce(native, F.lit(False)), "rank": F.when(F.col("jobs") == 0, 0).otherwise(10) + state})
+    order = [F.col("_first").isNull(), F.desc("native"), "rank", F.asc_nulls_first("checked_at"), "company", "source_id"]
+    top = ranked.orderBy(*order).limit(most)  # a bounded number of rows is numbered
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("_first")
+
+
+def policy_changed(sources: DataFrame, checkpoints: DataFrame, jobs: DataFrame, policy: DataFrame, stored_version: str | None, version: str, now: str) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """(sources, checkpoints, jobs, version) after a new crawl policy for the sources of policy(source_id).
+
+    With another version than the stored one these sources start over: due now, without their checkpoint; and of their open postings those known to lie
+    outside the policy's country (location_region non_us) close, while unknown and mixed ones stay open. With the same version nothing changes.
+    """
+    if stored_version == version:
+        return sources, checkpoints, jobs, version
+    named = policy.select("source_id").distinct().withColumn("_named", F.lit(True))
+    mark = lambda df: df.join(named, "source_id", "left")
+    hit, at = F.col("_named").isNotNull(), F.lit(now)
+    due = mark(sources).withColumn("next_run_at", F.when(hit, at).otherwise(F.col("next_run_at"))).select(*sources.columns)
+    out = F.coalesce(hit & (F.col("status") == "open") & (F.col("location_region") == "non_us"), F.lit(False))
+    closed = mark(jobs).withColumns({"closed_at": F.when(out, F.coalesce("closed_at", at)).otherwise(F.col("closed_at")), "status": F.when(out, "closed").otherwise(F.col("status"))}).select(*jobs.columns)
+    return due, checkpoints.join(named, "source_id", "left_anti"), closed, version
+
+
+def quiet_walk(jobs: DataFrame, matches: DataFrame, messages: DataFrame, items: DataFrame, quiet: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(jobs, matches, messages, items) after walks of the sources of quiet(source_id) that announce nothing.
+
+    What was queued of their matches not yet told leaves the messages not yet sent, a message left without items goes, such matches are
+    not eligible, and the sources' postings count as known from the start. Sent mail stays.
+    """
+    own = jobs.join(quiet.select("source_id").distinct(), "source_id", "left_semi").select(F.col("id").alias("job_id"))
+    waiting = matches.filter("notified_at IS NULL").join(own, "job_id", "left_semi").select("match_id")
+    unsent = messages.filter("status <> 'sent'").select("message_id")
+    gone = items.join(waiting, "match_id", "left_semi").join(unsent, "message_id", "left_semi").select("message_id", "match_id").distinct()
+    left = items.join(gone, ["message_id", "match_id"], "left_anti").select(*items.columns)
+    empty = unsent.join(left.select("message_id"), "message_id", "left_anti")
+    flagged = lambda df, key, names, column, value: df.join(names.distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn(column, F.when(F.col("_hit").isNotNull(), value).otherwise(F.col(column))).select(*df.columns)
+    known = flagged(jobs, "id", own.select(F.col("job_id").alias("id")), "after_baseline", F.lit(False))
+    return known, flagged(matches, "match_id", waiting, "eligible", F.lit(False)), messages.join(empty, "message_id", "left_anti"), left
 
 
 def result_class(empty: Column, error: Column, jobs: Column, final_url: Column, code: Column) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.functions.urls import listing_identity_url, origin
-from postlake.operators.lifecycle import mirror_key
+from postlake.operators.lifecycle import mirror_id, mirror_title
 
 
 def _identities(df: DataFrame) -> DataFrame:
     """One row per mirror identity of a row, with how late it is asked: by external id, then by requisition."""
-    pair = lambda c, n: F.struct(mirror_key(F.col(c)).alias("identity"), F.lit(n).alias("rank"))
+    pair = lambda c, n: F.struct(mirror_id(F.col(c)).alias("identity"), F.lit(n).alias("rank"))
     each = df.select("*", F.explode(F.array(pair("external_id", 3), pair("requisition_id", 4))).alias("_i"))
     return each.filter("_i.identity <> ''").select("*", "_i.identity", "_i.rank").drop("_i")
 
@@ -22,8 +22,8 @@ def url_candidates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     Rank 0 has its url, 1 its external id (of several the largest id), 2 its listing identity and title, 3 and 4 an id of mirrors and its
     title; 2 to 4 only for a first-party listing. Four equi-joins on the source and one key each; a source's rows are never compared in pairs.
     """
-    old = stored.select("source_id", "id", F.col("official_url").alias("was"), "status", "external_id", "requisition_id", mirror_key(F.col("title")).alias("_title"))
-    new = incoming.select("source_id", "official_url", "external_id", "requisition_id", "first_party", mirror_key(F.col("title")).alias("_title"))
+    old = stored.select("source_id", "id", F.col("official_url").alias("was"), "status", "external_id", "requisition_id", mirror_title(F.col("title")).alias("_title"))
+    new = incoming.select("source_id", "official_url", "external_id", "requisition_id", "first_party", mirror_title(F.col("title")).alias("_title"))
     own = new.filter("first_party")
     out = ["source_id", "official_url", "rank", "id", "was", "status"]
     exact = new.join(old.select("source_id", F.col("was").alias("official_url"), "id", "was", "status"), ["source_id", "official_url"]).withColumn("rank", F.lit(0))

@@ -17,11 +17,13 @@ OFFERS = (
 )
 OFFERS_SQL = f"""offered AS (SELECT o_orderkey AS id, {_sql(NAMES)}[o_orderkey % 4 + 1] AS company, {_sql(HOMES)}[o_orderkey // 4 % 4 + 1] AS home, {_sql(OFFERS)}[o_orderkey // 16 % {len(OFFERS)} + 1] AS url FROM orders),
   hosts AS (SELECT *, regexp_extract(home, '^https://([^/]*)', 1) AS h0, regexp_extract(url, '^https://([^/]*)(.*)$', ['host', 'path']) AS u FROM offered),
-  judged AS (SELECT *, CASE WHEN h0 = '' OR u.host = '' OR contains(url, 'linkedin.com') OR contains(url, 'students') OR regexp_matches(u.path, '^/jobs/.') THEN false
-    WHEN h0 = u.host THEN regexp_matches(u.path, '^/(careers|jobs?)(/|$)') OR starts_with(u.host, 'careers.')
-    WHEN array_to_string(string_split(h0, '.')[-2:], '.') = array_to_string(string_split(u.host, '.')[-2:], '.') THEN regexp_matches(u.path, '^/careers(/|$)') OR regexp_matches(u.host, '^(jobs|careers)\\.') 
-    WHEN contains(url, 'ultipro.com') THEN true
-    ELSE ((company = 'Acme Robotics' AND contains(url, 'acme')) OR (company = 'IBM' AND contains(url, 'ibm'))) AND regexp_matches(url, 'greenhouse|\\.jobs/|careers|//(jobs|talent)\\.') END AS safe FROM hosts)"""
+  told AS (SELECT *, regexp_matches(u.path, '/(jobs?|careers?|opportunities|positions?|openings?|search-results|search/results|job-search|open-positions|join-us)(/|$|[?#-])') AS for_jobs, regexp_matches(u.host, '^(jobs?|careers?)\\.') AS on_career_host,
+    regexp_matches(u.host, '\\.jobs$|careers?') AS of_careers, array_to_string(string_split(h0, '.')[-2:], '.') AS root0, array_to_string(string_split(u.host, '.')[-2:], '.') AS root,
+    list_filter(string_split_regex(company, '[^A-Za-z0-9]+'), lambda w: (length(w) >= 4 OR (length(w) >= 3 AND w = upper(w))) AND lower(w) NOT IN ('united', 'bank', 'group', 'international', 'services', 'systems')) AS words FROM hosts),
+  judged AS (SELECT *, CASE WHEN h0 = '' OR u.host = '' THEN false WHEN regexp_matches(u.host, '(^|\\.)(indeed|glassdoor|linkedin|ziprecruiter)\\.com$') THEN false WHEN regexp_matches(u.path, 'career-areas?|early-careers?|students?|university|working-at|talent-community|loans?') THEN false
+    WHEN regexp_matches(u.path, '/jobs?/[^/?#]+(/[^/?#]+)?([?#]|$)') AND NOT regexp_matches(u.path, '/jobs?/search([/?#]|$)') THEN false WHEN h0 = u.host THEN for_jobs OR on_career_host OR of_careers WHEN root0 = root THEN for_jobs OR on_career_host
+    WHEN regexp_matches(u.host, '^recruiting[0-9]*\\.ultipro\\.com$') AND contains(lower(u.path), '/jobboard/') THEN true
+    ELSE len(list_filter(words, lambda w: contains(lower(u.host || u.path), lower(w)))) > 0 AND (contains(u.host, 'greenhouse.io') OR of_careers OR regexp_matches(u.host, '^(jobs?|careers?|talent)\\.') OR for_jobs) END AS safe FROM told)"""
 
 
 def _offers(spark, sf_dir):
@@ -29,14 +31,13 @@ def _offers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(n.alias("id"), _dealt(NAMES, n).alias("company"), _dealt(HOMES, F.floor(n / 4)).alias("home"), _dealt(OFFERS, F.floor(n / 16)).alias("url"))
 
 
-# /job/search lists postings: its path does not name a detail
-@query(f"WITH {OFFERS_SQL} SELECT company, home, url, safe OR (contains(url, '/job/search') AND h0 = 'www.acme.com') OR (contains(url, '/job/search') AND company = 'Acme Robotics' AND h0 <> '') AS safe, count(*) AS offers FROM judged GROUP BY ALL")
+@query(f"WITH {OFFERS_SQL} SELECT company, home, url, safe, count(*) AS offers FROM judged GROUP BY ALL")
 def safe_recommendations(spark, sf_dir):
     safe = audits.safe_recommendation(F.col("company"), F.col("home"), F.col("url"))
     return _offers(spark, sf_dir).withColumn("safe", safe).groupBy("company", "home", "url", "safe").agg(F.count(F.lit(1)).alias("offers"))
 
 
-@query(f"""WITH {OFFERS_SQL}, ok AS (SELECT *, safe OR (contains(url, '/job/search') AND (h0 = 'www.acme.com' OR company = 'Acme Robotics') AND h0 <> '') AS good FROM judged)
+@query(f"""WITH {OFFERS_SQL}, ok AS (SELECT *, safe AS good FROM judged)
   SELECT id AS source_id, company, CASE WHEN id % 5 = 0 THEN CASE WHEN id % 2 = 0 THEN 'https://fixed.example/' END WHEN good AND id % 3 > 0 AND url <> home AND NOT contains(url, 'ultipro') THEN url ELSE home END AS posting_url,
     CASE WHEN id % 5 = 0 THEN 'fixed' WHEN good AND id % 3 > 0 AND url <> home AND NOT contains(url, 'ultipro') THEN 'found' ELSE 'stored' END AS adapter, id % 5 = 0 OR (good AND id % 3 > 0 AND url <> home AND NOT contains(url, 'ultipro')) AS applied FROM ok""")
 def overlaid_sources(spark, sf_dir):

@@ -49,6 +49,15 @@ def shared_identity_keys(spark, sf_dir):
     return each.groupBy("key").agg(F.count(F.lit(1)).alias("postings"), F.min("id").alias("first")).filter("postings > 1")
 
 
+@query("""WITH o AS (SELECT page_id, url, replace(replace(rtrim(base64(encode(url)), '='), '+', '-'), '/', '_') AS b FROM pages), w AS (SELECT page_id, url, unnest(['https://www.bing.com/ck/a?x=1&u=a1' || b || '&n=2', 'https://BING.com/ck?u=a2' || b, 'https://bing.com.example/?u=a1' || b, 'https://bing.com/?u=a1bm93aGVyZQ', url]) AS href,
+    unnest([url, NULL, NULL, NULL, url]) AS carried FROM o) SELECT page_id, href, CASE WHEN regexp_matches(carried, '(?i)^https?://') THEN carried ELSE href END AS target FROM w""")
+def unwrapped_links(spark, sf_dir):
+    """Links as a search engine gives them, some of them redirects that carry a page's url."""
+    b = F.translate(F.regexp_replace(F.base64(F.encode("url", "UTF-8")), r"[=\r\n]", ""), "+/", "-_")
+    links = [F.concat(F.lit("https://www.bing.com/ck/a?x=1&u=a1"), b, F.lit("&n=2")), F.concat(F.lit("https://BING.com/ck?u=a2"), b), F.concat(F.lit("https://bing.com.example/?u=a1"), b), F.lit("https://bing.com/?u=a1bm93aGVyZQ"), F.col("url")]
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*links)).alias("href")).withColumn("target", urls.unwrapped(F.col("href")))
+
+
 ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))[^>]*>(.*?)</a\s*>"
 
 
@@ -159,14 +168,19 @@ def closed_twins(spark, sf_dir):
     return lifecycle.close_twins(_state(spark, sf_dir).withColumn("source_id", F.col("source_id") % 3)).select("id", "gone")
 
 
-@query("""WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS id, lower(replace(p_name, '-', ' ')) || ' ' || l_returnflag AS t, l_suppkey % 40 AS e, l_linestatus = 'O' AS own, 'https://x.example/' || l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_partkey || l_linestatus || l_returnflag AS url FROM lineitem JOIN part ON p_partkey = l_partkey)
-  SELECT count(*) AS kept, sum(own::INT)::BIGINT AS own, count(DISTINCT url) AS urls FROM i a WHERE own OR NOT EXISTS (SELECT 1 FROM i b WHERE b.own AND lower(b.t) = lower(a.t) AND b.e = a.e)""")
+MIRRORS_SQL = """i AS (SELECT l_suppkey % 50 AS source_id, l_orderkey * 10 + l_linenumber AS ordinal, lower(replace(p_name, '-', ' ')) || ' ' || lower(l_returnflag) AS t, ['#' || l_suppkey % 40, CASE WHEN l_partkey % 3 = 0 THEN 'r' || l_partkey % 7 END] AS ids,
+  l_linestatus = 'O' AS own, 'https://x.example/' || l_partkey % 11 || l_linestatus AS url FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+@query(f"""WITH {MIRRORS_SQL}, e AS (SELECT * FROM (SELECT source_id, ordinal, url, own, t, unnest(ids) AS id FROM i) WHERE id IS NOT NULL), c AS (SELECT source_id, t, id, arg_min(url, ordinal) AS first FROM e WHERE own GROUP BY 1, 2, 3),
+  met AS (SELECT source_id, ordinal, bool_or(first = url) AS mine FROM e JOIN c USING (source_id, t, id) GROUP BY 1, 2) SELECT source_id, ordinal, url AS official_url FROM i WHERE (source_id, ordinal) NOT IN (SELECT (source_id, ordinal) FROM met WHERE NOT mine)""")
 def incoming_without_mirrors(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    title = F.concat(F.when(F.col("l_linestatus") == "O", F.upper("p_name")).otherwise(F.initcap("p_name")), F.lit(" - "), "l_returnflag")
     rows = rows.select(
-        F.concat(F.when(F.col("l_linestatus") == "O", F.upper("p_name")).otherwise(F.initcap("p_name")), F.lit(" - "), "l_returnflag").alias("title"), F.concat(F.lit("#"), F.col("l_suppkey") % 40).alias("external_id"), F.lit(None).cast("string").alias("requisition_id"),
-        F.concat_ws("/", F.lit("https://x.example"), "l_orderkey", "l_linenumber", "l_suppkey", F.concat("l_partkey", "l_linestatus", "l_returnflag")).alias("official_url"), (F.col("l_linestatus") == "O").alias("first_party"))
-    return lifecycle.without_mirrors(rows).agg(F.count(F.lit(1)).alias("kept"), F.count_if("first_party").alias("own"), F.countDistinct("official_url").alias("urls"))
+        (F.col("l_suppkey") % 50).alias("source_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), title.alias("title"), F.concat(F.lit(" #"), F.col("l_suppkey") % 40).alias("external_id"),
+        F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("R"), F.col("l_partkey") % 7)).alias("requisition_id"), F.concat(F.lit("https://x.example/"), F.col("l_partkey") % 11, "l_linestatus").alias("official_url"), (F.col("l_linestatus") == "O").alias("first_party"))
+    return lifecycle.without_mirrors(rows).select("source_id", "ordinal", "official_url")
 
 
 @query(f"""WITH {RICH_SQL}, touched AS (SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'O'),
@@ -246,16 +260,61 @@ SOURCES_SQL = """sources AS (SELECT c_custkey AS source_id, c_name AS company, c
   (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS next_run_at, (SELECT min(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS checked_at, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS jobs FROM customer)"""
 
 
-@query(f"""WITH {SOURCES_SQL} SELECT source_id, company FROM sources WHERE enabled AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '1998-03-01') AND (lease_until IS NULL OR lease_until <= TIMESTAMP '1998-03-01')
+@query(f"""WITH {SOURCES_SQL} SELECT source_id, company FROM sources WHERE enabled AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '2001-03-01') AND (lease_until IS NULL OR lease_until <= TIMESTAMP '2001-03-01')
   ORDER BY next_run_at NULLS FIRST, company, source_id LIMIT 30""")
 def leased_sources(spark, sf_dir):
-    return lifecycle.lease_due(_sources(spark, sf_dir), "1998-03-01", 30).select("source_id", "company")
+    return lifecycle.lease_due(_sources(spark, sf_dir), "2001-03-01", 30).select("source_id", "company")
+
 
+RECOVERY_SQL = """(SELECT *, ['workday', 'custom', 'lever'][source_id % 3 + 1] AS adapter, CASE WHEN source_id % 7 = 0 THEN 'empty_board' END AS last_error, CASE WHEN health = 'healthy' AND source_id % 2 = 0 THEN 0 ELSE jobs END AS n FROM sources)"""
 
-@query(f"""WITH {SOURCES_SQL} SELECT source_id, CASE health WHEN 'blocked' THEN 0 WHEN 'failed' THEN 1 WHEN 'inactive' THEN 2 ELSE 3 END AS rank FROM sources WHERE (health IN ('failed', 'blocked', 'inactive') OR (health = 'healthy' AND jobs = 0))
-  AND coalesce(next_run_at IS NULL OR next_run_at <= TIMESTAMP '1998-03-01' OR checked_at BETWEEN TIMESTAMP '1998-02-28 23:15:00' AND TIMESTAMP '1998-03-01 00:05:00', false)""")
+
+@query(f"""WITH {SOURCES_SQL}, r AS (SELECT *, adapter = 'workday' OR health = 'blocked' OR coalesce(last_error = 'empty_board', false) OR n > 0 AS native, CASE WHEN n = 0 THEN 0 ELSE 10 END + CASE health WHEN 'healthy' THEN 0 WHEN 'inactive' THEN 1 WHEN 'blocked' THEN 2 ELSE 3 END AS rank FROM {RECOVERY_SQL}
+    WHERE (health IN ('failed', 'blocked', 'inactive') OR (health = 'healthy' AND n = 0)) AND coalesce(next_run_at IS NULL OR next_run_at <= TIMESTAMP '2001-03-01' OR checked_at BETWEEN TIMESTAMP '2001-02-28 23:15:00' AND TIMESTAMP '2001-03-01 00:05:00', false))
+  SELECT source_id, rank::INT AS rank, native, (row_number() OVER (ORDER BY source_id % 97 <> 0, native DESC, rank, checked_at NULLS FIRST, company, source_id))::INT AS place FROM r QUALIFY place <= 500""")
 def recovery_queue(spark, sf_dir):
-    return lifecycle.recovery_queue(_sources(spark, sf_dir), "1998-03-01").select("source_id", "rank")
+    s = _sources(spark, sf_dir)
+    n = F.col("source_id")
+    s = s.withColumns({"adapter": _dealt(("workday", "custom", "lever"), n), "last_error": F.when(n % 7 == 0, "empty_board"), "jobs": F.when((F.col("health") == "healthy") & (n % 2 == 0), 0).otherwise(F.col("jobs"))})
+    return lifecycle.recovery_queue(s, "2001-03-01", s.filter("source_id % 97 = 0")).select("source_id", "rank", "native", "place")
+
+
+def _regional(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_id"), F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open").alias("status"), _dealt(("us", "non_us", "mixed", "unknown", None), F.col("o_orderkey")).alias("location_region"), F.when(F.col("o_orderkey") % 9 == 1, "1990").alias("closed_at"))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS id, o_custkey AS source_id, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS status, ['us', 'non_us', 'mixed', 'unknown', NULL][o_orderkey % 5 + 1] AS region, CASE WHEN o_orderkey % 9 = 1 THEN '1990' END AS closed_at FROM orders),
+  p AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT *, coalesce(status = 'open' AND region = 'non_us', false) AND source_id IN (FROM p) AS gone FROM j)
+  SELECT 'job' AS kind, id, CASE WHEN gone THEN 'closed' ELSE status END AS state, CASE WHEN gone THEN coalesce(closed_at, '2026') ELSE closed_at END AS at FROM o
+  UNION ALL SELECT 'source', c_custkey, NULL, CASE WHEN c_mktsegment = 'BUILDING' THEN '2026' ELSE '2030' END FROM customer UNION ALL SELECT 'checkpoint', c_custkey, NULL, NULL FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING'""")
+def policy_change(spark, sf_dir):
+    """All that a new version of the crawl policy changes: due sources, dropped checkpoints, closed postings."""
+    c = table(spark, sf_dir, "customer").withColumn("source_id", F.col("c_custkey"))
+    sources, checkpoints, policy = c.select("source_id", F.lit("2030").alias("next_run_at")), c.filter("c_acctbal > 0").select("source_id"), c.filter("c_mktsegment = 'BUILDING'")
+    due, left, jobs, _ = lifecycle.policy_changed(sources, checkpoints, _regional(spark, sf_dir), policy, "1", "2", "2026")
+    none = F.lit(None).cast("string")
+    of = lambda df, kind, key, state, at: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), state.alias("state"), at.alias("at"))
+    return of(jobs, "job", "id", F.col("status"), F.col("closed_at")).unionByName(of(due, "source", "source_id", none, F.col("next_run_at"))).unionByName(of(left, "checkpoint", "source_id", none, none))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS id, o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS quiet FROM orders), w AS (SELECT id FROM j WHERE quiet AND id % 4 > 0),
+  m AS (SELECT DISTINCT l_suppkey AS message, l_suppkey % 3 = 0 AS sent FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS message, l_orderkey AS match FROM lineitem), k AS (SELECT message, match FROM i JOIN m USING (message) WHERE sent OR match NOT IN (FROM w))
+  SELECT 'job' AS kind, id, (id % 5 > 0 AND NOT quiet)::INT AS n FROM j UNION ALL SELECT 'match', id, (id % 2 = 0 AND id NOT IN (FROM w))::INT FROM j
+  UNION ALL SELECT 'message', message, 1 FROM m WHERE sent OR message IN (SELECT message FROM k) UNION ALL SELECT 'items', message, count(*)::INT FROM k GROUP BY 2""")
+def quiet_effects(spark, sf_dir):
+    """All that a walk without announcements changes: postings known, matches not eligible, items and messages gone."""
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    n = F.col("o_orderkey")
+    jobs = o.select(n.alias("id"), F.col("o_custkey").alias("source_id"), (n % 5 > 0).alias("after_baseline"))
+    matches = o.select(n.alias("match_id"), n.alias("job_id"), (n % 2 == 0).alias("eligible"), F.when(n % 4 == 0, "1990").alias("notified_at"))
+    items = line.select(F.col("l_suppkey").alias("message_id"), F.col("l_orderkey").alias("match_id")).distinct()
+    messages = items.select("message_id").distinct().withColumn("status", F.when(F.col("message_id") % 3 == 0, "sent").otherwise("queued"))
+    quiet = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("source_id"))
+    jobs, matches, messages, items = lifecycle.quiet_walk(jobs, matches, messages, items, quiet)
+    of = lambda df, kind, key, v: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), v.cast("int").alias("n"))
+    counted = items.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
+    return of(jobs, "job", "id", F.col("after_baseline")).unionByName(of(matches, "match", "match_id", F.col("eligible"))).unionByName(of(messages, "message", "message_id", F.lit(1))).unionByName(of(counted, "items", "message_id", F.col("n")))
 
 
 @query(f"""WITH {RUNS_SQL} SELECT event_id, CASE WHEN status = 'running' AND (finished_at, event_id) < (SELECT (max(finished_at), max(event_id)) FROM runs q WHERE q.source_id = r.source_id AND q.finished_at = (SELECT max(finished_at) FROM runs x WHERE x.source_id = r.source_id))

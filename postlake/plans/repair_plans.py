@@ -31,7 +31,7 @@ def _incoming(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_returnflag <> 'A'")
     return rows.select(
         F.floor(n / 40).alias("source_id"), url.alias("official_url"), F.when(kind == 4, "Retitled").otherwise(_dealt(TITLES, group)).alias("title"),
-        F.when(kind == 1, F.concat(F.lit("E-"), n)).when(kind >= 3, F.concat(F.lit("e_"), n)).alias("external_id"), F.when(kind <= 1, F.concat(F.lit("r"), group)).alias("requisition_id"), (n % 3 > 0).alias("first_party"))
+        F.when(kind == 1, F.concat(F.lit("E-"), n)).when(kind >= 3, F.concat(F.lit(" e-"), n)).alias("external_id"), F.when(kind <= 1, F.concat(F.lit("r"), group)).alias("requisition_id"), (n % 3 > 0).alias("first_party"))
 
 
 REPAIR_SQL = f"""stored AS (SELECT o_orderkey // 40 AS source_id, o_orderkey AS id, CASE WHEN o_orderkey % 5 = 2 THEN 'https://search.jobs.barclays/en/job/' || o_orderkey || '/' ELSE 'https://a.example/job/' || o_orderkey END AS was,
