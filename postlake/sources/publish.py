@@ -33,10 +33,9 @@ class Written(WriterCommitMessage):
 
 class PublishWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         self.path, self.folder, self.schema = path.rstrip("/"), f"data-{uuid.uuid4().hex}", schema
-        self.arrow = to_arrow_schema(schema)
+        files, root = _open(self.path)
+        files.create_dir(f"{root}/{self.folder}", recursive=True)  # here alone: a task that outlives an abort finds no folder to write to
 
     def write(self, iterator):
         import pyarrow.parquet as pq
@@ -45,7 +44,6 @@ class PublishWriter(DataSourceArrowWriter):
         name, rows, sink = f"{self.folder}/{uuid.uuid4().hex}.parquet", 0, None
         for batch in iterator:
             if sink is None:
-                files.create_dir(f"{root}/{self.folder}", recursive=True)
                 sink = pq.ParquetWriter(files.open_output_stream(f"{root}/{name}"), batch.schema)
             sink.write_batch(batch)
             rows += batch.num_rows
@@ -56,7 +54,6 @@ class PublishWriter(DataSourceArrowWriter):
     def commit(self, messages):
         """Files of attempts that were not the last one of their task are not named, so they are never read."""
         files, root = _open(self.path)
-        files.create_dir(root, recursive=True)
         manifest = {"files": sorted(m.file for m in messages if m and m.file), "rows": sum(m.rows for m in messages if m), "schema": self.schema.jsonValue()}
         aside = f"{root}/{self.folder}.json"
         with files.open_output_stream(aside) as out:

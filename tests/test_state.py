@@ -5,14 +5,19 @@ import os
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.operators import delivery
+from postlake.functions import classifiers, signals
+from postlake.operators import delivery, drain
 from postlake.operators.merge import merge
+from postlake.operators.pages import PageDirectory
 from postlake.operators.ranking import placed
 from postlake.operators.text_index import TextIndex
-from postlake.streaming import deliveries
+from postlake.sources.publish import publish, published
+from postlake.streaming import cycles, deliveries
+from postlake.streaming.facet_counts import FacetCounts
 from postlake.streaming.snapshots import merge_batch, merge_stream
 from postlake.streaming.versions import Conflict, VersionedTable
 
@@ -206,3 +211,136 @@ def _tokens(text):
     from postlake.functions.text import MARKED, PLAIN
 
     return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower().translate(str.maketrans(MARKED, PLAIN)))
+
+
+# --- facets, published tables, deep pages, cycles, drains, signals
+
+
+def test_facet_counts_equal_a_recount_after_any_merges(spark, tmp_path):
+    """Chains of merges, batches that come twice, and a driver lost between the two commits."""
+    counts = FacetCounts(spark, str(tmp_path), ("company", "team"), buckets=4)
+    kinds = "id long, official_url string, company string, team string, status string, first_seen_at string"
+    rng = np.random.default_rng(9)
+    state = {(s, u): (s, f"u{u}", f"C{s % 2}", "x", "open", "2025") for s in range(3) for u in range(4)}
+    frame = lambda: spark.createDataFrame([tuple(r) for r in state.values()], kinds)
+    recount = lambda: rows(counts.contributions(frame()).groupBy("key", "value").agg(F.count(F.lit(1)).alias("jobs")))
+    counts.build(frame())
+    for batch in range(5):
+        touched = set()
+        for _ in range(rng.integers(0, 5)):
+            s, u = int(rng.integers(3)), int(rng.integers(6))
+            state[s, u] = (s, f"u{u}", f"C{rng.integers(3)}", ["x", "y", None][rng.integers(3)], ["open", "open", "closed"][rng.integers(3)], str(2026 + rng.integers(3)))
+            touched.add((f"u{u}",))
+        names = spark.createDataFrame(sorted(touched), "official_url string")
+
+        def lost():
+            raise RuntimeError("lost")
+
+        if batch % 2:
+            try:
+                counts.apply(frame(), names, batch, between=lost)
+            except RuntimeError:
+                pass
+        counts.apply(frame(), names, batch)
+        counts.apply(frame(), names, batch)
+        assert rows(counts.read().select("key", "value", "jobs")) == recount(), batch
+
+
+def test_an_aborted_publication_leaves_the_former_one(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    first = spark.range(100).withColumn("title", F.concat(F.lit("t"), "id"))
+    publish(first.repartition(3), path)
+    assert rows(published(spark, path)) == rows(first)
+    broken = spark.range(0, 1000, 1, 4).withColumn("title", F.when(F.col("id") == 990, F.raise_error(F.lit("broken"))).otherwise(F.lit("x")))
+    with pytest.raises(Exception, match="broken"):
+        publish(broken, path)
+    assert rows(published(spark, path)) == rows(first)
+    assert len([n for n in os.listdir(path) if n.startswith("data-")]) == 1  # what was written of it is gone
+    publish(first.limit(0), path)
+    assert published(spark, path).count() == 0 and published(spark, path).columns == ["id", "title"]
+
+
+def test_deep_pages_open_few_parts(spark, tmp_path):
+    df = spark.range(10_000).select("id", (F.col("id") * 7919 % 101).alias("v"))
+    pages = PageDirectory(spark, str(tmp_path / "p"), 20)
+    pages.build(df, [F.desc("v"), F.asc("id")])
+    want = [r.id for r in df.orderBy(F.desc("v"), "id").collect()]
+    for number in (1, 2, 77, 200):
+        found = pages.page(number, 50).collect()
+        assert [r.id for r in found] == want[(number - 1) * 50 : number * 50] and [r.place for r in found] == list(range((number - 1) * 50 + 1, number * 50 + 1))
+        assert len(pages.parts_of((number - 1) * 50, 50)) <= 2
+    assert pages.page(201, 50).count() == 0
+    empty = PageDirectory(spark, str(tmp_path / "e"))
+    empty.build(df.limit(0), [F.asc("id")])
+    assert empty.page(1).count() == 0
+
+
+SEGMENTS = "source_id long, event_id long, at timestamp, listing_url string, adapter string, policy long, next_page long, complete boolean"
+
+
+def test_cycles_close_what_two_cycles_did_not_see(spark, tmp_path):
+    batches = [
+        [(1, 1, at(0), "u", "a", 1, 2, False), (1, 2, at(10), "u", "a", 1, 0, True), (2, 3, at(0), "u", "a", 1, 5, False)],
+        [(1, 4, at(20), "u", "a", 1, 0, True), (2, 5, at(20), "u", "b", 1, 3, False), (1, 2, at(10), "u", "a", 1, 0, True)],
+        [(1, 6, at(30), "u", "a", 1, 0, True), (1, 7, at(40), "u", "a", 2, 0, True), (2, 8, at(40), "v", "b", 1, 4, False)],
+    ]
+    inbox, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for batch in batches:
+        spark.createDataFrame(batch, SEGMENTS).coalesce(1).write.mode("append").parquet(inbox)
+        cycles.start(spark.readStream.schema(SEGMENTS).parquet(inbox), out, check).awaitTermination(180)
+    changes = spark.read.parquet(out)
+    found = {r.event_id: (r.restarted, r.next_page, r.cycle_start, r.previous_start, r.closes_before) for r in changes.collect()}
+    assert changes.count() == 8 and found == {
+        1: (True, 2, at(0), None, None), 2: (False, 1, at(10), at(0), None), 4: (False, 1, at(20), at(10), at(0)), 6: (False, 1, at(30), at(20), at(10)), 7: (True, 1, at(40), at(40), None),
+        3: (True, 5, at(0), None, None), 5: (True, 3, at(20), None, None), 8: (True, 4, at(40), None, None),
+    }
+    held = spark.createDataFrame([(1, "open", at(5)), (1, "open", at(15)), (1, "closed", at(1)), (2, "open", at(0))], "source_id long, status string, last_seen_at timestamp")
+    assert [(r.source_id, r.gone) for r in cycles.closed_by(held, changes).filter("gone").collect()] == [(1, True)]
+
+
+def test_a_drain_ends_with_its_last_source(spark):
+    job = "struct<external_id:string,official_url:string,title:string>"
+    script = {  # (source, pass): ok, next page, pages, complete, postings
+        (1, 0): (True, 2, 2, False, [("a", "u1", "first")]), (1, 1): (False, 0, 2, False, []), (1, 2): (True, 3, 2, True, [("a", "u9", "last"), (None, "u2", "own")]),
+        (2, 0): (True, 1, 3, False, [("b", "u", "t")]), (2, 1): (True, 1, 3, False, [("b", "u", "t")]), (3, 0): (True, 2, 3, False, [("c", "u", "t")]), (3, 1): (True, 3, 4, False, [("c", "u", "t")]), (4, 0): (False, 0, 0, False, []), (4, 1): (False, 0, 0, False, []),
+    }
+    asked = []
+
+    def crawl(open_, number):
+        sources = sorted(r.source_id for r in open_.collect())
+        asked.append(sources)
+        return spark.createDataFrame([(s, *script[s, number]) for s in sources], f"source_id long, ok boolean, next_page long, total long, complete boolean, jobs array<{job}>")
+
+    found, state = drain.drain(spark, spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "source_id long"), crawl)
+    assert rows(found.select("source_id", "posting", "title")) == [(1, "a", "last"), (1, "u2", "own")]
+    assert {r.source_id: (r.done, r.error) for r in state.collect()} == {1: (True, None), 2: (False, "did not advance"), 3: (False, "page count changed"), 4: (False, "no result")}
+    assert asked == [[1, 2, 3, 4], [1, 2, 3, 4], [1]]
+    assert drain.drain(spark, spark.createDataFrame([], "source_id long"), crawl)[0].count() == 0
+
+
+POSTINGS = [
+    ("Machine Learning Intern", "Rotations include data engineering and machine learning.", ["PyTorch", "SQL"]), ("Stage Data Science - Paris", "responsible use of AI in recruiting. Tracks: AI, analytics & ML", []),
+    ("Stage Manager", "AI &amp; ML; assignments include data &amp; analytics.", None), ("Nurse Externship", None, ["Scikit learn"]), ("2027 Estágio em Finanças", "Large language models, NLP and feature engineering", []), ("Software Engineering Co-op", "", []),
+    ("Campus recruiting intern program hiring", "ai", ["ml"]), (None, None, None), ("ＭＡＣＨＩＮＥ　ＬＥＡＲＮＩＮＧ", "mail email, main: said", ["bi", "Hugging Face"]), ("Praktikant:in Werkstudent", "Disciplines such as quantitative statistics, informatics. Data.", []),
+]
+
+
+def test_signals_equal_the_expressions(spark):
+    """One automaton pass and a pattern after the other: the same labels, on small postings and on whole documents."""
+    small = spark.createDataFrame([(i, *r) for i, r in enumerate(POSTINGS)], "id long, title string, body string, skills array<string>")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.concat(F.lit("Rotations in ML, ai, data: "), "text").alias("body"), F.array(F.lit("data science")).alias("skills"))
+    for df in (small, docs):
+        fields = {n: F.col("title") if n in ("title", "team") else F.lit(None).cast("string") for n in signals.FIELDS}
+        got = df.select("id", signals.labels(fields, F.col("skills"), [F.col("body")]).alias("l")).select("id", "l.*")
+        want = df.select("id", classifiers.programs(F.col("title")).alias("program"), classifiers.ai_data_topic(fields, F.col("skills"), [F.col("body")]).alias("topic"), classifiers.areas(fields, F.col("skills"), [F.col("body")]).alias("areas"))
+        assert rows(got) == rows(want)
+    assert any(r.areas for r in want.collect())
+
+
+def test_words_that_a_pattern_needs():
+    for pattern, matches in ((r"\b(?:natural language processing|nlp)\b", ["natural language processing", "nlp"]), (r"co(?:\s*-\s*|\s+)op", ["co-op", "co op"]), (r"(?:praktik(?:um|ant)|praktyk)", ["praktikum", "praktyk"])):
+        words = signals.needed_words(pattern)
+        assert words and all(any(w in m for w in words) for m in matches)
+    assert signals.needed_words(r"[a-z]+|x") == signals.needed_words(r"(?:long word)?") == set()
+    for rules in signals.Labels().matcher.sets.values():
+        assert all(words for words in rules.words)
