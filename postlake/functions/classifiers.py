@@ -248,7 +248,7 @@ def _first_points(c: Column, rules: list[tuple[str, int, str]]) -> Column:
 
 
 def resume_match(p: Callable[[str], Column], target_year: int = 2027, least: int = 60) -> Column:
-    """struct(eligible, score, evidence array of struct(code, points), exclusion) of a posting whose columns p gives by name.
+    """struct(eligible, score, evidence array of struct(code, label, points), exclusion) of a posting whose columns p gives by name.
 
     p: title, job_family, job_function, summary, description, responsibilities, qualifications, education_requirements,
     experience_requirements, security_clearance, published_at, region; arrays skills, program_keys, recruiting_years (int).
@@ -262,6 +262,14 @@ def resume_match(p: Callable[[str], Column], target_year: int = 2027, least: int
     return let(F.struct(*[_matchable(*parts).alias(name) for name, parts in texts.items()]), lambda t: _match(p, t, target_year, least))
 
 
+def _named(e: Column) -> Column:
+    """struct(code, label, points) of evidence; the label of another target year follows the year's."""
+    names = F.create_map(*[F.lit(x) for pair in fixed.EVIDENCE_LABELS.items() for x in pair])
+    year = F.when(F.startswith(e["code"], F.lit("year:")), F.concat(F.substring(e["code"], 6, 4), F.lit(" recruiting cycle")))
+    label = F.coalesce(F.try_element_at(names, F.concat_ws(":", e["code"], e["points"].cast("string"))), F.try_element_at(names, e["code"]), year)
+    return F.struct(e["code"].alias("code"), label.alias("label"), e["points"].alias("points"))
+
+
 def _match(p: Callable[[str], Column], t: Column, target_year: int, least: int) -> Column:
     title, role_text, terms, skill_text, education_text = (t[name] for name in ("title", "role", "terms", "skills", "education"))
     no = lambda c: F.coalesce(c, F.lit(False))
@@ -283,7 +291,7 @@ def _match(p: Callable[[str], Column], t: Column, target_year: int, least: int)
     parts = [role, *skills, _first_points(role_text, fixed.DOMAINS), _first_points(education_text, fixed.EDUCATION)]
     parts += [more(no(F.array_contains(p("recruiting_years"), target_year)), f"year:{target_year}"), more(F.coalesce(p("published_at"), F.lit("")) != "", "freshness:published")]
     found = let(F.struct(excluded.alias("excluded"), F.array(*parts).alias("parts")), lambda x: F.struct(
-        F.coalesce(x["excluded"], F.when(F.get(x["parts"], F.lit(0)).isNull(), "role:not-supported")).alias("excluded"), F.array_compact(x["parts"]).alias("evidence")))
+        F.coalesce(x["excluded"], F.when(F.get(x["parts"], F.lit(0)).isNull(), "role:not-supported")).alias("excluded"), F.transform(F.array_compact(x["parts"]), _named).alias("evidence")))
     kept = let(found, lambda x: F.struct(x["excluded"].alias("excluded"), F.filter(x["evidence"], lambda _: x["excluded"].isNull()).alias("evidence")))
     summed = let(kept, lambda x: F.struct(x["excluded"].alias("excluded"), x["evidence"].alias("evidence"), F.least(F.lit(100), F.aggregate(x["evidence"], F.lit(0), lambda a, e: a + e["points"])).alias("score")))
     return let(summed, lambda x: F.struct(

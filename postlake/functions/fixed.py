@@ -216,3 +216,11 @@ THIRD_PARTY_AGGREGATOR = r"(?i)(?:^|\.)(?:indeed\.com|glassdoor\.com|linkedin\.c
 COMPANY_STOP_WORDS = ["company", "corporation", "corp", "group", "holdings", "holding", "international", "services", "service", "technologies", "technology", "financial", "health", "healthcare", "bank", "systems", "system", "united", "america", "american"]
 # Titles of pages that are no postings.
 NON_JOB_TITLE = r"(?i)^(?:privacy notice|create (?:an? )?(?:job )?alert|share your information|get in touch!?|join (?:our )?talent (?:community|network)|candidate (?:pool|profile)|sign in|log in|view profile|apply now)$"
+# What evidence of the resume score is called, by code and, where a code has two names, points.
+EVIDENCE_LABELS = {
+    "role:applied-science": "Applied or research scientist role", "role:llm-nlp": "LLM, NLP, RAG, or knowledge systems", "role:ai-ml": "AI or machine learning role", "role:data-engineering": "Data engineering role",
+    "role:data-analytics": "Data science or analytics role", "role:data-analytics:30": "Risk or fraud analytics role", "role:computer-vision": "Computer vision or OCR role", "role:software-engineering": "Direct software engineering role",
+    "skill:python": "Python, PySpark, or Pandas", "skill:sql": "SQL and data systems", "skill:ml": "Machine-learning stack", "skill:language-systems": "Language or knowledge systems", "skill:software": "Software development stack",
+    "skill:analytics": "Analytics tooling", "skill:vision": "Computer vision or OCR stack", "domain:aml-risk": "AML, risk, fraud, or data-quality domain", "domain:applied-data": "Applied data and information systems domain",
+    "education:masters-eligible": "Master's or graduate students eligible", "education:relevant-degree": "Relevant technical degree", "year:2027": "2027 recruiting cycle", "freshness:published": "ATS posting date available",
+}

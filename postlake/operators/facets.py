@@ -60,3 +60,14 @@ def facets(found: DataFrame, keys=KEYS, most: int = 100) -> DataFrame:
 def all_facets(found: DataFrame, topics: DataFrame, keys=KEYS, arrays=ARRAYS, most: int = 100) -> DataFrame:
     """Columns, arrays, programs, seasons and years as one union that is grouped once."""
     return counted(own_values(found, keys, arrays, derived=True).unionByName(topic_values(found, topics)), most)
+
+
+def season_values(spark) -> DataFrame:
+    """The seasons as a relation of one column."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{s}')" for s in SEASONS) + " AS seasons(value)")
+
+
+def season_facet(found: DataFrame, seasons: DataFrame) -> DataFrame:
+    """(value, jobs): of each of seasons(value) the distinct urls whose title has it as a word."""
+    words = found.select("official_url", F.explode(F.array_distinct(F.split(padded(F.col("title")), " +"))).alias("value"))
+    return words.join(F.broadcast(seasons), "value").groupBy("value").agg(F.countDistinct("official_url").alias("jobs"))  # four rows

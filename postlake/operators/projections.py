@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlake.functions.classifiers import spaced
 from postlake.functions.text import blank_to_null
 
 
@@ -74,12 +75,50 @@ def details(postings: DataFrame, topics: DataFrame, sources: DataFrame) -> DataF
     )
 
 
-def topic_audit(postings: DataFrame, topics: DataFrame, topic: str, known: str) -> DataFrame:
-    """One row: postings, how many have the topic, their share in percent, and how many with known in their title lack it."""
+# The columns of the detail view, in their order.
+DETAILS = (
+    "id", "source_id", "company", "title", "location", "arrangement", "summary", "official_url", "first_seen_at", "last_seen_at", "review_state", "employment_type", "description", "responsibilities", "qualifications", "skills",
+    "department", "team", "business_unit", "job_family", "job_function", "industry", "office", "secondary_locations", "location_city", "location_state", "location_country", "location_postal_code", "latitude", "longitude",
+    "location_region", "salary_min", "salary_max", "salary_currency", "salary_interval", "benefits", "education_requirements", "experience_requirements", "experience_level", "shift_schedule", "travel_requirements",
+    "security_clearance", "languages", "requisition_id", "apply_url", "source_posted_text", "source_updated_at", "valid_through", "published_at",
+)
+
+
+def detail_view(postings: DataFrame, topics: DataFrame, matches: DataFrame) -> DataFrame:
+    """All of DETAILS (null where postings lack a column), area_keys in order, and score and evidence of the posting's match.
+
+    matches(job_id, open_generation, is_active, score, evidence): only an active match of the posting's own generation counts, of several the best.
+    Both look-ups are joins on the id, made once for all rows.
+    """
+    active = matches.filter("is_active").groupBy(F.col("job_id").alias("id"), "open_generation").agg(F.max_by(F.struct("score", "evidence"), "score").alias("_m"))
+    rows = postings.join(area_keys(topics), "id", "left").join(active, ["id", "open_generation"], "left")
+    own = [F.col(c) if c in postings.columns else F.lit(None).cast("string").alias(c) for c in DETAILS]
+    areas = F.coalesce("area_keys", F.array().cast("array<string>")).alias("area_keys")
+    return rows.select(*own, areas, F.col("_m.score").alias("resume_match_score"), F.col("_m.evidence").alias("resume_match_evidence"))
+
+
+def title_key(c: Column) -> Column:
+    """A title in one width and lower case, to tell whether it is known."""
+    return F.lower(spaced(c))
+
+
+def topic_audit(postings: DataFrame, topics: DataFrame, topic: str, known: DataFrame) -> DataFrame:
+    """One row: open postings, how many have the topic, their share in percent to two places, and the titles of known(title) that none of these has, in order."""
     has = topics.filter(F.col("topic_key") == topic).select(F.col("job_id").alias("id")).distinct().withColumn("_has", F.lit(True))
     rows = postings.join(has, "id", "left")
-    missed = F.col("_has").isNull() & F.lower("title").contains(known)
-    return rows.agg(F.count(F.lit(1)).alias("jobs"), F.count("_has").alias("matched"), F.round(100.0 * F.count("_has") / F.count(F.lit(1)), 6).alias("coverage"), F.count_if(missed).alias("known_missed"))
+    present = rows.filter("_has").select(title_key(F.col("title")).alias("_key")).distinct()
+    missed = known.select("title", title_key(F.col("title")).alias("_key")).join(present, "_key", "left_anti")
+    named = missed.agg(F.array_sort(F.collect_list("title")))  # a list of titles that a person wrote
+    counts = rows.agg(F.count(F.lit(1)).alias("jobs"), F.count("_has").alias("matched"))
+    share = F.when(F.col("jobs") > 0, F.round(10_000 * F.col("matched") / F.col("jobs")) / 100).otherwise(0.0)
+    return counts.withColumns({"coverage": share, "known_missed": named.scalar()})
+
+
+def audit_sample(matched: DataFrame, most: int = 100) -> DataFrame:
+    """The first postings by company, title, url and id, with place (how many are shown is the feature, 100 at most)."""
+    order = ["company", "title", "official_url", "id"]
+    top = matched.orderBy(*order).limit(max(0, min(100, most)))
+    return top.select(*order, F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
 def evidence_histogram(topics: DataFrame) -> DataFrame:

@@ -26,3 +26,9 @@ def backoff(latest: DataFrame) -> DataFrame:
 
 def activity(runs: DataFrame, most: int = 200) -> DataFrame:
     return runs.orderBy(F.desc("finished_at"), F.desc("event_id")).limit(most)
+
+
+def batch_summary(results: DataFrame) -> DataFrame:
+    """One row on a batch of results(status, jobs_seen): how many of each status, how many at all, and the jobs seen."""
+    of = [F.count_if(F.col("status") == s).alias(s) for s in ("succeeded", "failed", "blocked", "running")]
+    return results.agg(F.count(F.lit(1)).alias("sources"), *of, F.sum("jobs_seen").alias("jobs_seen"))

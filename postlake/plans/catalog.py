@@ -321,3 +321,8 @@ def resume_exclusions(spark, sf_dir):
 def resume_matches(spark, sf_dir):
     found = classify.scored(classify.classified(listings(spark, sf_dir), ("region", "years"))).filter("match.eligible")
     return found.select("id", "match.score", F.array_join("match.evidence.code", ",").alias("evidence"))
+
+
+@query(f"""WITH {RUNS_SQL} SELECT count(*) AS sources, {', '.join(f"(count(*) FILTER (WHERE status = '{s}'))::BIGINT AS {s}" for s in ('succeeded', 'failed', 'blocked', 'running'))}, round(sum(jobs_seen), 2) AS jobs_seen FROM runs""")
+def batch_summary(spark, sf_dir):
+    return reports.batch_summary(runs(spark, sf_dir)).withColumn("jobs_seen", F.round("jobs_seen", 2))

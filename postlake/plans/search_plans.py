@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postlake.operators import facets, projections, search
 from postlake.plans.catalog import query
-from postlake.sources.rich import RICH_SQL, matches, rich_postings, topics
+from postlake.sources.rich import RICH_SQL, _sql, matches, rich_postings, topics
 
 WITH = f"WITH {RICH_SQL}"
 #: A title in lower case between spaces, its separators as spaces.
@@ -126,7 +126,53 @@ def posting_details(spark, sf_dir):
     return out.select("id", F.array_join("area_keys", ",").alias("area_keys"), "summary", F.coalesce("employment_type", F.lit("")).alias("employment_type"), "source_name", (F.size("skills") == 0).alias("no_skills"))
 
 
-@query(WITH + """SELECT count(*) AS jobs, (count(*) FILTER (WHERE t.job_id IS NOT NULL))::BIGINT AS matched, round(100.0 * count(t.job_id) / count(*), 6) AS coverage,
-  (count(*) FILTER (WHERE t.job_id IS NULL AND contains(lower(title), 'machine learning')))::BIGINT AS known_missed FROM best LEFT JOIN (SELECT job_id FROM topics WHERE topic_key = 'ai-data') t ON t.job_id = id""")
+TITLES_KNOWN = ("Machine Learning Intern - 2026", "  DATA   engineer/Fall", "Nobody's Title", "Software Intern, 1999")
+
+
+@query(WITH + f""", has AS (SELECT best.* FROM best WHERE id IN (SELECT job_id FROM topics WHERE topic_key = 'ai-data')), known AS (SELECT unnest({_sql(tuple(t.replace("'", "''") for t in TITLES_KNOWN))}) AS title)
+  SELECT (SELECT count(*) FROM best) AS jobs, (SELECT count(*) FROM has) AS matched, round(10000.0 * (SELECT count(*) FROM has) / (SELECT count(*) FROM best)) / 100 AS coverage,
+  (SELECT string_agg(title, '|' ORDER BY title) FROM known WHERE trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) NOT IN (SELECT trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) FROM has)) AS known_missed""".replace("WITH WITH", "WITH"))
 def topic_audit(spark, sf_dir):
-    return projections.topic_audit(search.canonical(rich_postings(spark, sf_dir)), topics(spark, sf_dir), "ai-data", "machine learning")
+    known = spark.createDataFrame([(t,) for t in TITLES_KNOWN], "title string")
+    found = projections.topic_audit(search.canonical(rich_postings(spark, sf_dir)), topics(spark, sf_dir), "ai-data", known)
+    return found.withColumn("known_missed", F.array_join("known_missed", "|"))
+
+
+@query(WITH + """ SELECT company, title, official_url, id, (row_number() OVER (ORDER BY company, title, official_url, id))::INT AS place FROM best WHERE id IN (SELECT job_id FROM topics WHERE topic_key = 'ai-data') QUALIFY place <= 100""")
+def topic_sample(spark, sf_dir):
+    has = topics(spark, sf_dir).filter("topic_key = 'ai-data'").select(F.col("job_id").alias("id")).distinct()
+    return projections.audit_sample(search.canonical(rich_postings(spark, sf_dir)).join(has, "id", "left_semi"))
+
+
+#: Detail columns under another name in the postings at hand, and those put together from the id.
+RENAMED = {"location_city": "city", "location_country": "country", "location_region": "region", "last_seen_at": "first_seen_at"}
+PUT_TOGETHER = tuple(c for c in projections.DETAILS if c not in RENAMED and c not in (
+    "id", "source_id", "company", "title", "location", "arrangement", "summary", "official_url", "first_seen_at", "review_state", "employment_type", "description", "skills", "department", "team", "salary_min", "salary_max", "languages", "valid_through", "published_at",
+    "secondary_locations", "latitude", "longitude"))
+
+
+def _put_together(rows):
+    n = F.col("id")
+    made = {c: F.col(o) for c, o in RENAMED.items()} | {c: F.when(n % (i + 2) > 0, F.concat(F.lit(f"{c} "), n % (i + 5))) for i, c in enumerate(PUT_TOGETHER)}
+    return rows.withColumns(made | {"latitude": (n % 180 - 90).cast("double"), "longitude": F.when(n % 2 == 0, (n % 360 - 180).cast("double")), "secondary_locations": F.when(n % 3 == 0, F.array(F.lit("Elsewhere")))})
+
+
+DETAIL_SQL = ", ".join(
+    f"{RENAMED[c]} AS {c}" if c in RENAMED else f"CASE WHEN id % {PUT_TOGETHER.index(c) + 2} > 0 THEN '{c} ' || id % {PUT_TOGETHER.index(c) + 5} END AS {c}" if c in PUT_TOGETHER
+    else {"latitude": "(id % 180 - 90)::DOUBLE AS latitude", "longitude": "CASE WHEN id % 2 = 0 THEN (id % 360 - 180)::DOUBLE END AS longitude", "secondary_locations": "CASE WHEN id % 3 = 0 THEN 'Elsewhere' END AS secondary_locations",
+          "skills": "array_to_string(skills, ',') AS skills", "languages": "array_to_string(languages, ',') AS languages"}.get(c, c) for c in projections.DETAILS)
+
+
+@query(WITH + f""", a AS (SELECT job_id, string_agg(substr(topic_key, 6), ',' ORDER BY topic_key) AS area_keys FROM topics WHERE starts_with(topic_key, 'area:') GROUP BY 1)
+  SELECT {DETAIL_SQL}, coalesce(area_keys, '') AS area_keys, m.score AS resume_match_score, CASE WHEN m.score IS NOT NULL THEN 'role:x|Role|' || m.score END AS resume_match_evidence
+  FROM rich LEFT JOIN a ON a.job_id = id LEFT JOIN matches m ON m.job_id = id AND m.is_active AND m.open_generation = rich.open_generation""")
+def posting_detail_view(spark, sf_dir):
+    """All 49 columns of the detail view, with areas, score and evidence."""
+    evidence = F.concat(F.lit("role:x|Role|"), "score")
+    out = projections.detail_view(_put_together(rich_postings(spark, sf_dir)), topics(spark, sf_dir), matches(spark, sf_dir).withColumn("evidence", evidence))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("skills", "languages", "area_keys", "secondary_locations")})
+
+
+@query(WITH + """, w AS (SELECT official_url, ' ' || regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' AS t FROM best) SELECT value, count(DISTINCT official_url) AS jobs FROM w JOIN (VALUES ('spring'), ('summer'), ('fall'), ('winter')) s(value) ON contains(t, ' ' || value || ' ') GROUP BY 1""")
+def season_facet(spark, sf_dir):
+    return facets.season_facet(search.canonical(rich_postings(spark, sf_dir)), facets.season_values(spark))
