@@ -6,7 +6,7 @@ remainder is fitted by choosing how many documents of each length are taken
 once more: first the same share of every length, then a bounded knapsack
 over changes of these counts makes the taken words meet the budget exactly, or as
 nearly as any choice can. Which documents of a length are taken follows a
-seeded hash of the id, so reruns agree.
+seeded hash of id and text, so reruns agree.
 
 Only counts reach the fitting step: one group holds one source's distinct
 lengths, not its documents. Documents are then chosen by hash bucket, so that a
@@ -136,10 +136,11 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.0, seed: int = 20, buckets: int = 1024, keep_rows: bool = False) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken, and with keep_rows ``row``, the input row."""
     rows = packed(docs, id_col, text_col, source_col).withColumnsRenamed({id_col: "_id", text_col: "_text", source_col: "source"})
+    # the hash is of id and text: rows that share an id, or have none, spread over the buckets as well
     rows = rows.select(
         "_id", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
-        F.xxhash64(F.lit(seed), "_id").alias("_h"), *(["row"] if keep_rows else []),
+        F.xxhash64(F.lit(seed), "_id", "_text").alias("_h"), *(["row"] if keep_rows else []),
     ).withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
 
     counted = rows.groupBy("_source", "source", "size", "_bucket").agg(F.count(F.lit(1)).alias("n"))

@@ -262,3 +262,42 @@ def test_a_long_list_of_links_parts_no_article(links):
     said = f"{SAY} {SAY}."
     assert html_text.main_text(f"<html><body><div>{said}</div>{links}<div>{SAY} {said}</div></body></html>", weights) == f"{said}\n{SAY} {said}"
     assert html_text.main_text(f"<html><body><div><a href='/a'>A</a></div>{links}<div>{said}</div>{links}<div>All rights reserved</div></body></html>", weights) == said
+
+
+# --- the pipeline and the mix on odd tables
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, repeats, empty and long texts, an id that many rows share, columns of clashing names, and empty tables."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string, _text string, c0 string"
+    said = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(30)]
+    texts = [*[(i, t, "a" if i % 2 else None) for i, t in enumerate(said)], (None, said[0], "a"), (5, said[5], "a"), (40, None, "b"), (41, "", "b"), (42, " \n", None), (None, None, None), (43, "long " * 30_000, "c"), *[(50, f"{said[1]} tail{i}", "d") for i in range(20)]]
+    rows = [(i, t, "en", s, len(t or ""), "r", "k", "t", "c") for i, t, s in texts]
+    for name, table, labels in (("odd", rows, [(0, 1, 0), (1, 1, 0), (None, None, None)]), ("empty", [], [])):
+        folder = tmp_path / name
+        spark.createDataFrame(table, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        if not table:
+            assert out == []
+            continue
+        held = {r.doc_id for r in out}
+        assert held <= {i for i, t, _ in texts if t and t.strip()}
+        assert sum(i in held for i in range(2, 30)) >= 20  # texts of their own stay, but where a mix leaves one out
+        assert len({r.decoded for r in out if r.doc_id == 50}) <= 1  # one of a group of near copies
+        docs_ = spark.read.parquet(f"{folder}/documents.parquet")
+        now = docs_
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            now = f(spark, now, str(folder))
+            assert now.columns == docs_.columns, stage
+
+
+def test_mix_spreads_rows_that_share_an_id(spark):
+    from postlake.llm import mixing
+
+    rows = [(7, f"word{i} " * (1 + i % 3), "s" if i % 2 else "t") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (sorted((r.size, r.taken) for r in mixing.mix(df).collect()) for _ in range(2))
+    assert first == again and len(first) == 300
