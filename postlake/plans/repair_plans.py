@@ -9,6 +9,7 @@ from postlake.operators import delivery, projections, repairs, review, search
 from postlake.plans.catalog import query
 from postlake.sources.proxy import RUNS_SQL, runs, table
 from postlake.sources.rich import RICH_SQL, _dealt, _sql, matches, rich_postings, topics
+from postlake.sources.shared import kept
 
 TITLES = ("Data Engineer", "Nurse Extern", "Software Intern", "Internal Auditor")
 
@@ -53,7 +54,7 @@ def moved_postings(spark, sf_dir):
 
 @query(f"WITH {REPAIR_SQL} SELECT DISTINCT f.id FROM found f JOIN target t ON t.url = f.url WHERE f.rank >= 2 AND f.status = 'open' AND f.was <> f.url AND f.id <> t.id")
 def mirrors_to_close(spark, sf_dir):
-    return repairs.repair_mirrors(repairs.url_candidates(_stored(spark, sf_dir), _incoming(spark, sf_dir)))
+    return repairs.repair_mirrors(kept(repairs.url_candidates(_stored(spark, sf_dir), _incoming(spark, sf_dir))))
 
 
 # Per order a repair asked for: within the origin, to a taken url, to another origin, without https, from a url it no longer has.
