@@ -4,9 +4,12 @@ import os
 
 import duckdb
 from oracle import connect, same
+from pyspark.sql import functions as F
 
 import postlake.plans.audit_plans  # noqa: F401
+from postlake.operators import classify
 from postlake.plans.catalog import QUERIES, SQL
+from postlake.sources.proxy import listings
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -21,3 +24,19 @@ def moved(folder, table: str, **columns: str) -> str:
 def test_identities_of_numbers_with_more_than_six_digits(spark, tmp_path):
     folder = moved(tmp_path, "orders", o_orderkey="o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 12000000 WHEN o_orderkey % 3 = 1 THEN 999200 ELSE 0 END")
     same(QUERIES["verified_identities"](spark, folder), SQL["verified_identities"], connect(folder))
+
+
+def test_labels_of_a_table_in_one_file_are_made_by_many_tasks(spark):
+    rows = listings(spark, TABLES)
+    assert rows.rdd.getNumPartitions() == 1
+    labelled = classify.classified(rows, ("region",))
+    assert labelled.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    sizes = labelled.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) <= 2 * -(-rows.count() // labelled.rdd.getNumPartitions())
+
+
+def test_labels_that_a_query_filters_by_are_made_after_the_deal(spark):
+    for name, label in (("job_areas", "data science"), ("resume_matches", "clearance")):
+        plan = QUERIES[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+        above, below = plan.split("REPARTITION_BY_NUM")
+        assert label in above and label not in below, name
