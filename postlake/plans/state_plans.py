@@ -130,11 +130,13 @@ def _catalog_pages(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     job = F.struct(F.when(F.col("l_partkey") % 3 > 0, F.concat(F.lit("p"), F.col("l_partkey") % 50)).alias("external_id"), F.concat_ws("/", F.lit("https://x.example"), "l_partkey").alias("official_url"), F.concat(F.lit("t"), "l_orderkey").alias("title"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", job.alias("job")))), lambda x: x["job"])
-    listed = line.groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").cast("long").alias("cursor")).agg(ordered.alias("jobs"))
+    # put together once, not once a pass
+    listed = kept(line.groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").cast("long").alias("cursor")).agg(ordered.alias("jobs")))
 
     def crawl(open_, number):
         n, total = F.col("source_id"), F.col("source_id") % 6 + 1 + F.when((F.col("source_id") % 11 == 5) & F.lit(number >= 2), 1).otherwise(0)
-        rows = open_.join(listed, ["source_id", "cursor"], "left")
+        # the narrow side first: of all pages only those that the pass reads are moved
+        rows = open_.join(listed.join(open_, ["source_id", "cursor"], "left_semi"), ["source_id", "cursor"], "left")
         return rows.select("source_id", ((n + number) % 5 > 0).alias("ok"), F.when(n % 7 == 3, F.col("cursor")).otherwise(F.col("cursor") + 1).alias("next_page"), total.alias("total"), (F.col("cursor") >= total).alias("complete"), F.coalesce("jobs", F.array().cast(listed.schema["jobs"].dataType)).alias("jobs"))
 
     return crawl

@@ -7,6 +7,7 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 
 import postlake.plans.audit_plans  # noqa: F401
+from postlake.plans import state_plans
 from postlake.operators import classify
 from postlake.plans.catalog import QUERIES, SQL
 from postlake.sources.proxy import listings
@@ -40,3 +41,9 @@ def test_labels_that_a_query_filters_by_are_made_after_the_deal(spark):
         plan = QUERIES[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
         above, below = plan.split("REPARTITION_BY_NUM")
         assert label in above and label not in below, name
+
+
+def test_a_pass_of_a_drain_reads_pages_that_were_put_together_once(spark):
+    crawl = state_plans._catalog_pages(spark, TABLES)
+    open_ = spark.sql("SELECT id AS source_id, 1L AS cursor FROM range(10)")
+    assert not [f for f in crawl(open_, 0).inputFiles() if "lineitem" in f]
