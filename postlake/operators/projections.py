@@ -84,17 +84,32 @@ DETAILS = (
 )
 
 
+def looked_up(rows: DataFrame, topics: DataFrame, matches: DataFrame) -> DataFrame:
+    """rows(id, open_generation, ...) with area_keys in order (null if none), and score and evidence of the active match of that generation, of several the best.
+
+    Each look-up is one row an id, so rows move once, by id. They need no other columns yet: where those can be made from
+    few, look up first and make them after it.
+    """
+    one = F.struct("open_generation", "score", "evidence")
+    active = matches.filter("is_active AND score IS NOT NULL").groupBy(F.col("job_id").alias("id")).agg(F.collect_list(one).alias("_ms"))  # the matches of one posting
+    found = rows.join(area_keys(topics), "id", "left").join(active, "id", "left")
+    own = F.filter("_ms", lambda m: m["open_generation"] == F.col("open_generation"))
+    best = F.array_max(F.transform(own, lambda m: F.struct(m["score"], m["evidence"])))
+    return found.select(*rows.columns, "area_keys", best["score"].alias("resume_match_score"), best["evidence"].alias("resume_match_evidence"))
+
+
+def detailed(found: DataFrame) -> DataFrame:
+    """All of DETAILS (null where rows of looked_up lack a column), area_keys, score and evidence."""
+    own = [F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in DETAILS]
+    return found.select(*own, F.coalesce("area_keys", F.array().cast("array<string>")).alias("area_keys"), "resume_match_score", "resume_match_evidence")
+
+
 def detail_view(postings: DataFrame, topics: DataFrame, matches: DataFrame) -> DataFrame:
     """All of DETAILS (null where postings lack a column), area_keys in order, and score and evidence of the posting's match.
 
     matches(job_id, open_generation, is_active, score, evidence): only an active match of the posting's own generation counts, of several the best.
-    Both look-ups are joins on the id, made once for all rows.
     """
-    active = matches.filter("is_active").groupBy(F.col("job_id").alias("id"), "open_generation").agg(F.max_by(F.struct("score", "evidence"), "score").alias("_m"))
-    rows = postings.join(area_keys(topics), "id", "left").join(active, ["id", "open_generation"], "left")
-    own = [F.col(c) if c in postings.columns else F.lit(None).cast("string").alias(c) for c in DETAILS]
-    areas = F.coalesce("area_keys", F.array().cast("array<string>")).alias("area_keys")
-    return rows.select(*own, areas, F.col("_m.score").alias("resume_match_score"), F.col("_m.evidence").alias("resume_match_evidence"))
+    return detailed(looked_up(postings, topics, matches))
 
 
 def title_key(c: Column) -> Column:

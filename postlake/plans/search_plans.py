@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from postlake.operators import facets, projections, search
 from postlake.plans.catalog import query
-from postlake.sources.rich import RICH_SQL, _sql, matches, rich_postings, topics
+from postlake.sources.proxy import table
+from postlake.sources.rich import RICH_SQL, _sql, generation, matches, rich_postings, topics
 
 WITH = f"WITH {RICH_SQL}"
 #: A title in lower case between spaces, its separators as spaces.
@@ -169,7 +170,9 @@ DETAIL_SQL = ", ".join(
 def posting_detail_view(spark, sf_dir):
     """All 49 columns of the detail view, with areas, score and evidence."""
     evidence = F.concat(F.lit("role:x|Role|"), "score")
-    out = projections.detail_view(_put_together(rich_postings(spark, sf_dir)), topics(spark, sf_dir), matches(spark, sf_dir).withColumn("evidence", evidence))
+    n = F.col("o_orderkey")
+    found = projections.looked_up(table(spark, sf_dir, "orders").withColumns({"id": n, "open_generation": generation(n)}), topics(spark, sf_dir), matches(spark, sf_dir).withColumn("evidence", evidence))
+    out = projections.detailed(_put_together(rich_postings(spark, sf_dir, found, ("area_keys", "resume_match_score", "resume_match_evidence"))))
     return out.withColumns({c: F.array_join(c, ",") for c in ("skills", "languages", "area_keys", "secondary_locations")})
 
 

@@ -15,18 +15,29 @@ TYPES = ("Full-Time", "Intern", "Co-Op (Fixed Term)", "regular", "Part_Time", "C
 SKILLS = (("Python", "SQL"), ("sql", " Spark "), (), ("R",), None)
 
 
+#: Lines of a part of topics.
+PART = 500_000
+
+
 def _dealt(values, n: Column) -> Column:
     kind = "array<string>" if any(isinstance(v, tuple) for v in values) else "string"
     lit = lambda v: F.lit(None).cast(kind) if v is None else F.array(*map(F.lit, v)).cast(kind) if isinstance(v, tuple) else F.lit(v)
     return F.get(F.array(*map(lit, values)), (n % len(values)).cast("int"))
 
 
-def rich_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order, with every column that a filter or a projection reads; no title needs another table."""
+def generation(n: Column) -> Column:
+    return (n % 2 + 1).cast("int")
+
+
+def rich_postings(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per order, with every column that a filter or a projection reads; no title needs another table.
+
+    orders may be given with columns more, which stay: what is joined to orders moves fewer bytes than what is joined to postings.
+    """
     t = lambda name: table(spark, sf_dir, name)
     places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     sites = t("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    rows = t("orders").join(sites, F.col("o_custkey") == F.col("c_custkey"))
+    rows = (t("orders") if orders is None else orders).join(sites, F.col("o_custkey") == F.col("c_custkey"))
     n, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     return rows.select(
         n.alias("id"), F.col("o_custkey").alias("source_id"), F.col("c_name").alias("company"), F.col("n_name").alias("country"), F.col("r_name").alias("region"), F.concat(F.lit("City "), n % 40).alias("city"),
@@ -36,7 +47,7 @@ def rich_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 3 > 0, F.date_format(F.date_add("o_orderdate", 900), "yyyy-MM-dd")).alias("valid_through"), F.when(n % 4 == 0, "remote").when(n % 4 == 1, "hybrid").otherwise("onsite").alias("arrangement"),
         F.when(n % 5 == 0, "saved").otherwise("new").alias("review_state"), F.col("c_mktsegment").alias("department"), F.col("o_orderpriority").alias("team"), _dealt(SKILLS, n).alias("skills"),
         F.array(F.when(n % 2 == 0, "English").otherwise("Français")).alias("languages"), F.col("o_totalprice").alias("salary_min"), (F.col("o_totalprice") + 5000.0).alias("salary_max"),
-        F.when(n % 6 > 0, F.concat(F.lit("Summary "), n)).alias("summary"), F.concat(F.lit("Résumé of team "), "o_orderpriority").alias("description"), (n % 2 + 1).cast("int").alias("open_generation"),
+        F.when(n % 6 > 0, F.concat(F.lit("Summary "), n)).alias("summary"), F.concat(F.lit("Résumé of team "), "o_orderpriority").alias("description"), generation(n).alias("open_generation"), *more,
     )
 
 
@@ -44,7 +55,10 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job_id, topic_key), distinct: two topics stated by each line of an order."""
     kind = F.when(F.col("l_returnflag") == "A", "program:internship").when(F.col("l_returnflag") == "R", "program:coop").when(F.col("l_linestatus") == "O", "year:2027").otherwise("ai-data")
     area = F.when(F.col("l_linenumber") == 1, "area:ai-ml").when(F.col("l_linenumber") == 2, "area:data-analytics").otherwise("area:software-engineering")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.explode(F.array(kind, area)).alias("topic_key")).distinct()
+    lines = table(spark, sf_dir, "lineitem")
+    # dealt by posting in parts of bounded size, so that no task holds the repeats of a whole split, and what goes on by posting moves no more
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // PART)
+    return lines.select(F.col("l_orderkey").alias("job_id"), F.explode(F.array(kind, area)).alias("topic_key")).repartition(parts, "job_id").distinct()
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:

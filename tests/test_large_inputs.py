@@ -7,9 +7,10 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 
 import postlake.plans.audit_plans  # noqa: F401
-from postlake.plans import state_plans
-from postlake.operators import classify
+from postlake.plans import search_plans, state_plans  # noqa: F401
+from postlake.operators import classify, projections
 from postlake.plans.catalog import QUERIES, SQL
+from postlake.sources import rich
 from postlake.sources.proxy import listings
 
 TABLES = "/root/testdata/sf0.001"
@@ -47,3 +48,18 @@ def test_a_pass_of_a_drain_reads_pages_that_were_put_together_once(spark):
     crawl = state_plans._catalog_pages(spark, TABLES)
     open_ = spark.sql("SELECT id AS source_id, 1L AS cursor FROM range(10)")
     assert not [f for f in crawl(open_, 0).inputFiles() if "lineitem" in f]
+
+
+def test_matches_are_looked_up_by_one_move_of_narrow_rows(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1L, 1), (2L, 2), (3L, 1), (4L, NULL) AS t(id, open_generation)")
+    topics_ = spark.sql("SELECT * FROM VALUES (1L, 'area:b'), (1L, 'area:a'), (2L, 'year:2027') AS t(job_id, topic_key)")
+    found = spark.sql("SELECT * FROM VALUES (1L, 1, true, 5, 'x'), (1L, 1, true, 7, 'y'), (1L, 2, true, 9, 'z'), (2L, 2, false, 8, 'x'), (3L, 1, true, NULL, 'x'), (4L, NULL, true, 3, 'x') AS t(job_id, open_generation, is_active, score, evidence)")
+    got = projections.looked_up(rows, topics_, found).orderBy("id").collect()
+    assert [tuple(r)[2:] for r in got] == [(["a", "b"], 7, "y"), (None, None, None), (None, None, None), (None, None, None)]
+    plan = QUERIES["posting_detail_view"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString().split("Join ")
+    assert not any("security_clearance" in part for part in plan[1:])  # put together after the joins
+
+
+def test_topics_come_in_parts_that_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(rich, "PART", 100)
+    assert rich.topics(spark, TABLES).rdd.getNumPartitions() == spark.read.parquet(f"{TABLES}/lineitem.parquet").count() // 100
