@@ -10,7 +10,9 @@ aligned and joined as intervals by document pair and offset, and regions met und
 enough functions go to verification on the shingles themselves: matched stretches of
 at least ``min_words`` words and ``percent`` likeness remain. The first document of a value may
 have it in another context, so windows that no verified passage covers are matched a
-second time, with the last document among those.
+second time, with the last document among those. What is then still uncovered is compared with
+every window of its value, on the shingles around both, in pairs of blocks of bounded size: no partner is
+left out, and a window needs only one, so passages do not grow with the square.
 
 Values that occur once are dropped before windows are shuffled, by a bitmap, so unique
 text costs one number per window. Joins on a value, and on a passage that many documents
@@ -36,6 +38,8 @@ SLICE_BYTES = 1_000_000
 SEEDS = np.random.default_rng(99).integers(0, 1 << 63, 16, dtype=np.uint64)
 #: Windows of a text that its row stands for in sizing the bitmap.
 WINDOWS = 32
+#: Windows of a block of one value; a task holds two blocks.
+BLOCK = 2048
 
 
 def sequences(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,8 +157,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     rest = windows.withColumn("block", F.expr("int(p div 64)")).join(held, ["doc", "block"], "left_anti").drop("block")
     rest = written(rest)
     more = written(_verified(rows, rest, F.max, kind, min_words, percent, words, enough))
-    forget(windows, rest)
+    forget(rest)
     found = found.union(more)
+    # and what is uncovered after that, word by word, meets all windows of its value
+    held = found.select("doc", "b0", "b1").union(found.select("first_doc", "a0", "a1")).distinct()
+    held = held.withColumn("block", F.explode(F.expr("sequence(int(b0 div 64), int((b1 - 1) div 64))"))).withColumnRenamed("doc", "its")
+    w = windows.withColumn("block", F.expr("int(p div 64)"))
+    left = written(w.join(held, (w["doc"] == held["its"]) & (w["block"] == held["block"]) & F.expr("p >= b0 AND p < b1"), "left_anti").select("doc", "f", "p", "v"))
+    last = written(_verified(rows, _all_met(rows, windows, left, kind, min_words, percent, words), None, kind, min_words, percent, words, 1))
+    forget(windows, left)
+    found = found.union(last)
     copies = found.select("id", "b0", "b1", "first_id", "a0", "like")
     firsts = found.select(F.col("first_id").alias("id"), F.col("a0").alias("b0"), F.col("a1").alias("b1"), "first_id", "a0", F.lit(1.0).alias("like")).distinct()
     spans = copies.unionByName(firsts)
@@ -172,10 +184,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 def _verified(rows: DataFrame, windows: DataFrame, which, kind: str, min_words: int, percent: int, words: int, enough: int) -> DataFrame:
     """(id, doc, first_id, first_doc, b0, b1, a0, a1, like): passages of windows verified against one document of each value.
 
-    which (F.min or F.max) chooses that document.
+    which (F.min or F.max) chooses that document; without it windows are met already, each beside the window a.
     """
-    per_value = windows.groupBy("v").agg(which(F.struct("id", "doc", "p", "l", "r")).alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    met = join_hot(windows, per_value.select("v", "a"), "v", per_value, windows.count(), ["doc", "p"]).filter("doc <> a.doc")
+    met = windows
+    if which:
+        per_value = windows.groupBy("v").agg(which(F.struct("id", "doc", "p", "l", "r")).alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        met = join_hot(windows, per_value.select("v", "a"), "v", per_value, windows.count(), ["doc", "p"]).filter("doc <> a.doc")
     met = met.withColumns({"left": F.least(F.expr("p - l"), F.expr("a.p - a.l")), "right": F.least(F.expr("r - p"), F.expr("a.r - a.p"))}).filter(F.col("left") + F.col("right") + words >= min_words)
     # offsets in two overlapping rows of bins, so that no passage is cut by the edge of both
     met = met.withColumn("bin", F.explode(F.expr("array(2 * floor((p - a.p) / 64), 2 * floor((p - a.p + 32) / 64) + 1)")))
@@ -222,6 +236,132 @@ def _verified(rows: DataFrame, windows: DataFrame, which, kind: str, min_words:
     return pairs.mapInArrow(verified, f"id {kind}, doc long, first_id {kind}, first_doc long, b0 long, b1 long, a0 long, a1 long, like double")
 
 
+def _all_met(rows: DataFrame, windows: DataFrame, left: DataFrame, kind: str, min_words: int, percent: int, words: int) -> DataFrame:
+    """(f, id, doc, p, l, r, a): every window of left beside one window of its value, of each pair of blocks, that is alike around it.
+
+    Compared are the shingles within a shortest passage to both sides, of every window of left with all windows of its value.
+    """
+    t = min_words - words + 1
+    counts = windows.groupBy("v").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    asked = counts.join(left.select("v").distinct(), "v")
+    few = asked.select("v", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    total = windows.count()
+    some = maybe_in(windows, F.col("v"), few, F.col("v"), "_of", slots_for(total)).filter("_of").drop("_of")
+    some = join_hot(some, few, "v", asked, total, ["doc", "p"]).join(left.select("doc", "f", "p", F.lit(True).alias("open")), ["doc", "f", "p"], "left")
+    each = some.groupBy("doc").agg(F.collect_list(F.struct("f", "v", "p", "l", "r", "blocks", F.coalesce("open", F.lit(False)).alias("open"))).alias("w"))
+    texts = maybe_in(rows, F.col("doc"), some, F.col("doc"), "_asked", slots_for(rows.count())).filter("_asked").drop("_asked")
+    texts = texts.join(each, "doc").select("id", "doc", "w", "text")
+
+    def around_of(batches):
+        names = ("f", "v", "p", "l", "r", "blocks", "open")
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        for batch in light(batches):
+            for part in _slices(batch["id"], batch["doc"], batch["w"], batch["text"]):
+                s, starts = sequences([x[-1] for x in part], words)
+                s = (s >> np.uint64(32)).astype(np.uint32)
+                out = [(i, doc, w, s[a + max(w["l"], w["p"] - t + 1) : a + min(w["r"], w["p"] + t - 1) + 1].tobytes()) for (i, doc, ws, _), a in zip(part, starts.tolist()) for w in ws]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], batch.schema.field("id").type), pa.array([x[1] for x in out], pa.int64()), *[pa.array([x[2][n] for x in out], ty) for n, ty in zip(names, types)], pa.array([x[3] for x in out], pa.binary())],
+                    names=["id", "doc", *names, "s"])
+
+    around = text_batches(texts).mapInArrow(around_of, f"id {kind}, doc long, f int, v long, p int, l int, r int, blocks int, open boolean, s binary")
+    around = around.withColumn("own", F.pmod(F.xxhash64(F.lit(23), "doc", "p"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+    pair = ["v", "x", "y"]
+    around = around.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other")
+    around = around.repartition(*pair).sortWithinPartitions(*pair, "id", "doc", "p")
+
+    def alike_of(batches):
+        for group in _runs(light(batches), pair):
+            at, other = alike(group, t, percent)
+            if len(at):
+                b, a = group.take(pa.array(at)), group.take(pa.array(other))
+                names = ["id", "doc", "p", "l", "r"]
+                yield pa.RecordBatch.from_arrays([b["f"], *[b[n] for n in names], *[a[n] for n in names]], names=["f", *names, *[f"a_{n}" for n in names]])
+
+    found = text_batches(around).mapInArrow(alike_of, f"f int, id {kind}, doc long, p int, l int, r int, a_id {kind}, a_doc long, a_p int, a_l int, a_r int")
+    one, two = F.struct("id", "doc", "p", "l", "r"), F.struct(*[F.col(f"a_{n}").alias(n) for n in ("id", "doc", "p", "l", "r")])
+    ordered = F.struct("id", "doc") < F.struct(F.col("a_id").alias("id"), F.col("a_doc").alias("doc"))
+    return found.select("f", F.when(ordered, two).otherwise(one).alias("b"), F.when(ordered, one).otherwise(two).alias("a")).select("f", "b.*", "a")
+
+
+def _runs(batches, keys: list[str]):
+    """The rows of each key as one batch, from batches that are sorted by keys."""
+    held, last = [], None
+    join = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(k[:, a].tolist())
+            if held and now != last:
+                yield join(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield join(held)
+
+
+def alike(group: pa.RecordBatch, least: int, percent: int) -> tuple[list[int], list[int]]:
+    """(rows, partners): of each open row of a pair of blocks the first row of another document that has an alike stretch.
+
+    Shingles that one row alone has are none that it shares; rows left with too few for an alike stretch are out, and so are pairs that share too few.
+    """
+    is_open, doc, own = (group[c].to_numpy(zero_copy_only=False) for c in ("open", "doc", "own"))
+    if len(group) < 2 or not is_open.any() or (doc == doc[0]).all():
+        return [], []
+    offsets = np.frombuffer(group["s"].buffers()[1], dtype=np.int32)[group["s"].offset : group["s"].offset + len(group) + 1]
+    flat = np.frombuffer(group["s"].buffers()[2], dtype=np.uint32)
+    starts = offsets // 4
+    size = np.diff(starts)
+    # (shingle, row), each once
+    key = np.unique(flat[starts[0] : starts[-1]].astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(size), dtype=np.uint64), size))
+    row, shingle = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), key >> np.uint64(32)
+    new = np.concatenate(([True], shingle[1:] != shingle[:-1]))
+    first = np.flatnonzero(new)
+    has = np.diff(np.append(first, len(key)))
+    # an alike stretch may hold shingles that repeat: the fewest distinct ones of least successive shingles count
+    s = lambda i: flat[starts[i] : starts[i + 1]]
+    fewest = np.minimum(size, least)
+    for i in np.flatnonzero(is_open & (np.bincount(row, minlength=len(size)) < size)).tolist():
+        order = np.argsort(s(i), kind="stable")
+        before = np.full(size[i], -1)
+        same = s(i)[order[1:]] == s(i)[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        begin = np.arange(max(1, size[i] - least + 1))[:, None]
+        fewest[i] = (before[np.minimum(begin + np.arange(fewest[i]), size[i] - 1)] < begin).sum(axis=1).min()
+    need = np.maximum(1, -(-percent * fewest // 100))
+    number = np.cumsum(new) - 1
+    again = has[number] > 1
+    asked = np.flatnonzero(is_open & (np.bincount(row[again], minlength=len(size)) >= need))
+    if not len(asked):
+        return [], []
+    of = number[again][np.argsort(row[again], kind="stable")]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row[again], minlength=len(size)))))
+    one = (own == own[0]).all()
+    rows, partners, known = [], [], {}
+    of_text = {}
+    kinds = [of_text.setdefault(s(i).tobytes(), i) for i in range(len(size))]
+    for i in asked.tolist():
+        its = of[ends[i] : ends[i + 1]]
+        many = has[its]
+        at = np.repeat(first[its] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        enough = np.bincount(row[at], minlength=len(size)) >= need[i]
+        for j in np.flatnonzero(enough & (doc != doc[i]) & (one | (own != own[i]))).tolist():
+            pair = kinds[i], kinds[j]  # copies are compared once
+            if pair not in known:
+                if len(known) >= 100_000:
+                    known.clear()
+                known[pair] = next(stretches(s(j), s(i), least, percent), None) is not None
+            if known[pair]:
+                rows.append(i)
+                partners.append(j)
+                break
+    return rows, partners
+
+
 def stretches(a: np.ndarray, b: np.ndarray, least: int, percent: int, gap: int = 12):
     """(start, stop in b, start, stop in a, likeness) of the stretches of b whose shingles a has.
 
