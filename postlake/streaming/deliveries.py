@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -68,9 +69,10 @@ class Deliveries(StatefulProcessor):
             state = {"status": held[0], "attempt": held[1], "retry_at": _plain(held[2]), "lease_until": _plain(held[3])}
             last = (_plain(held[4]), held[5])
         before, out = self._timer(state), []
-        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for event_id, at, kind in zip(events["event_id"].tolist(), events["at"].tolist(), events["kind"].tolist()):
-            mark = (_plain(at), int(event_id))
+        # lists, not frames: a key has few rows, and a frame's fixed cost a key would be most of its time
+        events = sorted((e for frame in rows for e in zip(_times(frame["at"]), frame["event_id"].tolist(), frame["kind"].tolist())), key=lambda e: e[:2])
+        for at, event_id, kind in events:
+            mark = (at, int(event_id))
             if last is not None and mark <= last:
                 continue
             last = mark
@@ -97,10 +99,20 @@ class Deliveries(StatefulProcessor):
         pass
 
 
+def _times(c: pd.Series) -> list:
+    """Plain datetimes of a column, as the session's zone shows them; None for nulls."""
+    return (c if c.dt.tz is None else c.dt.tz_localize(None)).to_numpy().astype("datetime64[us]").tolist()
+
+
+KINDS = {"long": np.int64, "int": np.int32, "timestamp": "datetime64[us]", "string": object}
+
+
 def _frame(rows) -> pd.DataFrame:
-    names = [f.split()[0] for f in CHANGES.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"event_id": "Int64", "attempt": "int32", "at": "datetime64[us]", "retry_at": "datetime64[us]", "lease_until": "datetime64[us]"})
+    made = {}
+    for values, field in zip(zip(*rows), CHANGES.split(", ")):
+        name, kind = field.split()
+        made[name] = pd.array(values, dtype="Int64") if name == "event_id" else np.array(values, dtype=KINDS[kind])
+    return pd.DataFrame(made, copy=False)
 
 
 def deliveries(events: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -101,6 +101,26 @@ def at(minutes):
     return T0 + datetime.timedelta(minutes=minutes)
 
 
+def test_a_key_of_a_stream_makes_one_frame(monkeypatch):
+    """Events of a key come sorted from several frames without joining them as frames; what is null stays null, and types are those stated."""
+    import pandas as pd
+
+    class Held:
+        get, update = staticmethod(lambda: None), staticmethod(lambda state: None)
+
+    class Handle:
+        registerTimer = deleteTimer = staticmethod(lambda t: None)
+
+    monkeypatch.setattr(pd, "concat", None)
+    one = deliveries.Deliveries()
+    one.state, one.handle = Held(), Handle()
+    frame = lambda *events: pd.DataFrame(events, columns=["event_id", "at", "kind"])
+    (out,) = one.handleInputRows((7,), iter([frame((2, at(1), "claim")), frame((1, at(0), "plan"), (3, at(2), "fail:auth"))]), None)
+    assert out["event_id"].tolist() == [1, 2, 3] and out["status"].tolist() == ["queued", "sending", "auth_blocked"] and out["lease_until"].isna().tolist() == [True, False, True]
+    due = deliveries._frame([(7, None, at(1), "due", "sending", 1, None, at(6))])
+    assert due["event_id"].isna().all() and [str(t) for t in due.dtypes[["message_id", "event_id", "at", "attempt", "retry_at"]]] == ["int64", "Int64", "datetime64[us]", "int32", "datetime64[us]"]
+
+
 def test_stream_of_deliveries(spark, tmp_path):
     """Batches with a lease and a pause that run out between them; a batch that comes twice changes nothing."""
     batches = [
