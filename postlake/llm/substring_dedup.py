@@ -39,7 +39,7 @@ SEEDS = np.random.default_rng(99).integers(0, 1 << 63, 16, dtype=np.uint64)
 #: Windows of a text that its row stands for in sizing the bitmap.
 WINDOWS = 32
 #: Windows of a block of one value; a task holds two blocks.
-BLOCK = 2048
+BLOCK = 8192
 
 
 def sequences(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def _all_met(rows: DataFrame, windows: DataFrame, left: DataFrame, kind: str, mi
     Compared are the shingles within a shortest passage to both sides, of every window of left with all windows of its value.
     """
     t = min_words - words + 1
-    counts = windows.groupBy("v").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    counts = windows.groupBy("v").agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").drop("low", "high")
     asked = counts.join(left.select("v").distinct(), "v")
     few = asked.select("v", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
     total = windows.count()
@@ -254,15 +254,20 @@ def _all_met(rows: DataFrame, windows: DataFrame, left: DataFrame, kind: str, mi
 
     def around_of(batches):
         names = ("f", "v", "p", "l", "r", "blocks", "open")
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         for batch in light(batches):
-            for part in _slices(batch["id"], batch["doc"], batch["w"], batch["text"]):
+            done = 0
+            for part in _slices(batch["text"]):
+                some = batch.slice(done, len(part))
+                done += len(part)
                 s, starts = sequences([x[-1] for x in part], words)
                 s = (s >> np.uint64(32)).astype(np.uint32)
-                out = [(i, doc, w, s[a + max(w["l"], w["p"] - t + 1) : a + min(w["r"], w["p"] + t - 1) + 1].tobytes()) for (i, doc, ws, _), a in zip(part, starts.tolist()) for w in ws]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], batch.schema.field("id").type), pa.array([x[1] for x in out], pa.int64()), *[pa.array([x[2][n] for x in out], ty) for n, ty in zip(names, types)], pa.array([x[3] for x in out], pa.binary())],
-                    names=["id", "doc", *names, "s"])
+                w = some["w"].flatten()
+                of = np.repeat(np.arange(len(part)), some["w"].value_lengths().to_numpy())
+                p, l, r = (w.field(n).to_numpy() for n in ("p", "l", "r"))
+                base = starts[of]
+                lows, highs = base + np.maximum(l, p - t + 1), base + np.minimum(r, p + t - 1) + 1
+                cuts = pa.array([s[x:y].tobytes() for x, y in zip(lows.tolist(), highs.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([some["id"].take(pa.array(of)), some["doc"].take(pa.array(of)), *[w.field(n) for n in names], cuts], names=["id", "doc", *names, "s"])
 
     around = text_batches(texts).mapInArrow(around_of, f"id {kind}, doc long, f int, v long, p int, l int, r int, blocks int, open boolean, s binary")
     around = around.withColumn("own", F.pmod(F.xxhash64(F.lit(23), "doc", "p"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
@@ -271,10 +276,10 @@ def _all_met(rows: DataFrame, windows: DataFrame, left: DataFrame, kind: str, mi
     around = around.repartition(*pair).sortWithinPartitions(*pair, "id", "doc", "p")
 
     def alike_of(batches):
-        for group in _runs(light(batches), pair):
-            at, other = alike(group, t, percent)
+        for some, starts in _runs(light(batches), pair):
+            at, other = alike(some, starts, t, percent)
             if len(at):
-                b, a = group.take(pa.array(at)), group.take(pa.array(other))
+                b, a = some.take(pa.array(at)), some.take(pa.array(other))
                 names = ["id", "doc", "p", "l", "r"]
                 yield pa.RecordBatch.from_arrays([b["f"], *[b[n] for n in names], *[a[n] for n in names]], names=["f", *names, *[f"a_{n}" for n in names]])
 
@@ -284,82 +289,182 @@ def _all_met(rows: DataFrame, windows: DataFrame, left: DataFrame, kind: str, mi
     return found.select("f", F.when(ordered, two).otherwise(one).alias("b"), F.when(ordered, one).otherwise(two).alias("a")).select("f", "b.*", "a")
 
 
-def _runs(batches, keys: list[str]):
-    """The rows of each key as one batch, from batches that are sorted by keys."""
-    held, last = [], None
-    join = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+def _runs(batches, keys: list[str], least: int = 4096):
+    """(rows, starts) of whole keys, of about least rows at a time and where each key begins, from batches that are sorted by keys."""
+    held, size = [], 0
     for batch in batches:
-        if not len(batch):
+        held.append(batch)
+        size += len(batch)
+        if size < least:
             continue
-        k = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in keys])
-        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:]):
-            now = tuple(k[:, a].tolist())
-            if held and now != last:
-                yield join(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = now
-    if held:
-        yield join(held)
-
-
-def alike(group: pa.RecordBatch, least: int, percent: int) -> tuple[list[int], list[int]]:
-    """(rows, partners): of each open row of a pair of blocks the first row of another document that has an alike stretch.
-
-    Shingles that one row alone has are none that it shares; rows left with too few for an alike stretch are out, and so are pairs that share too few.
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        starts = _starts(rows, keys)
+        last = int(starts[-1])
+        if last:
+            yield rows.slice(0, last), starts[:-1]
+        held, size = [rows.slice(last)], len(rows) - last
+    if size:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield rows, _starts(rows, keys)
+
+
+def _starts(rows: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    k = np.stack([rows[c].to_numpy(zero_copy_only=False) for c in keys])
+    return np.flatnonzero(np.concatenate(([True], (k[:, 1:] != k[:, :-1]).any(axis=0))))
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ... in one array."""
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+
+
+def _fewest(s: np.ndarray, least: int) -> int:
+    """The fewest distinct shingles of least successive ones."""
+    order = np.argsort(s, kind="stable")
+    before = np.full(len(s), -1)
+    same = s[order[1:]] == s[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    begin = np.arange(max(1, len(s) - least + 1))[:, None]
+    return int((before[np.minimum(begin + np.arange(min(len(s), least)), len(s) - 1)] < begin).sum(axis=1).min())
+
+
+def alike(rows: pa.RecordBatch, starts: np.ndarray, least: int, percent: int) -> tuple[list[int], list[int]]:
+    """(rows, partners): of each open row the first row of another document, in its pair of blocks, that has an alike stretch.
+
+    A pair of blocks begins at each of starts. Rows with the same shingles and reach are one kind, and kinds are compared. A kind that has c
+    shingles in common with others and needs d of them shares one of its c - d + 1 rarest with each partner, so only those are looked up;
+    what is found so, reaches far enough to both sides together and shares d goes to :func:`stretches`.
     """
-    is_open, doc, own = (group[c].to_numpy(zero_copy_only=False) for c in ("open", "doc", "own"))
-    if len(group) < 2 or not is_open.any() or (doc == doc[0]).all():
+    if len(rows) < 2:
+        return [], []
+    is_open, doc, own, p, l, r = (rows[c].to_numpy(zero_copy_only=False) for c in ("open", "doc", "own", "p", "l", "r"))
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+    asked = np.logical_or.reduceat(is_open, starts) & (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
+    low, high = np.minimum(p - l, least), np.minimum(r - p, least)
+    one = np.minimum.reduceat(own, starts) == np.maximum.reduceat(own, starts)
+    offsets = np.frombuffer(rows["s"].buffers()[1], dtype=np.int32)[rows["s"].offset : rows["s"].offset + len(rows) + 1]
+    flat = np.frombuffer(rows["s"].buffers()[2], dtype=np.uint32)
+    at = (offsets // 4).tolist()
+    # kinds: rows of a group and block with the same shingles and reach
+    members: dict[tuple, list[int]] = {}
+    chosen = np.flatnonzero(asked[group]).tolist()
+    columns = (x.tolist() for x in (group, own, low, high))
+    keys = list(zip(*columns))
+    for i in chosen:
+        members.setdefault((*keys[i], flat[at[i] : at[i + 1]].tobytes()), []).append(i)
+    kinds = list(members.values())
+    if not kinds:
         return [], []
-    offsets = np.frombuffer(group["s"].buffers()[1], dtype=np.int32)[group["s"].offset : group["s"].offset + len(group) + 1]
-    flat = np.frombuffer(group["s"].buffers()[2], dtype=np.uint32)
-    starts = offsets // 4
-    size = np.diff(starts)
-    # (shingle, row), each once
-    key = np.unique(flat[starts[0] : starts[-1]].astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(size), dtype=np.uint64), size))
-    row, shingle = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), key >> np.uint64(32)
-    new = np.concatenate(([True], shingle[1:] != shingle[:-1]))
-    first = np.flatnonzero(new)
-    has = np.diff(np.append(first, len(key)))
-    # an alike stretch may hold shingles that repeat: the fewest distinct ones of least successive shingles count
-    s = lambda i: flat[starts[i] : starts[i + 1]]
+    rep = np.array([k[0] for k in kinds])
+    wants = np.array([bool(is_open[k].any()) for k in kinds])
+    s = lambda k: flat[at[rep[k]] : at[rep[k] + 1]]
+    size = np.diff(offsets // 4)[rep]
+    # every (group, shingle) of a kind, once, by number; those of one kind alone are out
+    total = len(kinds)
+    of = np.repeat(np.arange(total), size)
+    code = group[rep][of].astype(np.uint64) << np.uint64(32) | flat[_spread((offsets // 4)[rep], size)]
+    order = np.argsort(code, kind="stable")
+    code, of = code[order], of[order]
+    number = np.cumsum(np.concatenate(([True], code[1:] != code[:-1]))) - 1
+    places = np.empty(len(number), dtype=np.int64)
+    places[order] = number
+    once = np.concatenate(([True], (number[1:] != number[:-1]) | (of[1:] != of[:-1])))
+    number, of = number[once], of[once]
+    distinct = np.bincount(of, minlength=total)
+    many = np.bincount(number)
+    shared = many[number] > 1
+    number, of = number[shared], of[shared]
+    common = np.bincount(of, minlength=total)
     fewest = np.minimum(size, least)
-    for i in np.flatnonzero(is_open & (np.bincount(row, minlength=len(size)) < size)).tolist():
-        order = np.argsort(s(i), kind="stable")
-        before = np.full(size[i], -1)
-        same = s(i)[order[1:]] == s(i)[order[:-1]]
-        before[order[1:][same]] = order[:-1][same]
-        begin = np.arange(max(1, size[i] - least + 1))[:, None]
-        fewest[i] = (before[np.minimum(begin + np.arange(fewest[i]), size[i] - 1)] < begin).sum(axis=1).min()
+    for k in np.flatnonzero(wants & (distinct < size) & (common > 0)).tolist():
+        fewest[k] = _fewest(s(k), least)  # an alike stretch may hold shingles that repeat
     need = np.maximum(1, -(-percent * fewest // 100))
-    number = np.cumsum(new) - 1
-    again = has[number] > 1
-    asked = np.flatnonzero(is_open & (np.bincount(row[again], minlength=len(size)) >= need))
-    if not len(asked):
-        return [], []
-    of = number[again][np.argsort(row[again], kind="stable")]
-    ends = np.concatenate(([0], np.cumsum(np.bincount(row[again], minlength=len(size)))))
-    one = (own == own[0]).all()
-    rows, partners, known = [], [], {}
-    of_text = {}
-    kinds = [of_text.setdefault(s(i).tobytes(), i) for i in range(len(size))]
-    for i in asked.tolist():
-        its = of[ends[i] : ends[i + 1]]
-        many = has[its]
-        at = np.repeat(first[its] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        enough = np.bincount(row[at], minlength=len(size)) >= need[i]
-        for j in np.flatnonzero(enough & (doc != doc[i]) & (one | (own != own[i]))).tolist():
-            pair = kinds[i], kinds[j]  # copies are compared once
-            if pair not in known:
-                if len(known) >= 100_000:
-                    known.clear()
-                known[pair] = next(stretches(s(j), s(i), least, percent), None) is not None
-            if known[pair]:
-                rows.append(i)
-                partners.append(j)
+    partners: dict[int, list[int]] = {}
+    there = number * total + of
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    for a, b in _partners(np.flatnonzero(wants & (common >= need)), number, of, there, many, common, need, (low[rep], high[rep]), own[rep], one[group[rep]], least):
+        for x, y in _parts(size[a], 1 << 21):
+            fits = _long_enough(a[x:y], b[x:y], places, begin, size, there, distinct == size, least, percent)
+            for i, j in zip(a[x:y][fits].tolist(), b[x:y][fits].tolist()):
+                partners.setdefault(i, []).append(j)
+    found, others = [], []
+    for k in np.flatnonzero(wants).tolist():
+        waits = [i for i in kinds[k] if is_open[i]]
+        itself = [k] if len(kinds[k]) > 1 and one[group[rep[k]]] else []
+        for b in sorted(partners.get(k, []) + itself):
+            if b != k and next(stretches(s(b), s(k), least, percent), None) is None:
+                continue
+            j = kinds[b][0]
+            other = next((x for x in kinds[b] if doc[x] != doc[j]), None)
+            pairs = [(i, j if doc[i] != doc[j] else other) for i in waits]
+            found += [i for i, x in pairs if x is not None]
+            others += [x for _, x in pairs if x is not None]
+            waits = [i for i, x in pairs if x is None]
+            if not waits:
                 break
-    return rows, partners
+    return found, others
+
+
+def _partners(asked, number, of, there, many, common, need, reach, own, one, least, most: int = 1 << 21):
+    """Arrays of kinds that were asked and of partners that share enough; at most about ``most`` look-ups are held at a time.
+
+    number and of: shingle and kind, sorted by both (``there`` in one number); many and common: kinds of a shingle, shingles of a kind.
+    """
+    if not len(asked):
+        return
+    total = len(common)
+    first = np.searchsorted(number, np.arange(len(many)))
+    by_kind = np.lexsort((many[number], of))
+    its, begin = number[by_kind], np.concatenate(([0], np.cumsum(common)[:-1]))
+    rare = common[asked] - need[asked] + 1
+    at = its[_spread(begin[asked], rare)]
+    kind = np.repeat(asked, rare)
+    for x, y in _parts(many[at], most):
+        n = many[at[x:y]]
+        a, b = np.repeat(kind[x:y], n), of[_spread(first[at[x:y]], n)]
+        low, high = (np.minimum(c[a], c[b]) for c in reach)
+        fits = (a != b) & (one[a] | (own[a] != own[b])) & (low + high >= least - 1)
+        pairs = np.unique(a[fits] * total + b[fits])
+        a, b = pairs // total, pairs % total
+        for u, w in _parts(common[a], most):
+            n = common[a[u:w]]
+            asks = its[_spread(begin[a[u:w]], n)] * total + np.repeat(b[u:w], n)
+            hit = _among(asks, there)
+            enough = np.bincount(np.repeat(np.arange(w - u), n), weights=hit, minlength=w - u) >= need[a[u:w]]
+            yield a[u:w][enough], b[u:w][enough]
+
+
+def _among(asks: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Whether each of asks is in there, which is sorted."""
+    return there[np.minimum(np.searchsorted(there, asks), len(there) - 1)] == asks
+
+
+def _long_enough(a, b, places, begin, size, there, plain, least: int, percent: int, gap: int = 12) -> np.ndarray:
+    """Whether kind a can have a stretch that kind b has, before :func:`stretches` tells: shared shingles without wider gaps
+    over least places, and, where no shingle of a repeats, percent of some least places or more shared.
+    """
+    width = int(size[a].max(initial=1))
+    at = np.arange(width)
+    inside = at < size[a][:, None]
+    hit = np.zeros(inside.shape, dtype=bool)
+    asks = places[(begin[a][:, None] + at)[inside]] * len(size) + np.repeat(b, size[a])
+    hit[inside] = _among(asks, there)
+    last = np.maximum.accumulate(np.where(hit, at, -width - gap), axis=1)
+    before = np.concatenate((np.full((len(a), 1), -width - gap), last[:, :-1]), axis=1)
+    start = np.maximum.accumulate(np.where(hit & (at - before > gap), at, -1), axis=1)
+    long_ = (hit & (at - start + 1 >= least)).any(axis=1)
+    if width < least:
+        return long_
+    level = np.concatenate((np.zeros((len(a), 1), dtype=np.int64), np.cumsum(100 * hit - percent, axis=1)), axis=1)
+    dense = (level[:, least:] >= np.minimum.accumulate(level, axis=1)[:, : width + 1 - least]).any(axis=1)
+    return long_ & (dense | ~plain[a])
+
+
+def _parts(sizes: np.ndarray, most: int):
+    """(start, stop) of successive stretches of sizes that add up to about ``most`` each."""
+    which = np.cumsum(sizes) // most
+    cuts = np.flatnonzero(np.diff(which, prepend=-1)).tolist() if len(sizes) else []
+    yield from zip(cuts, [*cuts[1:], len(sizes)])
 
 
 def stretches(a: np.ndarray, b: np.ndarray, least: int, percent: int, gap: int = 12):
