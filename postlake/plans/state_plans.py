@@ -58,6 +58,7 @@ FACETS_SQL = f"""{POSTINGS_SQL}, p AS (SELECT *, country AS location_country FRO
 def facet_counts(spark, sf_dir):
     """Facets after two merges, each followed by deltas of what it touched, one of them delivered twice."""
     p = postings(spark, sf_dir).withColumn("ordinal", F.col("id")).withColumnRenamed("country", "location_country")
+    p = kept(p.select("id", "ordinal", "source_id", "official_url", *MORE, "title", "published_at", "status", "first_seen_at"))  # the state and every batch read it
     state = p.groupBy("source_id", "official_url").agg(*[F.min(c).alias(c) for c in (*MORE, "title")], F.max("published_at").alias("published_at"), F.max("status").alias("status"), F.min("first_seen_at").alias("first_seen_at"))
     folder = new_folder(spark, "facets")
     held = VersionedTable(spark, f"{folder}/postings", "source_id", 16)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from postlake.operators.facets import own_values
 from postlake.operators.search import canonical
+from postlake.sources.shared import kept
 from postlake.streaming.versions import VersionedTable
 
 WRITER = "facets"
@@ -30,16 +31,18 @@ class FacetCounts:
         return rows.select("official_url", "key", F.lower("label").alias("value")).distinct()
 
     def build(self, postings: DataFrame) -> None:
-        rows = self.contributions(postings)
+        rows = kept(self.contributions(postings))
         self.given.commit(rows, None)
         self.counts.commit(rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("jobs")), None)
 
     def apply(self, postings: DataFrame, touched: DataFrame, batch: int, between=None) -> None:
         """Follow a merge that left postings behind and touched(official_url); between is called between the two commits."""
-        urls = touched.select("official_url").distinct()
-        after = self.contributions(postings.join(urls, "official_url", "left_semi"))
+        # the commits below read each of these more than once, and a version of the postings is large beside what it contributes
+        urls = kept(touched.select("official_url").distinct())
+        after = kept(self.contributions(postings.join(urls, "official_url", "left_semi")))
         before = self.given.read().join(urls, "official_url", "left_semi")
         moved = after.withColumn("n", F.lit(1)).unionByName(before.withColumn("n", F.lit(-1))).groupBy("key", "value").agg(F.sum("n").alias("n")).filter("n <> 0")
+        moved = kept(moved)
 
         def add(now: DataFrame, deltas: DataFrame) -> DataFrame:
             both = now.select("key", "value", F.col("jobs").alias("n")).unionByName(deltas.select("key", "value", "n"))

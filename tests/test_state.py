@@ -266,6 +266,23 @@ def test_facet_counts_equal_a_recount_after_any_merges(spark, tmp_path):
         assert rows(counts.read().select("key", "value", "jobs")) == recount(), batch
 
 
+def test_facet_counts_read_the_postings_once_a_merge(spark, tmp_path):
+    """The postings of a merge are read by one job, however many commits follow from what they contribute."""
+    counts, reads = FacetCounts(spark, str(tmp_path), ("company",), buckets=4), spark.sparkContext.accumulator(0)
+    kinds = "id long, official_url string, company string, status string, first_seen_at string"
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame([(k, f"u{k}", f"C{k % 3}", "open", "2025") for k in range(12)], kinds).mapInArrow(counted, kinds)
+    counts.build(frame)
+    assert reads.value == 12
+    counts.apply(frame, frame.sparkSession.createDataFrame([("u1",), ("u2",)], "official_url string"), 0)
+    assert reads.value == 24
+
+
 def test_an_aborted_publication_leaves_the_former_one(spark, tmp_path):
     path = str(tmp_path / "catalog")
     first = spark.range(100).withColumn("title", F.concat(F.lit("t"), "id"))
