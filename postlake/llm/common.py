@@ -83,11 +83,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, free: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage and outlives lost executors.
+
+    With free, the shuffle files of this write go when it ends, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    try:
+        if free:
+            spark.conf.set(name, "true")
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(name, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

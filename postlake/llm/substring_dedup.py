@@ -59,8 +59,19 @@ def sequences(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def minima(s: np.ndarray, starts: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, text numbers) of the elements that are the smallest of some t successive ones of a text."""
+    at, o, _ = smallest(s, starts, t)
+    pos = np.empty(len(at), dtype=np.int64)
+    for i in range(0, len(at), 20_000):
+        some = at[i : i + 20_000]
+        pos[i : i + 20_000] = some + s[some[:, None] + np.arange(t)].argmin(axis=1)
+    return pos, o
+
+
+def smallest(s: np.ndarray, starts: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, text numbers, values): where another smallest of t successive elements of a text begins, and that value."""
+    none = np.zeros(0, dtype=np.int64)
     if len(s) < t:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return none, none, s[:0]
     low, width = s, 1
     while width * 2 <= t:
         low = np.minimum(low[:-width], low[width:])
@@ -70,35 +81,47 @@ def minima(s: np.ndarray, starts: np.ndarray, t: int) -> tuple[np.ndarray, np.nd
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     valid = np.flatnonzero(owner[: len(low)] == owner[t - 1 :])
     if not len(valid):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return none, none, s[:0]
     v, o = low[valid], owner[valid]
     new = np.concatenate(([True], (v[1:] != v[:-1]) | (o[1:] != o[:-1])))
-    at, o = valid[new], o[new]
-    pos = np.empty(len(at), dtype=np.int64)
-    for i in range(0, len(at), 20_000):
-        some = at[i : i + 20_000]
-        pos[i : i + 20_000] = some + s[some[:, None] + np.arange(t)].argmin(axis=1)
-    keep = np.concatenate(([True], pos[1:] != pos[:-1]))
-    return pos[keep], o[keep]
-
-
-def extents(pos: np.ndarray, owner: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[int]]:
-    """For each minimum the first and last position before a smaller one: the node's span in the Cartesian tree."""
-    p, o, v = pos.tolist(), owner.tolist(), values.tolist()
-    left, right, stack, now = [0] * len(p), [0] * len(p), [], -1
-    for i in range(len(p)):
-        if o[i] != now:
-            end = int(starts[now + 1]) - 1 if now >= 0 else 0
-            for j in stack:
-                right[j] = end
-            stack, now = [], o[i]
-        while stack and v[stack[-1]] > v[i]:
-            right[stack.pop()] = p[i] - 1
-        left[i] = p[stack[-1]] + 1 if stack else int(starts[now])
-        stack.append(i)
-    for j in stack:
-        right[j] = int(starts[now + 1]) - 1
-    return left, right
+    return valid[new], o[new], v[new]
+
+
+def extents(pos: np.ndarray, owner: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each minimum the first and last position before a smaller one: the node's span in the Cartesian tree.
+
+    To the left one of the same value ends it, too.
+    """
+    n = len(pos)
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    begins = np.concatenate(([True], owner[1:] != owner[:-1]))
+    ends = np.concatenate((begins[1:], [True]))
+    before = _nearest(np.where(begins, n, np.arange(n) - 1), values, np.greater)
+    after = _nearest(np.where(ends, n, np.arange(n) + 1), values, np.greater_equal)
+    p = np.append(pos, 0)
+    return np.where(before < n, p[before] + 1, starts[owner]), np.where(after < n, p[after] - 1, starts[owner + 1] - 1)
+
+
+def _nearest(to: np.ndarray, values: np.ndarray, passes) -> np.ndarray:
+    """Follow to, from its first neighbour on, while passes(value there, own value); n stands for the end of the text.
+
+    What lies before to[i] passes for i, so i goes on where to[to[i]] points, for all i at once.
+    """
+    n = len(values)
+    to = np.append(to, n)
+    going = np.flatnonzero(to[:n] < n)
+    for _ in range(64):
+        going = going[passes(values[to[going]], values[going])]
+        if not len(going):
+            return to[:n]
+        to[going] = to[to[going]]
+        going = going[to[going] < n]
+    order = going if to[going[0]] < going[0] else going[::-1]
+    for i in order.tolist():  # long rising rows
+        while to[i] < n and passes(values[to[i]], values[i]):
+            to[i] = to[to[i]]
+    return to[:n]
 
 
 def _slices(*columns):
@@ -128,44 +151,47 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 s, starts = sequences([x[-1] for x in part], words)
                 for k in range(functions):
                     m = mix(s ^ SEEDS[k])
-                    pos, _ = minima(m, starts, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(m[pos].view(np.int64))], names=["v"])
+                    _, _, v = smallest(m, starts, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64))], names=["v"])
 
     def windows_of(batches):
         for batch in light(batches):
             for part in _slices(batch["id"], batch["doc"], batch["text"]):
                 s, starts = sequences([x[-1] for x in part], words)
+                named = [pa.array([x[i] for x in part], ty) for i, ty in enumerate((batch.schema.field("id").type, pa.int64()))]
                 for k in range(functions):
                     m = mix(s ^ SEEDS[k])
                     pos, owner = minima(m, starts, t)
                     left, right = extents(pos, owner, m[pos], starts)
                     base = starts[owner]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([part[i][0] for i in owner.tolist()], batch.schema.field("id").type), pa.array([part[i][1] for i in owner.tolist()], pa.int64()),
+                        *[x.take(pa.array(owner)) for x in named],
                         pa.array(np.full(len(pos), 1 << k, dtype=np.int32)), pa.array(m[pos].view(np.int64)),
-                        *[pa.array((np.array(x, dtype=np.int64) - base).astype(np.int32)) for x in (pos, left, right)],
+                        *[pa.array((x - base).astype(np.int32)) for x in (pos, left, right)],
                     ], names=["id", "doc", "f", "v", "p", "l", "r"])
 
     once = rows.select("text").mapInArrow(values_of, "v long").groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     windows = rows.select("id", "doc", "text").mapInArrow(windows_of, f"id {kind}, doc long, f int, v long, p int, l int, r int")
     windows = maybe_in(windows, F.col("v"), once, F.col("v"), "_again", slots_for(WINDOWS * docs.count())).filter("_again").drop("_again")
-    windows = written(windows)
-    found = written(_verified(rows, windows, F.min, kind, min_words, percent, words, enough))
+    windows = written(windows, free=True)
+    found = _verified(rows, windows, F.min, kind, min_words, percent, words, enough)
     # what no verified passage covers, in blocks of 64 words, meets another document
     held = found.select("doc", "b0", "b1").union(found.select("first_doc", "a0", "a1"))
     held = held.select("doc", F.explode(F.expr("sequence(int(b0 div 64), int((b1 - 1) div 64))")).alias("block")).distinct()
     rest = windows.withColumn("block", F.expr("int(p div 64)")).join(held, ["doc", "block"], "left_anti").drop("block")
-    rest = written(rest)
-    more = written(_verified(rows, rest, F.max, kind, min_words, percent, words, enough))
+    rest = written(rest, free=True)
+    more = _verified(rows, rest, F.max, kind, min_words, percent, words, enough)
     forget(rest)
     found = found.union(more)
     # and what is uncovered after that, word by word, meets all windows of its value
     held = found.select("doc", "b0", "b1").union(found.select("first_doc", "a0", "a1")).distinct()
     held = held.withColumn("block", F.explode(F.expr("sequence(int(b0 div 64), int((b1 - 1) div 64))"))).withColumnRenamed("doc", "its")
     w = windows.withColumn("block", F.expr("int(p div 64)"))
-    left = written(w.join(held, (w["doc"] == held["its"]) & (w["block"] == held["block"]) & F.expr("p >= b0 AND p < b1"), "left_anti").select("doc", "f", "p", "v"))
-    last = written(_verified(rows, _all_met(rows, windows, left, kind, min_words, percent, words), None, kind, min_words, percent, words, 1))
+    left = written(w.join(held, (w["doc"] == held["its"]) & (w["block"] == held["block"]) & F.expr("p >= b0 AND p < b1"), "left_anti").select("doc", "f", "p", "v"), free=True)
+    mates = _mates(windows, left)
     forget(windows, left)
+    last = _verified(rows, _all_met(rows, mates, kind, min_words, percent, words), None, kind, min_words, percent, words, 1)
+    forget(mates)
     found = found.union(last)
     copies = found.select("id", "b0", "b1", "first_id", "a0", "like")
     firsts = found.select(F.col("first_id").alias("id"), F.col("a0").alias("b0"), F.col("a1").alias("b1"), "first_id", "a0", F.lit(1.0).alias("like")).distinct()
@@ -198,7 +224,7 @@ def _verified(rows: DataFrame, windows: DataFrame, which, kind: str, min_words:
         F.min(F.expr("a.p - left")).alias("a0"), F.max(F.expr("a.p + right + 1")).alias("a1"),
     ).filter(F.col("functions") >= enough)
     wide = lambda x, y: [(F.floor(F.col(x) / 64) * 64).cast("int").alias(x), (F.ceil(F.col(y) / 64) * 64).cast("int").alias(y)]
-    regions = written(regions.select("id", "doc", "first_id", "first_doc", *wide("b0", "b1"), *wide("a0", "a1")).distinct())
+    regions = written(regions.select("id", "doc", "first_id", "first_doc", *wide("b0", "b1"), *wide("a0", "a1")).distinct(), free=True)
     asked = regions.select("doc", F.col("b0").alias("x0"), F.col("b1").alias("x1")).union(regions.select("first_doc", "a0", "a1")).distinct()
     asked = asked.groupBy("doc").agg(F.collect_list("x0").alias("x0"), F.collect_list("x1").alias("x1"))
 
@@ -212,7 +238,7 @@ def _verified(rows: DataFrame, windows: DataFrame, which, kind: str, min_words:
 
     texts = maybe_in(rows.select("doc", "text"), F.col("doc"), asked, F.col("doc"), "_asked", slots_for(rows.count())).filter("_asked").select("doc", "text").join(asked, "doc")
     cut = text_batches(texts.select("doc", "x0", "x1", "text")).mapInArrow(cuts_of, "doc long, x0 int, x1 int, s binary").dropDuplicates(["doc", "x0", "x1"])
-    cut = written(cut)
+    cut = written(cut, free=True)
     # many documents may repeat one passage of their first
     named = regions.withColumn("first_cut", F.concat_ws(":", "first_doc", "a0", "a1"))
     per_cut = named.groupBy("first_cut").agg(F.count(F.lit(1)).alias("_n"))
@@ -233,23 +259,30 @@ def _verified(rows: DataFrame, windows: DataFrame, which, kind: str, min_words:
             yield pa.RecordBatch.from_arrays(got + numbers, names=["id", "doc", "first_id", "first_doc", "b0", "b1", "a0", "a1", "like"])
 
     pairs = text_batches(pairs.select("id", "doc", "first_id", "first_doc", "b0", "a0", "a", "b"))
-    return pairs.mapInArrow(verified, f"id {kind}, doc long, first_id {kind}, first_doc long, b0 long, b1 long, a0 long, a1 long, like double")
-
+    out = written(pairs.mapInArrow(verified, f"id {kind}, doc long, first_id {kind}, first_doc long, b0 long, b1 long, a0 long, a1 long, like double"), free=True)
+    forget(regions, cut)
+    return out
 
-def _all_met(rows: DataFrame, windows: DataFrame, left: DataFrame, kind: str, min_words: int, percent: int, words: int) -> DataFrame:
-    """(f, id, doc, p, l, r, a): every window of left beside one window of its value, of each pair of blocks, that is alike around it.
 
-    Compared are the shingles within a shortest passage to both sides, of every window of left with all windows of its value.
-    """
-    t = min_words - words + 1
+def _mates(windows: DataFrame, left: DataFrame) -> DataFrame:
+    """(id, doc, f, v, p, l, r, blocks, open): every window whose value a window of left has, if two documents have it; open: it is of left."""
     counts = windows.groupBy("v").agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").drop("low", "high")
     asked = counts.join(left.select("v").distinct(), "v")
     few = asked.select("v", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
     total = windows.count()
     some = maybe_in(windows, F.col("v"), few, F.col("v"), "_of", slots_for(total)).filter("_of").drop("_of")
     some = join_hot(some, few, "v", asked, total, ["doc", "p"]).join(left.select("doc", "f", "p", F.lit(True).alias("open")), ["doc", "f", "p"], "left")
-    each = some.groupBy("doc").agg(F.collect_list(F.struct("f", "v", "p", "l", "r", "blocks", F.coalesce("open", F.lit(False)).alias("open"))).alias("w"))
-    texts = maybe_in(rows, F.col("doc"), some, F.col("doc"), "_asked", slots_for(rows.count())).filter("_asked").drop("_asked")
+    return written(some.withColumn("open", F.coalesce("open", F.lit(False))), free=True)
+
+
+def _all_met(rows: DataFrame, mates: DataFrame, kind: str, min_words: int, percent: int, words: int) -> DataFrame:
+    """(f, id, doc, p, l, r, a): every open window of mates beside one window of its value, of each pair of blocks, that is alike around it.
+
+    Compared are the shingles within a shortest passage to both sides, of every open window with all windows of its value.
+    """
+    t = min_words - words + 1
+    each = mates.groupBy("doc").agg(F.collect_list(F.struct("f", "v", "p", "l", "r", "blocks", "open")).alias("w"))
+    texts = maybe_in(rows, F.col("doc"), mates, F.col("doc"), "_asked", slots_for(rows.count())).filter("_asked").drop("_asked")
     texts = texts.join(each, "doc").select("id", "doc", "w", "text")
 
     def around_of(batches):
@@ -333,7 +366,8 @@ def alike(rows: pa.RecordBatch, starts: np.ndarray, least: int, percent: int) ->
 
     A pair of blocks begins at each of starts. Rows with the same shingles and reach are one kind, and kinds are compared. A kind that has c
     shingles in common with others and needs d of them shares one of its c - d + 1 rarest with each partner, so only those are looked up;
-    what is found so, reaches far enough to both sides together and shares d goes to :func:`stretches`.
+    what is found so, reaches far enough to both sides together and shares d goes to :func:`_has_stretch`, many pairs at a time, or,
+    where shingles repeat, to :func:`stretches`.
     """
     if len(rows) < 2:
         return [], []
@@ -368,12 +402,13 @@ def alike(rows: pa.RecordBatch, starts: np.ndarray, least: int, percent: int) ->
     number = np.cumsum(np.concatenate(([True], code[1:] != code[:-1]))) - 1
     places = np.empty(len(number), dtype=np.int64)
     places[order] = number
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     once = np.concatenate(([True], (number[1:] != number[:-1]) | (of[1:] != of[:-1])))
-    number, of = number[once], of[once]
+    number, of, first = number[once], of[once], (order - begin[of])[once]
     distinct = np.bincount(of, minlength=total)
     many = np.bincount(number)
     shared = many[number] > 1
-    number, of = number[shared], of[shared]
+    number, of, first = number[shared], of[shared], first[shared]
     common = np.bincount(of, minlength=total)
     fewest = np.minimum(size, least)
     for k in np.flatnonzero(wants & (distinct < size) & (common > 0)).tolist():
@@ -381,18 +416,25 @@ def alike(rows: pa.RecordBatch, starts: np.ndarray, least: int, percent: int) ->
     need = np.maximum(1, -(-percent * fewest // 100))
     partners: dict[int, list[int]] = {}
     there = number * total + of
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    plain, sure = distinct == size, set()
     for a, b in _partners(np.flatnonzero(wants & (common >= need)), number, of, there, many, common, need, (low[rep], high[rep]), own[rep], one[group[rep]], least):
-        for x, y in _parts(size[a], 1 << 21):
-            fits = _long_enough(a[x:y], b[x:y], places, begin, size, there, distinct == size, least, percent)
-            for i, j in zip(a[x:y][fits].tolist(), b[x:y][fits].tolist()):
-                partners.setdefault(i, []).append(j)
+        for x, y in _parts(size[a], 1 << 20):
+            i, j = a[x:y], b[x:y]
+            fits = _long_enough(i, j, places, begin, size, there, plain, least, percent)
+            i, j = i[fits], j[fits]
+            told = plain[i] & plain[j] & (size[i] < 2 * least)
+            fits = ~told
+            fits[told] = _has_stretch(i[told], j[told], places, begin, size, there, first, least, percent)
+            for k, other, exact in zip(i[fits].tolist(), j[fits].tolist(), told[fits].tolist()):
+                partners.setdefault(k, []).append(other)
+                if exact:
+                    sure.add((k, other))
     found, others = [], []
     for k in np.flatnonzero(wants).tolist():
         waits = [i for i in kinds[k] if is_open[i]]
         itself = [k] if len(kinds[k]) > 1 and one[group[rep[k]]] else []
         for b in sorted(partners.get(k, []) + itself):
-            if b != k and next(stretches(s(b), s(k), least, percent), None) is None:
+            if b != k and (k, b) not in sure and next(stretches(s(b), s(k), least, percent), None) is None:
                 continue
             j = kinds[b][0]
             other = next((x for x in kinds[b] if doc[x] != doc[j]), None)
@@ -460,6 +502,57 @@ def _long_enough(a, b, places, begin, size, there, plain, least: int, percent: i
     return long_ & (dense | ~plain[a])
 
 
+def _has_stretch(a, b, places, begin, size, there, first, least: int, percent: int, gap: int = 12) -> np.ndarray:
+    """Whether :func:`stretches` finds one of kind a in kind b, for many pairs at once.
+
+    No shingle repeats in a or b, and a has fewer than 2 * least: of the parts of a only one at a time is long enough.
+    first says where in its kind each of there begins.
+    """
+    out = np.zeros(len(a), dtype=bool)
+    if not len(a):
+        return out
+    width = int(size[a].max())
+    at = np.arange(width, dtype=np.int32)
+    inside = at < size[a][:, None]
+    asks = places[(begin[a][:, None] + at)[inside]] * len(size) + np.repeat(b, size[a])
+    found = np.minimum(np.searchsorted(there, asks), len(there) - 1)
+    where = np.full(inside.shape, -1, dtype=np.int32)
+    where[inside] = np.where(there[found] == asks, first[found], -1)
+    pair, length, cut_at, none = np.arange(len(a)), size[b], gap, np.int32(1 << 20)
+    while len(pair):
+        # the part without wider gaps, or after a cut the side of it, that is long enough
+        hit = where >= 0
+        last = np.maximum.accumulate(np.where(hit, at, -none), axis=1)
+        before = np.concatenate((np.full((len(pair), 1), -none), last[:, :-1]), axis=1)
+        if cut_at is not None:
+            opens = hit & (at - before > cut_at)
+        else:
+            gaps = np.where(hit & (before >= 0), at - before, 0)
+            opens = hit & ((before < 0) | (at == gaps.argmax(axis=1)[:, None]))
+        cut_at = None
+        start = np.maximum.accumulate(np.where(opens, at, -1), axis=1)
+        ends = np.where(hit & (at - start + 1 >= least), at, -1).max(axis=1)
+        keep = ends >= 0
+        pair, where, start, y, length = pair[keep], where[keep], start[keep], ends[keep] + 1, length[keep]
+        if not len(pair):
+            break
+        x = start[np.arange(len(pair)), y - 1]
+        where = np.where((at >= x[:, None]) & (at < y[:, None]), where, -1)
+        hit = where >= 0
+        count = hit.sum(axis=1)
+        ahead = np.where(hit, where - at, none)
+        offset = np.sort(ahead, axis=1)[np.arange(len(pair)), count // 2]
+        near = hit & (np.abs(ahead - offset[:, None]) <= 64)
+        u = np.maximum(0, np.minimum(np.where(near, where, none).min(axis=1), x + offset))
+        w = np.minimum(length, np.maximum(np.where(near, where, -none).max(axis=1) + 1, y + offset))
+        shared = (hit & (where >= u[:, None]) & (where < w[:, None])).sum(axis=1)
+        good = 100 * shared >= percent * (w - u + y - x - shared)
+        out[pair[good]] = True
+        keep = ~good & (count < y - x)
+        pair, where, length = pair[keep], where[keep], length[keep]
+    return out
+
+
 def _parts(sizes: np.ndarray, most: int):
     """(start, stop) of successive stretches of sizes that add up to about ``most`` each."""
     which = np.cumsum(sizes) // most
@@ -473,33 +566,47 @@ def stretches(a: np.ndarray, b: np.ndarray, least: int, percent: int, gap: int =
     A stretch breaks where more than ``gap`` successive shingles are missing, and one that is not percent alike as
     sets breaks at its widest gap, until its parts are alike or shorter than ``least``.
     """
-    if not len(a) or not len(b):
+    if len(a) == 0 or len(b) < least:
         return
-    order = np.argsort(a, kind="stable")
-    at = np.minimum(np.searchsorted(a[order], b), len(a) - 1)
-    hit = np.flatnonzero(a[order][at] == b)
-    if not len(hit):
+    order = a.argsort(kind="stable")
+    ordered = a[order]
+    at = np.minimum(ordered.searchsorted(b), len(a) - 1)
+    hit = (ordered[at] == b).nonzero()[0]
+    if len(hit) == 0 or hit[-1] - hit[0] + 1 < least:
         return
     where = order[at]
-    open_parts = np.split(hit, np.flatnonzero(np.diff(hit) > gap) + 1)
+    cuts = ((hit[1:] - hit[:-1]) > gap).nonzero()[0] + 1
+    cuts = [0, *cuts.tolist(), len(hit)]
+    open_parts = [hit[x:y] for x, y in zip(cuts, cuts[1:])]
     while open_parts:
         part = open_parts.pop()
         x, y = int(part[0]), int(part[-1]) + 1
         if y - x < least:
             continue
         # repeated shingles may match far off: the bulk of the alignment decides where the stretch lies in a
-        offset = int(np.sort(where[part] - part)[len(part) // 2])
-        near = where[part][np.abs(where[part] - part - offset) <= 64]
+        there = where[part]
+        ahead = there - part
+        offset = int(np.sort(ahead)[len(part) // 2])
+        near = there[np.abs(ahead - offset) <= 64]
         u, w = max(0, min(int(near.min()), x + offset)), min(len(a), max(int(near.max()) + 1, y + offset))
-        p, q = np.unique(a[u:w]), np.unique(b[x:y])
-        shared = len(np.intersect1d(p, q, assume_unique=True))
-        union = len(p) + len(q) - shared
+        p, q = _distinct(a[u:w]), _distinct(b[x:y])
+        union = len(_distinct(np.concatenate((p, q))))
+        shared = len(p) + len(q) - union
         if 100 * shared >= percent * union:
             yield x, y, u, w, shared / union
         elif len(part) < y - x:
-            cut = int(np.diff(part).argmax()) + 1
+            cut = int((part[1:] - part[:-1]).argmax()) + 1
             open_parts += [part[:cut], part[cut:]]
 
 
+def _distinct(s: np.ndarray) -> np.ndarray:
+    """The distinct values of a short array, in order."""
+    s = np.sort(s)
+    new = np.empty(len(s), dtype=bool)
+    new[:1] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
+
+
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
