@@ -414,36 +414,39 @@ def alike(rows: pa.RecordBatch, starts: np.ndarray, least: int, percent: int) ->
     for k in np.flatnonzero(wants & (distinct < size) & (common > 0)).tolist():
         fewest[k] = _fewest(s(k), least)  # an alike stretch may hold shingles that repeat
     need = np.maximum(1, -(-percent * fewest // 100))
-    partners: dict[int, list[int]] = {}
     there = number * total + of
-    plain, sure = distinct == size, set()
-    for a, b in _partners(np.flatnonzero(wants & (common >= need)), number, of, there, many, common, need, (low[rep], high[rep]), own[rep], one[group[rep]], least):
-        for x, y in _parts(size[a], 1 << 20):
-            i, j = a[x:y], b[x:y]
-            fits = _long_enough(i, j, places, begin, size, there, plain, least, percent)
+    plain = distinct == size
+    asked = np.flatnonzero(wants & (common >= need))
+    pairs = [a * total + b for a, b in _partners(asked, number, of, there, many, common, need, (low[rep], high[rep]), own[rep], one[group[rep]], least)]
+    itself = np.array([k for k in np.flatnonzero(wants & one[group[rep]]).tolist() if len(kinds[k]) > 1], dtype=np.int64)
+    pairs = np.unique(np.concatenate([*pairs, itself * total + itself]))
+    a, b = pairs // total, pairs % total
+    # a kind needs one partner: its first is tested, then the next two, four and so on of those that still wait
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    waits, waiting, found, others, reached = {k: [i for i in kinds[k] if is_open[i]] for k in np.unique(a).tolist()}, wants.copy(), [], [], 1
+    while len(a):
+        now = rank < reached
+        for x, y in _parts(size[a[now]], 1 << 20):
+            i, j = a[now][x:y], b[now][x:y]
+            fits = i == j
+            fits[~fits] = _long_enough(i[~fits], j[~fits], places, begin, size, there, plain, least, percent)
             i, j = i[fits], j[fits]
-            told = plain[i] & plain[j] & (size[i] < 2 * least)
-            fits = ~told
-            fits[told] = _has_stretch(i[told], j[told], places, begin, size, there, first, least, percent)
-            for k, other, exact in zip(i[fits].tolist(), j[fits].tolist(), told[fits].tolist()):
-                partners.setdefault(k, []).append(other)
-                if exact:
-                    sure.add((k, other))
-    found, others = [], []
-    for k in np.flatnonzero(wants).tolist():
-        waits = [i for i in kinds[k] if is_open[i]]
-        itself = [k] if len(kinds[k]) > 1 and one[group[rep[k]]] else []
-        for b in sorted(partners.get(k, []) + itself):
-            if b != k and (k, b) not in sure and next(stretches(s(b), s(k), least, percent), None) is None:
-                continue
-            j = kinds[b][0]
-            other = next((x for x in kinds[b] if doc[x] != doc[j]), None)
-            pairs = [(i, j if doc[i] != doc[j] else other) for i in waits]
-            found += [i for i, x in pairs if x is not None]
-            others += [x for _, x in pairs if x is not None]
-            waits = [i for i, x in pairs if x is None]
-            if not waits:
-                break
+            sure = i == j
+            told = plain[i] & plain[j] & (size[i] < 2 * least) & ~sure
+            sure[told] = _has_stretch(i[told], j[told], places, begin, size, there, first, least, percent)
+            fits = sure | ~told
+            for k, partner, exact in zip(i[fits].tolist(), j[fits].tolist(), sure[fits].tolist()):
+                if not waits[k] or not exact and next(stretches(s(partner), s(k), least, percent), None) is None:
+                    continue
+                row = kinds[partner][0]
+                other = next((x for x in kinds[partner] if doc[x] != doc[row]), None)
+                met = [(i, row if doc[i] != doc[row] else other) for i in waits[k]]
+                found += [i for i, x in met if x is not None]
+                others += [x for _, x in met if x is not None]
+                waits[k] = [i for i, x in met if x is None]
+                waiting[k] = bool(waits[k])
+        left = ~now & waiting[a]
+        a, b, rank, reached = a[left], b[left], rank[left], 2 * reached + 1
     return found, others
 
 
