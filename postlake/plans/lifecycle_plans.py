@@ -260,10 +260,13 @@ SOURCES_SQL = """sources AS (SELECT c_custkey AS source_id, c_name AS company, c
   (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS next_run_at, (SELECT min(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS checked_at, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS jobs FROM customer)"""
 
 
-@query(f"""WITH {SOURCES_SQL} SELECT source_id, company FROM sources WHERE enabled AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '2001-03-01') AND (lease_until IS NULL OR lease_until <= TIMESTAMP '2001-03-01')
+@query(f"""WITH {SOURCES_SQL}, leased AS (SELECT * REPLACE (CASE WHEN source_id % 18 = 9 THEN TIMESTAMP '2001-06-01' ELSE lease_until END AS lease_until) FROM sources)
+  SELECT source_id, company FROM leased WHERE enabled AND (next_run_at IS NULL OR next_run_at <= TIMESTAMP '2001-03-01') AND (lease_until IS NULL OR lease_until <= TIMESTAMP '2001-03-01')
   ORDER BY next_run_at NULLS FIRST, company, source_id LIMIT 30""")
 def leased_sources(spark, sf_dir):
-    return lifecycle.lease_due(_sources(spark, sf_dir), "2001-03-01", 30).select("source_id", "company")
+    """A batch while every second leased source is still held, and the leases of the others are past."""
+    held = F.when(F.col("source_id") % 18 == 9, F.lit("2001-06-01").cast("timestamp")).otherwise(F.col("lease_until"))
+    return lifecycle.lease_due(_sources(spark, sf_dir).withColumn("lease_until", held), "2001-03-01", 30).select("source_id", "company")
 
 
 RECOVERY_SQL = """(SELECT *, ['workday', 'custom', 'lever'][source_id % 3 + 1] AS adapter, CASE WHEN source_id % 7 = 0 THEN 'empty_board' END AS last_error, CASE WHEN health = 'healthy' AND source_id % 2 = 0 THEN 0 ELSE jobs END AS n FROM sources)"""

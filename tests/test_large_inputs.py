@@ -7,8 +7,8 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 
 import postlake.plans.audit_plans  # noqa: F401
-from postlake.plans import search_plans, state_plans  # noqa: F401
-from postlake.operators import classify, projections
+from postlake.plans import lifecycle_plans, search_plans, state_plans  # noqa: F401
+from postlake.operators import classify, lifecycle, projections
 from postlake.plans.catalog import QUERIES, SQL
 from postlake.sources import rich
 from postlake.sources.proxy import listings
@@ -63,3 +63,12 @@ def test_matches_are_looked_up_by_one_move_of_narrow_rows(spark):
 def test_topics_come_in_parts_that_do_not_grow(spark, monkeypatch):
     monkeypatch.setattr(rich, "PART", 100)
     assert rich.topics(spark, TABLES).rdd.getNumPartitions() == spark.read.parquet(f"{TABLES}/lineitem.parquet").count() // 100
+
+
+def test_a_held_lease_keeps_its_source_out_of_the_batch_and_a_past_one_does_not(spark, monkeypatch):
+    rule, batch = lifecycle.lease_due, lambda: {r.source_id for r in QUERIES["leased_sources"](spark, TABLES).collect()}
+    taken = batch()
+    monkeypatch.setattr(lifecycle, "lease_due", lambda sources, *rest: rule(sources.withColumn("lease_until", F.lit(None).cast("timestamp")), *rest))
+    kept_out = batch() - taken
+    assert kept_out and all(s % 18 == 9 for s in kept_out)
+    assert len(taken) == 30 and any(s % 18 == 0 for s in taken)
